@@ -16,7 +16,7 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     dlat = F.sin(F.radians(lat2 - lat1) / 2)
     dlng = F.sin(F.radians(lng2 - lng1) / 2)
     a = dlat * dlat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * dlng * dlng
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))
 
 
 def cell(c: Column, step: float) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.geo import cell, cells_within, haversine_km, step_for
-from ..functions.text import place_alias, place_hint, place_name
+from ..functions.text import place_alias, place_hint, place_name, strip_parens
 from .naming import substring_matches, trigram_matches
 
 
@@ -230,3 +230,13 @@ def suggest_places(
         .filter(F.col("position") <= k)
         .select("query", "position", "name", "state")
     )
+
+
+def coordinates_by_name(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Coordinates of a place name, else of the name without a trailing bracket group."""
+    whole = known.select("name", F.col("lat").alias("__lat"), F.col("lng").alias("__lng"))
+    bare = known.select(F.col("name").alias("__bare"), F.col("lat").alias("__lat2"), F.col("lng").alias("__lng2"))
+    out = asked.withColumn("__bare", strip_parens(F.col("name"))).join(whole, "name", "left").join(bare, "__bare", "left")
+    return out.withColumn("lat", F.coalesce("__lat", "__lat2")).withColumn("lng", F.coalesce("__lng", "__lng2")).drop(
+        "__bare", "__lat", "__lng", "__lat2", "__lng2"
+    )

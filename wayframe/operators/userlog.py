@@ -40,7 +40,7 @@ def sliding_limit(
         return hits.withColumn("hits", F.lit(1)).withColumn("flagged", F.lit(False)).withColumn(
             "retry_after", F.lit(None).cast("int")
         )
-    micros = F.unix_micros(F.col(ts))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     width = window_s * 1_000_000
     base = hits.withColumn("__us", micros).withColumn("__span", F.floor(micros / width).cast("bigint"))
     both = base.withColumn("__at", F.explode(F.array(F.col("__span"), F.col("__span") + 1)))
