@@ -1,4 +1,4 @@
 """All registered queries; importing the groups fills the registry."""
 
-from . import group_delays, group_places, group_text, group_timetable  # noqa: F401
+from . import group_delays, group_journeys, group_places, group_scores, group_text, group_timetable  # noqa: F401
 from .catalog import ORACLES, QUERIES  # noqa: F401

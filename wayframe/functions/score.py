@@ -19,7 +19,8 @@ def whole(c: Column) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Value held between two bounds; NULL stays NULL."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 # --- trains and delays ---------------------------------------------------------------------------
@@ -115,9 +116,7 @@ def connection_safety(buffer: Column, mean: Column, curve: Column | None = None)
 
 def min_buffer(p50: Column) -> Column:
     """Shortest useful change: the typical delay of the incoming train, between 30 and 90 minutes."""
-    return F.greatest(
-        F.lit(fixed.MIN_BUFFER), F.coalesce(F.least(whole(p50), F.lit(fixed.MAX_BUFFER)), F.lit(fixed.MIN_BUFFER))
-    )
+    return F.coalesce(clamp(whole(p50), fixed.MIN_BUFFER, fixed.MAX_BUFFER), F.lit(fixed.MIN_BUFFER))
 
 
 def delay_profile(
@@ -257,7 +256,7 @@ def rail_fare(curve_fare: Column, class_code: Column, km: Column, tier: Column,
 
 
 def road_fare(km: Column) -> Column:
-    return F.greatest(F.lit(fixed.ROAD_FARE_MIN), whole(km * fixed.ROAD_FARE_PER_KM))
+    return F.when(km.isNotNull(), F.greatest(F.lit(fixed.ROAD_FARE_MIN), whole(km * fixed.ROAD_FARE_PER_KM)))
 
 
 def road_minutes(km: Column) -> Column:

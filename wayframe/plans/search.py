@@ -69,7 +69,7 @@ def dated(requests: DataFrame, as_of: Column) -> DataFrame:
     names = F.array(*[F.lit(d) for d in fixed.WEEKDAYS])
     return (
         requests.withColumn("day", day).withColumn("dow", F.weekday("day"))
-        .withColumn("day3", F.element_at(names, F.col("dow") + 1)).withColumn("month", F.month("day"))
+        .withColumn("day3", F.get(names, F.col("dow"))).withColumn("month", F.month("day"))
         .withColumn("days_out", F.datediff("day", as_of))
     )
 
