@@ -1,4 +1,6 @@
 """All registered queries; importing the groups fills the registry."""
 
-from . import group_delays, group_journeys, group_places, group_scores, group_text, group_timetable  # noqa: F401
+from . import (  # noqa: F401
+    group_delays, group_journeys, group_places, group_routes, group_scores, group_search, group_text, group_timetable,
+)
 from .catalog import ORACLES, QUERIES  # noqa: F401

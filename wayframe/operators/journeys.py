@@ -306,3 +306,23 @@ def rebuild_direct(route_ids: DataFrame, stops: DataFrame, guard_km: float = fix
     rides = _ride(b, a, ["route_id", "train"])
     keep = [c for c in rides.columns if c != "route_id"]
     return rides.groupBy("route_id").agg(F.min_by(F.struct(*keep), F.struct("b_seq", "a_seq")).alias("r")).select("route_id", "r.*")
+
+
+def point_along(path: DataFrame, keys: list[str], pos: str, share: float) -> DataFrame:
+    """The point at a share of the planar length of each path (``lng``, ``lat`` by position)."""
+    from .segments import segmented
+
+    step = segmented(path, keys, pos, nexts={"__next": F.struct("lng", "lat")}).filter(F.col("__next").isNotNull())
+    dx, dy = F.col("__next.lng") - F.col("lng"), F.col("__next.lat") - F.col("lat")
+    run = segmented(step.withColumn("__d", F.sqrt(dx * dx + dy * dy)), keys, pos, sums={"__upto": F.col("__d")})
+    total = run.groupBy(*keys).agg(F.sum("__d").alias("__total"))
+    target = F.lit(share) * F.col("__total")
+    hit = run.join(total, keys).filter(target <= F.col("__upto") + 1e-9)
+    first = hit.groupBy(*keys).agg(F.min_by(F.struct("lng", "lat", "__next", "__d", "__upto", "__total"), pos).alias("r"))
+    part = F.when(F.col("r.__d") == 0, 0.0).otherwise(
+        (F.lit(share) * F.col("r.__total") - (F.col("r.__upto") - F.col("r.__d"))) / F.col("r.__d")
+    )
+    return first.select(
+        *keys, (F.col("r.lng") + part * (F.col("r.__next.lng") - F.col("r.lng"))).alias("lng"),
+        (F.col("r.lat") + part * (F.col("r.__next.lat") - F.col("r.lat"))).alias("lat"),
+    )

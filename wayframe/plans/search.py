@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,7 @@ class Settings:
     origin_ladder: list[float] = field(default_factory=lambda: list(fixed.ORIGIN_LADDER_KM))
     dest_ladder: list[float] = field(default_factory=lambda: list(fixed.DEST_LADDER_KM))
     near_named_km: float = 20.0
+    guard_km: float = fixed.DETOUR_GUARD_KM
     state_of: Column | None = None
 
 
@@ -105,9 +107,9 @@ def _sensible(rides: DataFrame, trips: DataFrame) -> DataFrame:
     return rides.join(spots, "request_id").filter(journeys.useful(*cols)).drop("o_lat", "o_lng", "d_lat", "d_lng")
 
 
-def direct_rides(trips: DataFrame, o: DataFrame, d: DataFrame, t: Tables) -> DataFrame:
+def direct_rides(trips: DataFrame, o: DataFrame, d: DataFrame, t: Tables, s: Settings) -> DataFrame:
     """The best ride of each through train per request."""
-    rides = journeys.direct(trips, o, d, t.stops, t.trains)
+    rides = journeys.direct(trips, o, d, t.stops, t.trains, guard_km=s.guard_km)
     ends = _sensible(_ends(rides, o, d), trips)
     season = t.trains.select(F.col("number").alias("train"), "months")
     ends = ends.join(season, "train", "left").filter(journeys.runs_in_month(F.col("months"), F.col("month")))
@@ -128,7 +130,7 @@ def change_rides(trips: DataFrame, o: DataFrame, d: DataFrame, t: Tables, s: Set
             return predict_quantiles(model, ctx).select(*legs.columns, "p50")
     found = journeys.one_change(
         trips, o_some, d_some, t.stops, t.trains, t.stations, typical, s.hub_min, s.top_hubs, s.max_wait, s.journeys,
-        predict=predict,
+        s.guard_km, predict,
     )
     ends = _sensible(_ends(found, o_some, d_some), trips)
     season = t.trains.select("number", "months")
@@ -322,50 +324,77 @@ def road_routes(trips: DataFrame, rail: DataFrame, columns: list[str]) -> DataFr
     return work.select(*[known.get(c, F.lit(None)).cast(types[c]).alias(c) for c in columns])
 
 
-@dataclass
-class SearchResult:
-    """Ranked routes, the reasoning and the demand advisory per request, and the refused requests."""
-
-    routes: DataFrame
-    reasoning: DataFrame
-    advisory: DataFrame
-    rejected: DataFrame
-    o_heads: DataFrame
-
-
-def trip_search(
-    requests: DataFrame, t: Tables, as_of: Column, s: Settings | None = None, model: QuantileForest | None = None
-) -> SearchResult:
-    """Search all requests at once.
+class TripSearch:
+    """The search of a table of requests, step by step.
 
-    Intermediate tables that several steps read (places, railheads, through rides) are checkpointed,
-    so a lost executor costs one step and nothing is computed twice.
+    Steps that later ones read more than once (places, railheads, through rides, routes) are
+    checkpointed when first asked for, so a lost executor costs one step and nothing is computed
+    twice. Only the steps an answer needs are run.
     """
-    s = s or Settings()
-    valid, rejected = validate_requests(requests)
-    trips = cut_lineage(located(demand(dated(valid, as_of), t.calendar), t, s))
-    o, d = railheads(trips, t, s)
-    directs = cut_lineage(direct_rides(trips, o, d, t))
-    counts = directs.groupBy("request_id").agg(F.count(F.lit(1)).alias("__n"))
-    few = trips.join(counts, "request_id", "left").filter(F.coalesce("__n", F.lit(0)) < s.few_directs).drop("__n")
-    changes = cut_lineage(change_rides(few, o, d, t, s, model))
-    routes, legs = rail_legs(directs, changes)
-    rail = cut_lineage(assembled(routes, scored_legs(legs, trips, t, model), trips, o, d, t))
-    every = rail.unionByName(road_routes(trips, rail, rail.columns)).withColumn("route_id", F.col("route_key"))
-    shown = cut_lineage(ranking.cap_routes(every))
-    planned = ranking.plan_b(shown)
-    name = shown.filter(~F.col("road_only")).select(
-        "request_id", F.col("route_id").alias("plan_b_route"),
-        F.concat(F.col("first_train"), F.lit(" "), F.coalesce("first_train_name", F.lit(""))).alias("__next"),
-    )
-    planned = planned.join(name, ["request_id", "plan_b_route"], "left")
-    text = ranking.plan_b_text(F.trim("__next"), F.col("plan_b_dep"), F.col("plan_b_fare"), F.col("plan_b_minutes"))
-    planned = planned.withColumn("plan_b", F.coalesce(text, F.col("plan_b"))).drop("__next")
-    by_board = directs.groupBy("request_id", F.col("board").alias("code")).agg(F.count(F.lit(1)).cast("int").alias("directs"))
-    heads = o.select("request_id", "code", "name", F.col("trains").cast("int").alias("trains"), "km")
-    to_name = trips.select("request_id", F.col("d_name").alias("to_name"))
-    reasons = ranking.reasoning(shown.drop("to_name").join(to_name, "request_id"), heads, by_board)
-    advisory = trips.select(
-        "request_id", score.demand_advisory(F.col("demand_score"), F.col("demand_drivers")).alias("advisory"), "demand_drivers"
-    ).filter(F.col("advisory").isNotNull())
-    return SearchResult(planned, reasons, advisory, rejected, o)
+
+    def __init__(
+        self, requests: DataFrame, tables: Tables, as_of: Column, settings: Settings | None = None,
+        model: QuantileForest | None = None,
+    ):
+        self.tables, self.settings, self.model = tables, settings or Settings(), model
+        self.valid, self.rejected = validate_requests(requests)
+        self.as_of = as_of
+
+    @cached_property
+    def trips(self) -> DataFrame:
+        rows = demand(dated(self.valid, self.as_of), self.tables.calendar)
+        return cut_lineage(located(rows, self.tables, self.settings))
+
+    @cached_property
+    def heads(self) -> tuple[DataFrame, DataFrame]:
+        return railheads(self.trips, self.tables, self.settings)
+
+    @cached_property
+    def directs(self) -> DataFrame:
+        return cut_lineage(direct_rides(self.trips, *self.heads, self.tables, self.settings))
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        """One-change journeys, only of requests with few through trains."""
+        counts = self.directs.groupBy("request_id").agg(F.count(F.lit(1)).alias("__n"))
+        joined = self.trips.join(counts, "request_id", "left")
+        few = joined.filter(F.coalesce("__n", F.lit(0)) < self.settings.few_directs).drop("__n")
+        return cut_lineage(change_rides(few, *self.heads, self.tables, self.settings, self.model))
+
+    @cached_property
+    def rail(self) -> DataFrame:
+        """All scored rail routes."""
+        routes, legs = rail_legs(self.directs, self.changes)
+        scored = scored_legs(legs, self.trips, self.tables, self.model)
+        return cut_lineage(assembled(routes, scored, self.trips, *self.heads, self.tables))
+
+    @cached_property
+    def shown(self) -> DataFrame:
+        """The ranked and cut list per request, road option included."""
+        every = self.rail.unionByName(road_routes(self.trips, self.rail, self.rail.columns))
+        return cut_lineage(ranking.cap_routes(every.withColumn("route_id", F.col("route_key"))))
+
+    @cached_property
+    def routes(self) -> DataFrame:
+        """The shown routes with the next train as plan B where one follows."""
+        planned = ranking.plan_b(self.shown)
+        name = self.shown.filter(~F.col("road_only")).select(
+            "request_id", F.col("route_id").alias("plan_b_route"),
+            F.concat(F.col("first_train"), F.lit(" "), F.coalesce("first_train_name", F.lit(""))).alias("__next"),
+        )
+        planned = planned.join(name, ["request_id", "plan_b_route"], "left")
+        text = ranking.plan_b_text(F.trim("__next"), F.col("plan_b_dep"), F.col("plan_b_fare"), F.col("plan_b_minutes"))
+        return planned.withColumn("plan_b", F.coalesce(text, F.col("plan_b"))).drop("__next")
+
+    @cached_property
+    def reasoning(self) -> DataFrame:
+        by_board = self.directs.groupBy("request_id", F.col("board").alias("code")).agg(F.count(F.lit(1)).cast("int").alias("directs"))
+        heads = self.heads[0].select("request_id", "code", "name", F.col("trains").cast("int").alias("trains"), "km")
+        to_name = self.trips.select("request_id", F.col("d_name").alias("to_name"))
+        return ranking.reasoning(self.shown.join(to_name, "request_id"), heads, by_board)
+
+    @cached_property
+    def advisory(self) -> DataFrame:
+        advice = score.demand_advisory(F.col("demand_score"), F.col("demand_drivers"))
+        rows = self.trips.select("request_id", advice.alias("advisory"), "demand_drivers")
+        return rows.filter(F.col("advisory").isNotNull())
