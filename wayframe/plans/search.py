@@ -219,22 +219,26 @@ def scored_legs(legs: DataFrame, trips: DataFrame, t: Tables, model: QuantileFor
     )
 
 
-def assembled(routes: DataFrame, legs: DataFrame, trips: DataFrame, o: DataFrame, d: DataFrame, t: Tables) -> DataFrame:
-    """Scored rail routes with all legs, from the one or two train legs of each."""
+def scored_routes(routes: DataFrame, legs: DataFrame, trips: DataFrame, o: DataFrame, d: DataFrame) -> DataFrame:
+    """Rail routes with all numbers they are ranked by, from the one or two train legs of each.
+
+    Texts and leg lists wait until the shown routes are chosen.
+    """
     fields = [c for c in legs.columns if c not in ("request_id", "route_key")]
-    pair = legs.groupBy("request_id", "route_key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("l"))  # one or two
+    row = F.struct(*fields)
+    pair = legs.groupBy("request_id", "route_key").agg(
+        F.max(F.when(F.col("leg_no") == 1, row)).alias("l1"), F.max(F.when(F.col("leg_no") == 2, row)).alias("l2")
+    )
     b = o.select("request_id", F.col("code").alias("board"), F.col("name").alias("board_name"), F.col("trains").alias("head_trains"),
                  F.col("head_lat").alias("b_lat"), F.col("head_lng").alias("b_lng"))
     a = d.select("request_id", F.col("code").alias("alight"), F.col("name").alias("alight_name"),
                  F.col("head_lat").alias("a_lat"), F.col("head_lng").alias("a_lng"))
-    hub = t.stations.select(F.col("code").alias("change_at"), F.col("name").alias("change_name"), F.col("lat").alias("h_lat"), F.col("lng").alias("h_lng"))
+    asked = trips.select("request_id", "from_place", "to_place", "pref", "days_out", "month", "o_lat", "o_lng", "d_lat", "d_lng")
     work = (
-        routes.join(pair, ["request_id", "route_key"]).join(b, ["request_id", "board"]).join(a, ["request_id", "alight"])
-        .join(hub, "change_at", "left")
-        .join(trips.select("request_id", "from_place", "to_place", "pref", "days_out", "month", "o_lat", "o_lng", "d_lat", "d_lng"), "request_id")
+        routes.join(pair, ["request_id", "route_key"]).join(b, ["request_id", "board"])
+        .join(a, ["request_id", "alight"]).join(asked, "request_id")
     )
     work = work.withColumn("first_km", F.col("b_km") * fixed.ROAD_FACTOR).withColumn("last_km", F.col("a_km") * fixed.ROAD_FACTOR)
-    work = work.withColumn("l1", F.element_at("l", 1)).withColumn("l2", F.try_element_at("l", F.lit(2)))
     p1, p2 = F.col("l1.profile"), F.col("l2.profile")
     change = F.col("transfers") == 1
     safety = F.when(change, score.connection_safety(F.col("wait"), p1["avg_mins"], p1["curve"]))
@@ -249,79 +253,99 @@ def assembled(routes: DataFrame, legs: DataFrame, trips: DataFrame, o: DataFrame
     )
     work = work.withColumn("safety", safety).withColumn("on_time", on_time).withColumn("source", source)
     work = work.withColumn("classes", classes).withColumn("seat", score.confirmation(F.col("classes"), tier, F.col("days_out"), F.col("month")))
-    work = work.withColumn(
-        "reliability", score.reliability(F.col("on_time"), F.col("safety"), F.col("transfers"), F.col("first_km"), F.col("seat.pct"))
-    )
-    b_spot, a_spot = build.spot(F.col("b_lng"), F.col("b_lat")), build.spot(F.col("a_lng"), F.col("a_lat"))
-    h_spot = build.spot(F.col("h_lng"), F.col("h_lat"))
+    rated = score.reliability(F.col("on_time"), F.col("safety"), F.col("transfers"), F.col("first_km"), F.col("seat.pct"))
+    cross = change | (F.col("first_km") > 20)
+    zero = F.lit(0)
 
-    def rail(leg: str, start_name, end_name, start_spot, end_spot):
-        c = lambda f: F.col(f"{leg}.{f}")
-        return build.train_leg(c("train"), c("train_name"), start_name, end_name, c("dep"), c("arr"), c("minutes"), c("fare"), start_spot, end_spot)
+    def by_road(cost):
+        return F.when(F.col("first_km") > 2, cost(F.col("first_km"))).otherwise(zero) + F.when(F.col("last_km") > 2, cost(F.col("last_km"))).otherwise(zero)
 
-    one = F.array(rail("l1", F.col("board_name"), F.col("alight_name"), b_spot, a_spot))
-    two = F.array(
-        rail("l1", F.col("board_name"), F.col("change_at"), b_spot, h_spot),
-        build.change_leg(F.col("change_at"), F.col("hub_trains"), F.col("wait"), F.col("safety")),
-        rail("l2", F.col("change_at"), F.col("alight_name"), h_spot, a_spot),
-    )
-    legs_all = build.with_access(
-        F.when(change, two).otherwise(one), F.col("first_km"), F.col("last_km"), F.col("from_place"), F.col("to_place"),
-        F.col("board_name"), F.col("alight_name"), build.spot(F.col("o_lng"), F.col("o_lat")), b_spot, a_spot,
-        build.spot(F.col("d_lng"), F.col("d_lat")),
-    )
-    cross = change | (F.col("first_km") > 20)
-    work = work.withColumn("legs", legs_all)
-    main = F.when(change & (F.col("l2.minutes") > F.col("l1.minutes")), F.col("l2")).otherwise(F.col("l1"))
-    why = F.when(change, build.why_change(F.col("change_at"), F.col("hub_trains"), F.col("wait"), F.col("safety"))).otherwise(
-        build.why_direct(F.col("board_name"), F.col("first_km"), F.col("head_trains"), cross, F.col("on_time"), F.col("source"), F.col("seat.pct"))
-    )
-    advice = build.own_plan_b(
-        F.col("transfers"), p1["p90"], F.col("source"), F.col("seat.pct"), F.col("safety"), F.col("change_at"), F.col("hub_trains")
-    )
+    minutes = F.col("l1.minutes") + F.coalesce("l2.minutes", zero) + F.coalesce("wait", zero) + by_road(score.road_minutes)
+    fare = F.col("l1.fare") + F.coalesce("l2.fare", zero) + by_road(score.road_fare)
     return work.select(
-        "request_id", F.col("route_key"), F.col("route_id").alias("shown_id"), "pref", "from_place", "to_place",
-        F.when(cross, "cross-origin").otherwise("direct").alias("route_type"),
-        build.total_minutes(F.col("legs"), F.col("wait")).alias("minutes"), build.total_fare(F.col("legs")).alias("fare"),
-        "reliability", "transfers", "wait", "safety", "on_time", "source",
+        "request_id", "route_key", F.col("route_id").alias("shown_id"), "pref", "from_place", "to_place",
+        F.when(cross, "cross-origin").otherwise("direct").alias("route_type"), minutes.alias("minutes"), fare.alias("fare"),
+        rated.alias("reliability"), "transfers", "wait", "safety", "on_time", "source",
         F.col("seat.pct").alias("confirmation_pct"), F.col("seat.state").alias("confirmation"),
         F.when(change, F.col("change_at")).when(cross, F.col("board")).alias("hub"),
-        F.when(change, F.col("change_name")).when(cross, F.col("board_name")).alias("hub_name"),
         F.when(change, F.col("hub_trains")).otherwise(F.col("head_trains")).cast("int").alias("board_trains"),
-        F.col("board_name"), F.col("board").alias("board_code"), F.col("l1.train").alias("first_train"), F.col("l1.dep").alias("dep_min"),
-        F.lit(False).alias("road_only"), score.ac_available(F.col("classes")).alias("ac_available"), "classes",
-        main["train"].alias("main_train"), main["class_fares"].alias("class_fares"),
-        build.breakdown(F.col("transfers"), F.col("seat.pct"), F.col("on_time"), F.col("source"), F.col("safety"), F.col("first_km")).alias("breakdown"),
-        why.alias("why"), advice.alias("plan_b"), "legs", F.col("l1.train_name").alias("first_train_name"),
+        "board_name", F.col("board").alias("board_code"), "alight_name", F.col("l1.train").alias("first_train"),
+        F.col("l1.train_name").alias("first_train_name"), F.col("l1.dep").alias("dep_min"), F.lit(False).alias("road_only"),
+        score.ac_available(F.col("classes")).alias("ac_available"), "classes", "first_km", "last_km", "l1", "l2",
+        "o_lat", "o_lng", "d_lat", "d_lng", "b_lat", "b_lng", "a_lat", "a_lng",
     )
 
 
-def road_routes(trips: DataFrame, rail: DataFrame, columns: list[str]) -> DataFrame:
+def road_routes(trips: DataFrame, rail: DataFrame) -> DataFrame:
     """The road-only option, for short trips and for requests without any rail route."""
     served = rail.select("request_id").distinct().withColumn("__rail", F.lit(True))
     km = haversine_km(F.col("o_lat"), F.col("o_lng"), F.col("d_lat"), F.col("d_lng")) * fixed.ROAD_FACTOR
     work = trips.withColumn("km", km).join(served, "request_id", "left")
     work = work.filter((F.col("km") <= fixed.ROAD_ONLY_MAX_KM) | F.col("__rail").isNull())
-    cab = build.cab_leg(
-        F.col("from_place"), F.col("to_place"), F.col("km"), build.spot(F.col("o_lng"), F.col("o_lat")), build.spot(F.col("d_lng"), F.col("d_lat"))
+    rid = F.concat(F.lit("road-"), slug(F.col("from_place")), F.lit("-"), slug(F.col("to_place")))
+    known = {c: F.col(c) for c in ("request_id", "pref", "from_place", "to_place", "o_lat", "o_lng", "d_lat", "d_lng")}
+    known |= {
+        "route_key": rid, "shown_id": rid, "route_type": F.lit("direct"),
+        "minutes": F.greatest(F.lit(15), score.road_minutes(F.col("km"))), "fare": score.road_fare(F.col("km")),
+        "reliability": F.lit(fixed.ROAD_RELIABILITY), "transfers": F.lit(0), "confirmation": F.lit("confirmed"),
+        "road_only": F.lit(True), "classes": F.array().cast("array<string>"), "first_km": F.col("km"),
+    }
+    types = dict(rail.dtypes)
+    return work.select(*[known.get(c, F.lit(None)).cast(types[c]).alias(c) for c in rail.columns])
+
+
+def explained(routes: DataFrame, stations: DataFrame) -> DataFrame:
+    """Shown routes with their legs, score parts, reasons and main train."""
+    hub = stations.select(F.col("code").alias("hub"), F.col("name").alias("hub_name"), F.col("lat").alias("h_lat"), F.col("lng").alias("h_lng"))
+    work = routes.join(hub, "hub", "left")
+    change, road = F.col("transfers") == 1, F.col("road_only")
+    p1 = F.col("l1.profile")
+    o_spot, d_spot = build.spot(F.col("o_lng"), F.col("o_lat")), build.spot(F.col("d_lng"), F.col("d_lat"))
+    b_spot, a_spot = build.spot(F.col("b_lng"), F.col("b_lat")), build.spot(F.col("a_lng"), F.col("a_lat"))
+    h_spot = build.spot(F.col("h_lng"), F.col("h_lat"))
+
+    def rail(leg: str, start_name, end_name, start_spot, end_spot):
+        c = lambda f: F.col(f"{leg}.{f}")
+        return build.train_leg(c("train"), c("train_name"), start_name, end_name, c("dep"), c("arr"), c("minutes"), c("fare"), start_spot, end_spot)
+
+    one = F.array(rail("l1", F.col("board_name"), F.col("alight_name"), b_spot, a_spot))
+    two = F.array(
+        rail("l1", F.col("board_name"), F.col("hub"), b_spot, h_spot),
+        build.change_leg(F.col("hub"), F.col("board_trains"), F.col("wait"), F.col("safety")),
+        rail("l2", F.col("hub"), F.col("alight_name"), h_spot, a_spot),
     )
+    by_rail = build.with_access(
+        F.when(change, two).otherwise(one), F.col("first_km"), F.col("last_km"), F.col("from_place"), F.col("to_place"),
+        F.col("board_name"), F.col("alight_name"), o_spot, b_spot, a_spot, d_spot,
+    )
+    cab = build.cab_leg(F.col("from_place"), F.col("to_place"), F.col("first_km"), o_spot, d_spot)
     cab = cab.withField("name", F.concat(F.lit("Road · "), F.col("from_place"), F.lit(" → "), F.col("to_place")))
-    minutes = F.greatest(F.lit(15), score.road_minutes(F.col("km")))
-    rid = F.concat(F.lit("road-"), slug(F.col("from_place")), F.lit("-"), slug(F.col("to_place")))
 
     def part(label, value):
         return F.struct(F.lit(label).alias("label"), F.lit(value).alias("value"), F.lit(None).cast("int").alias("weight"))
 
-    known = {
-        "request_id": F.col("request_id"), "route_key": rid, "shown_id": rid, "pref": F.col("pref"), "from_place": F.col("from_place"),
-        "to_place": F.col("to_place"), "route_type": F.lit("direct"), "minutes": minutes, "fare": score.road_fare(F.col("km")),
-        "reliability": F.lit(fixed.ROAD_RELIABILITY), "transfers": F.lit(0), "confirmation": F.lit("confirmed"),
-        "road_only": F.lit(True), "classes": F.array().cast("array<string>"),
-        "breakdown": F.array(part("No transfers", 100), part("Always available", 90), part("Door to door", 95)),
-        "why": build.why_road(F.col("km"), minutes), "legs": F.array(cab),
-    }
-    types = dict(rail.dtypes)
-    return work.select(*[known.get(c, F.lit(None)).cast(types[c]).alias(c) for c in columns])
+    road_parts = F.array(part("No transfers", 100), part("Always available", 90), part("Door to door", 95))
+    parts = build.breakdown(F.col("transfers"), F.col("confirmation_pct"), F.col("on_time"), F.col("source"), F.col("safety"), F.col("first_km"))
+    main = F.when(change & (F.col("l2.minutes") > F.col("l1.minutes")), F.col("l2")).otherwise(F.col("l1"))
+    why = (
+        F.when(road, build.why_road(F.col("first_km"), F.col("minutes")))
+        .when(change, build.why_change(F.col("hub"), F.col("board_trains"), F.col("wait"), F.col("safety")))
+        .otherwise(build.why_direct(
+            F.col("board_name"), F.col("first_km"), F.col("board_trains"), F.col("route_type") == "cross-origin",
+            F.col("on_time"), F.col("source"), F.col("confirmation_pct"),
+        ))
+    )
+    advice = build.own_plan_b(
+        F.col("transfers"), p1["p90"], F.col("source"), F.col("confirmation_pct"), F.col("safety"), F.col("hub"), F.col("board_trains")
+    )
+    inner = ["l1", "l2", "o_lat", "o_lng", "d_lat", "d_lng", "b_lat", "b_lng", "a_lat", "a_lng", "h_lat", "h_lng"]
+    return (
+        work.withColumn("legs", F.when(road, F.array(cab)).otherwise(by_rail))
+        .withColumn("breakdown", F.when(road, road_parts).otherwise(parts))
+        .withColumn("why", why).withColumn("plan_b", F.when(~road, advice))
+        .withColumn("main_train", main["train"]).withColumn("class_fares", main["class_fares"])
+        .withColumn("days", main["days"]).withColumn("delay", p1).drop(*inner)
+    )
 
 
 class TripSearch:
@@ -366,13 +390,14 @@ class TripSearch:
         """All scored rail routes."""
         routes, legs = rail_legs(self.directs, self.changes)
         scored = scored_legs(legs, self.trips, self.tables, self.model)
-        return cut_lineage(assembled(routes, scored, self.trips, *self.heads, self.tables))
+        return cut_lineage(scored_routes(routes, scored, self.trips, *self.heads))
 
     @cached_property
     def shown(self) -> DataFrame:
         """The ranked and cut list per request, road option included."""
-        every = self.rail.unionByName(road_routes(self.trips, self.rail, self.rail.columns))
-        return cut_lineage(ranking.cap_routes(every.withColumn("route_id", F.col("route_key"))))
+        every = self.rail.unionByName(road_routes(self.trips, self.rail))
+        chosen = ranking.cap_routes(every.withColumn("route_id", F.col("route_key")))
+        return cut_lineage(explained(chosen, self.tables.stations))
 
     @cached_property
     def routes(self) -> DataFrame:
