@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wayframe.operators import journeys, stations as places, timetable
 from wayframe.plans.search import dated
-from wayframe.session import cut_lineage
+from wayframe.session import cut_lineage, cut_lineages
 
 from .catalog import query
 from .views import VIEWS, hav
@@ -92,9 +92,10 @@ class Trips:
     def __init__(self, net):
         self.net = net
         stops = cut_lineage(net.stops())  # read by several steps of a query
-        self.stations = cut_lineage(timetable.with_train_counts(net.stations_raw(), stops))
         self.trains = net.trains()
-        self.stops = cut_lineage(timetable.stop_detour(stops, self.stations))
+        self.stations, self.stops = cut_lineages(
+            timetable.with_train_counts(net.stations_raw(), stops), timetable.stop_detour(stops, net.stations_raw())
+        )
         spot = net.places().select("id", "lat", "lng")
         o = spot.select(F.col("id").alias("request_id"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"))
         d = spot.select(F.col("id").alias("to_id"), F.col("lat").alias("d_lat"), F.col("lng").alias("d_lng"))

@@ -7,7 +7,7 @@ from wayframe.operators import delays, fares, journeys, model, timetable
 from wayframe.operators import ranking
 from wayframe.plans import jobs
 from wayframe.plans.search import Settings, Tables, TripSearch
-from wayframe.session import cut_lineage
+from wayframe.session import cut_lineage, cut_lineages
 from wayframe.sources.files import calendar_table
 
 from .catalog import query
@@ -134,17 +134,18 @@ VIEWS["v_sshown"] = VIEWS["v_capped"].replace("v_overflow", "v_soverflow").repla
 
 
 def search_tables(net, **changed):
+    """What a deployment keeps as tables, built here from the supplied ones."""
     stops = cut_lineage(net.stops())
-    stations = cut_lineage(timetable.with_train_counts(net.stations_raw(), stops))
     stats = delays.delay_stats(net.observations()).withColumn("train_no", F.lpad("train_no", 7, "0"))
     quotes = net.quotes()
-    parts = dict(
-        cities=net.places(), stations=stations, stops=cut_lineage(timetable.stop_detour(stops, stations)), trains=net.trains(),
-        delays=cut_lineage(stats), distances=cut_lineage(journeys.station_distances(stops)),
-        knots=cut_lineage(fares.stored_knots(fares.fit_isotonic(quotes))), fits=cut_lineage(fares.fit_linear(quotes)),
-        calendar=calendar_table(net.spark),
+    stations, guarded, measured, distances, knots, fits = cut_lineages(
+        timetable.with_train_counts(net.stations_raw(), stops), timetable.stop_detour(stops, net.stations_raw()), stats,
+        journeys.station_distances(stops), fares.stored_knots(fares.fit_isotonic(quotes)), fares.fit_linear(quotes),
+    )
+    return Tables(
+        cities=net.places(), stations=stations, stops=guarded, trains=net.trains(), delays=measured, distances=distances,
+        knots=knots, fits=fits, calendar=calendar_table(net.spark),
     )
-    return Tables(**{**parts, **changed})
 
 
 def settings():

@@ -16,7 +16,7 @@ from ..operators import journeys, ranking, stations as places
 from ..operators.fares import class_fares
 from ..operators.model import QuantileForest, predict_quantiles
 from ..operators.userlog import validate_requests
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_lineages
 from . import routes as build
 
 
@@ -89,9 +89,10 @@ def railheads(trips: DataFrame, t: Tables, s: Settings) -> tuple[DataFrame, Data
     def heads(lat: str, lng: str, ladder: list[float]) -> DataFrame:
         points = trips.select("request_id", F.col(lat).alias("lat"), F.col(lng).alias("lng"))
         out = places.nearest_railheads(points, t.stations, ladder, hub_min=s.head_hub_min)
-        return cut_lineage(out.drop("lat", "lng", "tier_km"))
+        return out.drop("lat", "lng", "tier_km")
 
-    return heads("o_lat", "o_lng", s.origin_ladder), heads("d_lat", "d_lng", s.dest_ladder)
+    o, d = cut_lineages(heads("o_lat", "o_lng", s.origin_ladder), heads("d_lat", "d_lng", s.dest_ladder))
+    return o, d
 
 
 def _ends(rides: DataFrame, o: DataFrame, d: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +24,21 @@ def build_session(app: str = "wayframe", master: str | None = None, partitions:
     return builder.getOrCreate()
 
 
+def cut_lineages(*frames: DataFrame) -> list[DataFrame]:
+    """Checkpoint tables that do not depend on each other, as jobs that run side by side."""
+    _checkpoint_folder(frames[0].sparkSession)
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(lambda df: df.checkpoint(), frames))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``.
+    """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``."""
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
 
-    Only where that setting is unset and the session is local (tests) is a scratch folder chosen.
-    """
-    spark = df.sparkSession
+
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """Use the cluster's folder; only a local session (tests) that names none gets a scratch folder."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -37,4 +47,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="wayframe-checkpoint-"))
-    return df.checkpoint()
