@@ -166,20 +166,21 @@ def reliability_parts(net):
 
 
 @query("""
-SELECT request_id, concat_ws('|', CASE WHEN conf IS NOT NULL THEN 'Confirmation odds=' || CAST(conf AS VARCHAR) END,
-  'On-time reliability=' || CAST(CAST(floor(ot + 0.5) AS INTEGER) AS VARCHAR), CASE WHEN safe IS NOT NULL THEN 'Connection safety=' || CAST(CAST(floor(safe + 0.5) AS INTEGER) AS VARCHAR) END) AS parts
-FROM (SELECT request_id, CASE WHEN request_id % 3 <> 0 THEN max(reliability) END AS conf, avg(reliability) AS ot, avg(fare % 100) FILTER (transfers = 1) AS safe FROM v_routes GROUP BY 1)
+SELECT route_id, concat_ws('|', CASE WHEN route_id % 3 <> 0 THEN 'Confirmation odds=' || CAST(reliability AS VARCHAR) END,
+  'On-time reliability=' || CAST(CAST(floor((reliability + minutes % 101) / 2 + 0.5) AS INTEGER) AS VARCHAR),
+  CASE WHEN transfers = 1 THEN 'Connection safety=' || CAST(fare % 100 AS VARCHAR) END) AS parts FROM v_routes
 """)
 def mean_parts(net):
-    leg = F.struct(
-        F.when(F.col("transfers") == 1, "connection").otherwise("train").alias("mode"), F.col("reliability").alias("on_time"),
-        F.when(F.col("transfers") == 1, F.col("fare") % 100).alias("safety"),
-    )
-    both = F.array(leg.withField("mode", F.lit("train")).withField("safety", F.lit(None).cast("int")), leg.withField("mode", F.lit("connection")))
-    rows = net.routes().groupBy("request_id").agg(F.flatten(F.collect_list(both)).alias("legs"), F.max("reliability").alias("conf"))
-    parts = build.mean_breakdown(F.col("legs"), F.when(F.col("request_id") % 3 != 0, F.col("conf")))
+    none = F.lit(None).cast("int")
+
+    def leg(mode, on_time, safety):
+        return F.struct(F.lit(mode).alias("mode"), on_time.alias("on_time"), safety.alias("safety"))
+
+    link = F.when(F.col("transfers") == 1, F.col("fare") % 100)
+    legs = F.array(leg("train", F.col("reliability"), none), leg("connection", none, link), leg("train", F.col("minutes") % 101, none))
+    parts = build.mean_breakdown(legs, F.when(F.col("route_id") % 3 != 0, F.col("reliability")))
     text = F.transform("p", lambda x: F.concat(x["label"], F.lit("="), x["value"].cast("string")))
-    return rows.withColumn("p", parts).select("request_id", F.array_join(text, "|").alias("parts"))
+    return net.routes().withColumn("p", parts).select("route_id", F.array_join(text, "|").alias("parts"))
 
 
 @query("""

@@ -7,7 +7,7 @@ from wayframe.operators import delays, fares, journeys, model, timetable
 from wayframe.operators import ranking
 from wayframe.plans import jobs
 from wayframe.plans.search import Settings, Tables, TripSearch
-from wayframe.session import cut_lineage, cut_lineages
+from wayframe.session import cut_lineage, cut_lineages, scratch_folder
 from wayframe.sources.files import calendar_table
 
 from .catalog import query
@@ -367,10 +367,8 @@ def stratified_report(net):
 
 def run_stream(df, name: str):
     """Run a stream over all files to its end and give the rows it wrote."""
-    import tempfile
-
     spark = df.sparkSession
-    folder = tempfile.mkdtemp(prefix="wayframe-stream-")
+    folder = scratch_folder(spark, "wayframe-stream")
     running = (
         df.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True).outputMode("append").start()
@@ -387,11 +385,9 @@ def event_stream(net):
 @query("SELECT event_id, user_id, ts FROM (SELECT user_id, event_type, CAST(ts AS DATE) AS d, min(event_id) AS event_id, min(ts) AS ts FROM events GROUP BY 1, 2, 3)")
 def stream_latest_batches(net):
     """First event per user, type and day through the batch writer and the current table."""
-    import tempfile
-
     from wayframe.streaming.feeds import append_latest, current_table
 
-    folder = tempfile.mkdtemp(prefix="wayframe-upserts-")
+    folder = scratch_folder(net.spark, "wayframe-upserts")
     keys, order = ["user_id", "event_type", "d"], ["back"]
     rows = event_stream(net).select("event_id", "ts", "user_id", "event_type", F.to_date("ts").alias("d"), (-F.col("event_id")).alias("back"))
     running = (

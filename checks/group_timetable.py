@@ -363,3 +363,21 @@ def train_dimension(net):
         text.norm_train_no(F.col("number")).alias("number"), F.split_part("name", F.lit(" "), F.lit(1)).alias("label"),
         text.guess_classes(code).alias("classes"),
     )
+
+
+@query("""
+SELECT train_number, seq, station_code, t.name AS train_name FROM v_stops LEFT JOIN (SELECT * FROM v_trains WHERE kind <> 'EXP') t ON number = train_number
+""")
+def stops_with_train_names(net):
+    names = net.trains().filter(F.col("kind") != "EXP").select("number", "name")
+    out = timetable.with_train_names(net.stops(), names)
+    return out.select("train_number", "seq", "station_code", "train_name")
+
+
+@query("""
+SELECT train_number, seq, station_code FROM v_stops WHERE train_number IN (SELECT number FROM v_trains WHERE kind = 'EXP')
+""")
+def stops_of_added_trains(net):
+    """Stops that come with gap-filling trains."""
+    added = net.trains().filter(F.col("kind") == "EXP")
+    return timetable.stops_of(net.stops(), added).select("train_number", "seq", "station_code")

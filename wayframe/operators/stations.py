@@ -117,7 +117,8 @@ def _city_candidates(keys: DataFrame, cities: DataFrame, keep: int = 5) -> DataF
     """Most populous cities per key; either spelling matches, as two equi-joins."""
     by_name = cities.withColumn("__k", F.lower("name"))
     by_ascii = cities.withColumn("__k", F.lower("asciiname"))
-    both = by_name.unionByName(by_ascii).dropDuplicates(["__k", "id"])
+    asked = keys.select(F.col("lookup").alias("__k")).distinct()
+    both = by_name.unionByName(by_ascii).join(asked, "__k", "left_semi").dropDuplicates(["__k", "id"])
     over = W.partitionBy("__k").orderBy(F.desc_nulls_last("population"), "id")
     ranked = both.withColumn("pop_rank", F.row_number().over(over)).filter(F.col("pop_rank") <= keep)
     return keys.join(ranked, keys["lookup"] == ranked["__k"]).drop("__k")

@@ -47,6 +47,12 @@ def stops_of(stops: DataFrame, trains: DataFrame) -> DataFrame:
     return stops.join(trains.select(F.col("number").alias("train_number")).distinct(), "train_number", "left_semi")
 
 
+def with_train_names(stops: DataFrame, trains: DataFrame) -> DataFrame:
+    """Stops with the name of their train; NULL for a train that is not listed."""
+    names = trains.select(F.col("number").alias("train_number"), F.col("name").alias("train_name"))
+    return stops.join(names, "train_number", "left")
+
+
 def append_with_ids(existing: DataFrame, new: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
     """New rows with ids that go on after the largest id in use.
 
@@ -54,10 +60,10 @@ def append_with_ids(existing: DataFrame, new: DataFrame, order: list[str], id_co
     holds them all. One largest id is read by the driver.
     """
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top")).first()["top"]
-    buckets = 1024
+    buckets = 1 << 16
     work = new.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = work.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)  # at most 1024 rows
+    before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)  # one row per bucket
     shift = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
     local = F.row_number().over(W.partitionBy("__bucket").orderBy(*order))
     return (

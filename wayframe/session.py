@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +38,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names; None in a local session (tests) that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return folder or None
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for written tables and stream state that every executor can reach."""
+    folder = shared_folder(spark)
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix=f"{label}-")
+
+
 def _checkpoint_folder(spark: SparkSession) -> None:
-    """Use the cluster's folder; only a local session (tests) that names none gets a scratch folder."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = shared_folder(spark)
     if folder:
         context.setCheckpointDir(folder)
     elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="wayframe-checkpoint-"))

@@ -7,10 +7,13 @@ the whole table. Real input comes through ``sources.files``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions.text import minutes_clock
+from ..operators.delays import clean_observations
+from ..operators.segments import full_rank, segmented
+from ..operators.timetable import with_train_counts
 
 
 class Network:
@@ -25,18 +28,22 @@ class Network:
     # --- timetable -------------------------------------------------------------------------------
 
     def stops(self) -> DataFrame:
-        """lineitem as train stops with clocks, journey day and cumulative km."""
-        order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_shipdate")
-        so_far = W.partitionBy("l_orderkey").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-        rows = self.table("lineitem").select(
-            "l_orderkey", "l_suppkey", "l_partkey", F.row_number().over(order).alias("seq"),
-            F.count(F.lit(1)).over(W.partitionBy("l_orderkey")).alias("n"),
-        )
+        """lineitem as train stops with clocks, journey day and cumulative km.
+
+        Lines are numbered and summed in segments, so an order that holds a large part of the table
+        is no single task.
+        """
+        order = ["l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_shipdate"]
+        lines = self.table("lineitem").select("l_orderkey", *order)
+        numbered = full_rank(lines, ["l_orderkey"], [F.col("l_linenumber")], [F.col(c) for c in order], "seq")
         first = F.col("seq") == 1
-        arr = F.col("l_orderkey") * 17 % 1430 + F.sum(F.when(first, 0).otherwise(33 + F.col("l_partkey") % 180)).over(so_far)
-        km = F.sum(F.when(first, 0).otherwise(20 + F.col("l_partkey") % 150)).over(so_far)
-        rows = rows.select("*", arr.alias("a"), km.alias("km"))
-        last = F.col("seq") == F.col("n")
+        ride = F.when(first, 0).otherwise(33 + F.col("l_partkey") % 180)
+        length = F.when(first, 0).otherwise(20 + F.col("l_partkey") % 150)
+        rows = segmented(
+            numbered.select("l_orderkey", "l_suppkey", "l_partkey", "seq"), ["l_orderkey"], "seq",
+            sums={"ride": ride, "km": length}, nexts={"more": F.lit(1)},
+        ).withColumn("a", F.col("l_orderkey") * 17 % 1430 + F.col("ride"))
+        last = F.col("more").isNull()
         end = F.when(last, F.col("a")).otherwise(F.col("a") + 3)
         return rows.select(
             F.lpad(F.col("l_orderkey").cast("string"), 7, "0").alias("train_number"),
@@ -61,16 +68,12 @@ class Network:
         )
 
     def stations(self) -> DataFrame:
-        from ..operators.timetable import with_train_counts
-
         return with_train_counts(self.stations_raw(), self.stops())
 
     def trains(self) -> DataFrame:
         """orders as trains with names, classes, running days and operating months."""
         k = F.col("o_orderkey")
         mask = (k % 127 + 1).cast("int")
-        from .. import fixed
-
         days = F.array_compact(
             F.array(*[F.when(mask.bitwiseAND(1 << i) != 0, F.lit(d)) for i, d in enumerate(fixed.WEEKDAYS)])
         )
@@ -120,8 +123,6 @@ class Network:
         )
 
     def observations(self) -> DataFrame:
-        from ..operators.delays import clean_observations
-
         return clean_observations(self.observations_raw())
 
     def quotes(self) -> DataFrame:
