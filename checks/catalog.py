@@ -14,6 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def oracles() -> dict[str, str]:
+    """Runnable SQL per query; views are put in front once every group has named its own."""
+    return {key: with_views(sql) for key, sql in ORACLES.items()}
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Register ``f(net)`` under its own name, with the SQL that must give the same rows."""
 
@@ -23,7 +28,7 @@ def query(sql: str | None = None, name: str | None = None):
             raise ValueError(f"query {key} is registered twice")
         QUERIES[key] = lambda spark, folder: f(Network(spark, folder))
         if sql is not None:
-            ORACLES[key] = with_views(sql)
+            ORACLES[key] = sql
         return f
 
     return register

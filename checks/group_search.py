@@ -133,7 +133,7 @@ VIEWS["v_soverflow"] = VIEWS["v_overflow"].replace("v_keys", "v_skeys")
 VIEWS["v_sshown"] = VIEWS["v_capped"].replace("v_overflow", "v_soverflow").replace("<= 6", "<= 15").replace("<= 7", "<= 16")
 
 
-def search_tables(net, **changed):
+def search_tables(net):
     """What a deployment keeps as tables, built here from the supplied ones."""
     stops = cut_lineage(net.stops())
     stats = delays.delay_stats(net.observations()).withColumn("train_no", F.lpad("train_no", 7, "0"))

@@ -3,4 +3,4 @@
 from . import (  # noqa: F401
     group_delays, group_journeys, group_places, group_routes, group_scores, group_search, group_text, group_timetable,
 )
-from .catalog import ORACLES, QUERIES  # noqa: F401
+from .catalog import QUERIES, oracles  # noqa: F401

@@ -1,12 +1,14 @@
 """Delay quantiles: feature table, bounded samples per train, quantile forest, calibration.
 
 The forest is Spark ML's regression forest; each leaf keeps the quantiles of its training delays
-(a quantile regression forest), and a row gets the mean of its leaves' quantiles.
+(a quantile regression forest), and a row gets the mean of its leaves' quantiles. Each level is then
+shifted by the quantile of its own errors on rows kept aside (conformal quantile regression), so that
+the stated share of delays is covered.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -95,11 +97,12 @@ class QuantileForest:
     leaves: list[list[list[float]]]
     n_rows: int
     trained_at: str
+    shifts: list[float] = field(default_factory=lambda: [0.0] * len(LEVELS))
 
     def metadata(self, spark, mae_model: float | None = None, mae_baseline: float | None = None) -> DataFrame:
         return spark.createDataFrame(
-            [(self.trained_at, self.n_rows, mae_model, mae_baseline)],
-            "trained_at string, n_rows bigint, mae_model double, mae_baseline double",
+            [(self.trained_at, self.n_rows, mae_model, mae_baseline, self.shifts)],
+            "trained_at string, n_rows bigint, mae_model double, mae_baseline double, shifts array<double>",
         )
 
     def save(self, path: str) -> None:
@@ -119,7 +122,7 @@ def load_forest(spark, path: str) -> QuantileForest:
             leaves.append([])
         leaves[r["tree"]].append(list(r["curve"]))
     meta = spark.read.json(f"{path}/metadata").first()
-    return QuantileForest(forest, leaves, meta["n_rows"], meta["trained_at"])
+    return QuantileForest(forest, leaves, meta["n_rows"], meta["trained_at"], list(meta["shifts"]))
 
 
 def leaf_quantiles(scored: DataFrame) -> DataFrame:
@@ -159,6 +162,21 @@ def fit_quantile_forest(
     return QuantileForest(forest, leaves, n_rows, trained_at)
 
 
+def calibrated(model: QuantileForest, rows: DataFrame, accuracy: int = 10_000) -> QuantileForest:
+    """The forest with every level moved by that quantile of its errors on the given rows.
+
+    The errors are summed up in a sketch of bounded size per level; six numbers reach the driver.
+    """
+    scored = predict_quantiles(model, rows, gate=False)
+    errors = [
+        F.percentile_approx(F.col("delay") - F.element_at("raw_curve", i + 1), q, accuracy).alias(f"e{i}")
+        for i, q in enumerate(LEVELS)
+    ]
+    found = scored.agg(*errors).first()
+    shifts = [s + (found[f"e{i}"] or 0.0) for i, s in enumerate(model.shifts)]
+    return replace(model, shifts=shifts)
+
+
 def predict_quantiles(model: QuantileForest, rows: DataFrame, gate: bool = True) -> DataFrame:
     """Add ``curve``, ``avg_delay``, ``p50`` and ``p90``; NULL where a row may not be predicted.
 
@@ -172,15 +190,16 @@ def predict_quantiles(model: QuantileForest, rows: DataFrame, gate: bool = True)
         "__leaf", lambda leaf, tree: F.get(F.get(F.col("__table"), tree), leaf.cast("int"))
     )
     n = len(model.leaves)
+    shifts = F.array(*[F.lit(float(x)) for x in model.shifts])
     curve = F.transform(
         F.sequence(F.lit(0), F.lit(len(LEVELS) - 1)),
-        lambda i: F.aggregate(curves, F.lit(0.0), lambda acc, c: acc + F.get(c, i)) / n,
+        lambda i: F.aggregate(curves, F.lit(0.0), lambda acc, c: acc + F.get(c, i)) / n + F.get(shifts, i),
     )
     allowed = F.lit(True)
     if gate:
         known = (F.col("baseline") >= 0) | (F.col("baseline") < -1)
         allowed = known & (F.col("dow") >= 0) & (F.col("month") >= 1) & (F.col("day_offset") <= fixed.MODEL_MAX_DAY_OFFSET)
-    out = joined.withColumn("curve", F.when(allowed, monotone(curve)))
+    out = joined.withColumn("raw_curve", F.when(allowed, curve)).withColumn("curve", monotone(F.col("raw_curve")))
     out = out.drop("__leaf", "__one", "__table", "features", "leaf", "prediction", "no_position")
     mid, tail = LEVELS.index(0.5) + 1, LEVELS.index(0.9) + 1
     return (

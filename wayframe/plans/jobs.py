@@ -144,10 +144,12 @@ class Training:
 def train_delay_model(
     features: DataFrame, trained_at: str, identity: list[str], cap: int = 400, seed: int = 42, **forest_args
 ) -> Training:
-    """Sample per train, split by hash, fit the forest, score the held-out rows."""
+    """Sample per train, split by hash, fit and calibrate the forest, score the held-out rows."""
     sample = cut_lineage(model.sample_per_key(features, "train_no", identity, cap, seed))
     held = model.is_held_out(identity, seed=seed)
-    forest = model.fit_quantile_forest(sample.filter(~held), trained_at, seed=seed, **forest_args)
+    aside = model.is_held_out(identity, seed=seed + 1)
+    forest = model.fit_quantile_forest(sample.filter(~held & ~aside), trained_at, seed=seed, **forest_args)
+    forest = model.calibrated(forest, sample.filter(~held & aside))
     # calibration covers all rows, also later journey days, which are refused when serving
     scored = cut_lineage(model.predict_quantiles(forest, sample.filter(held), gate=False))
     return Training(forest, scored, model.error_report(scored), model.coverage_report(scored), model.stratified_report(scored))
