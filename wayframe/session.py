@@ -19,7 +19,8 @@ def build_session(app: str = "wayframe", master: str | None = None, partitions:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        # a local session runs its tasks in the driver's JVM
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "16g")
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
