@@ -123,7 +123,8 @@ def best_first_legs(
     """The shortest ride per (request, hub), for the busiest hubs a request reaches.
 
     The minimum is taken per (board, hub) first, once without a date and once per weekday, so the
-    requests join a table of station pairs and not the rides themselves.
+    requests join a table of station pairs and not the rides themselves. Of each board only so many
+    of its busiest hubs are kept as a request can use after its own railheads are left out.
     """
     info = trains.select(F.col("number").alias("train"), "days")
     hub_codes = hubs.select(F.col("code"))
@@ -133,22 +134,28 @@ def best_first_legs(
         F.min(F.when(runs_on(F.col("days"), F.lit(d)), ride)).alias(d) for d in fixed.WEEKDAYS
     ]
     best = rides.groupBy("board", F.col("alight").alias("hub")).agg(*per_day)
-    best = best.select("board", "hub", F.array("any_day", *fixed.WEEKDAYS).alias("by_day"))
-    day_index = F.coalesce(
-        F.array_position(F.array(*[F.lit(d) for d in fixed.WEEKDAYS]), F.col("day3")).cast("int"), F.lit(0)
-    )
-    o = o_heads.select("request_id", F.col("code").alias("board")).join(requests.select("request_id", "day3"), "request_id")
-    reached = (
-        o.join(best, "board").withColumn("r", F.element_at("by_day", day_index + 1)).filter(F.col("r").isNotNull())
-        .groupBy("request_id", "hub")
-        .agg(F.min(F.struct("r.minutes", "r.train", "board", "r.b_seq", "r.a_seq", "r.dep", "r.arr", "r.arr_day")).alias("r"))
-        .select("request_id", "hub", "r.*")
-    )
+    best = best.select("board", "hub", F.posexplode(F.array("any_day", *fixed.WEEKDAYS)).alias("day_no", "r"))
+    busy = hubs.select(F.col("code").alias("hub"), F.col("num_trains").alias("hub_trains"))
     own = o_heads.select("request_id", F.col("code").alias("hub")).unionByName(
         d_heads.select("request_id", F.col("code").alias("hub"))
+    ).distinct()
+    # a request drops its own heads and keeps its busiest hubs, so of each board no more can matter
+    most_own = own.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    per_board = W.partitionBy("board", "day_no").orderBy(F.desc("hub_trains"), "hub")
+    best = (
+        best.filter(F.col("r").isNotNull()).join(busy, "hub")
+        .withColumn("__rn", F.row_number().over(per_board)).filter(F.col("__rn") <= top_hubs + most_own)
+        .select("board", "hub", "day_no", "hub_trains", "r.*")
     )
-    reached = reached.join(own, ["request_id", "hub"], "left_anti").join(
-        hubs.select(F.col("code").alias("hub"), F.col("num_trains").alias("hub_trains")), "hub"
+    names = F.array(*[F.lit(d) for d in fixed.WEEKDAYS])
+    day_no = F.when(F.col("day3").isNull(), 0).otherwise(F.array_position(names, F.col("day3"))).cast("int")
+    o = o_heads.select("request_id", F.col("code").alias("board")).join(
+        requests.select("request_id", day_no.alias("day_no")), "request_id"
+    )
+    ride = F.struct("minutes", "train", "board", "b_seq", "a_seq", "dep", "arr", "arr_day")
+    reached = (
+        o.join(best, ["board", "day_no"]).groupBy("request_id", "hub", "hub_trains").agg(F.min(ride).alias("r"))
+        .select("request_id", "hub", "hub_trains", "r.*").join(own, ["request_id", "hub"], "left_anti")
     )
     over = W.partitionBy("request_id").orderBy(F.desc("hub_trains"), "hub")
     return (
