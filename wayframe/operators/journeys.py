@@ -169,7 +169,7 @@ def best_first_legs(
 
 
 def connections(
-    first_legs: DataFrame, requests: DataFrame, d_heads: DataFrame, stops: DataFrame, trains: DataFrame,
+    first_legs: DataFrame, requests: DataFrame, d_heads: DataFrame, stops: DataFrame, trains: DataFrame, hubs: DataFrame,
     max_wait: int = fixed.MAX_WAIT, guard_km: float = fixed.DETOUR_GUARD_KM,
 ) -> DataFrame:
     """Second legs that leave the hub inside the wait window; first reachable head per second train.
@@ -178,9 +178,7 @@ def connections(
     destinations.
     """
     info = trains.select(F.col("number").alias("train"), "days")
-    rides = ride_pairs(
-        stops, first_legs.select(F.col("hub").alias("code")), d_heads.select("code"), False, True, guard_km
-    ).join(info, "train", "left")
+    rides = ride_pairs(stops, hubs.select("code"), d_heads.select("code"), False, True, guard_km).join(info, "train", "left")
     second = rides.select(
         F.col("board").alias("hub"), "alight", F.col("train").alias("t2"), F.col("b_seq").alias("b2_seq"),
         F.col("a_seq").alias("a2_seq"), F.col("dep").alias("dep2"), F.col("arr").alias("arr2"),
@@ -226,7 +224,7 @@ def one_change(
         known = p50_of.select(F.col("train_no").alias("t1"), F.col("p50").alias("__flat"))
         legs = legs.join(known, "t1", "left").withColumn("__p50", F.coalesce("__p50", "__flat")).drop("__flat")
     legs = legs.withColumn("min_buf", min_buffer(F.col("__p50"))).drop("__p50")
-    met = connections(legs, requests, d_heads, stops, trains, max_wait, guard_km)
+    met = connections(legs, requests, d_heads, stops, trains, hubs, max_wait, guard_km)
     keep = [c for c in met.columns if c not in ("request_id", "board", "hub", "alight")]
     best = met.groupBy("request_id", "board", "hub", "alight").agg(
         F.min_by(F.struct(*keep), F.struct("cost", "t2", "b2_seq", "a2_seq")).alias("r")
