@@ -139,10 +139,10 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; see exact_groups."""
-    digest, number = free_name(docs.columns, "text_digest"), free_name(docs.columns, "row_of_digest")
-    kept = exact_groups(docs, id_column, text_column).where("kept").select(F.col(id_column).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    kept = kept.select(F.struct("kept_id", "kept_sha").alias("kept_key"))
-    marked = docs.withColumn(digest, F.sha2(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")), 256))
-    chosen = marked.join(kept, F.struct(marked[id_column], marked[digest]) == F.col("kept_key"), "left_semi")
-    once = chosen.withColumn(number, F.row_number().over(Window.partitionBy(id_column, digest).orderBy(F.lit(1))))
+    key, number = free_name(docs.columns, "id_and_digest"), free_name(docs.columns, "row_of_digest")
+    kept = exact_groups(docs, id_column, text_column).where("kept").select(F.struct(F.col(id_column).alias("id"), F.col("text_sha256").alias("sha")).alias("kept_key"))
+    digest = F.sha2(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")), 256)
+    marked = docs.withColumn(key, F.struct(F.col(f"`{id_column}`").alias("id"), digest.alias("sha")))
+    chosen = marked.join(kept, marked[key] == kept["kept_key"], "left_semi")
+    once = chosen.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
     return once.where(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

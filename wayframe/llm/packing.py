@@ -12,6 +12,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import kept_by_worker
+
 #: Fixed value: the word pattern of the tokenizer file.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 END_ID = 1
 #: Ids that the program looks at together; it settles all but the last sequence of them.
 BLOCK = 64
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Words, and tokens of the word pattern, whose ids a worker remembers.
+REMEMBERED = 600_000
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,18 @@ class Costs:
     stretch: int = 64
 
 
+class Numbers(dict):
+    """Numbers words in the order of their first use; ``new`` are those numbered since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer file, remembering the ids of the words met so far."""
 
@@ -63,10 +78,13 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.tokens: dict[str, int] = {}
-        self.word_ids, self.word_off = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.tokens = Numbers()
         self.token_ids, self.token_off = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self._forget_words()
+
+    def _forget_words(self) -> None:
+        self.words = Numbers()
+        self.word_ids, self.word_off = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _learn_tokens(self, new: list[str]) -> None:
         encoded = np.array(self.single.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int32)
@@ -74,40 +92,51 @@ class WordIds:
         if len(ends) != len(new):  # a token without word end: encode one by one
             each = [e.ids for e in self.single.encode_batch_fast(new, add_special_tokens=False)]
             encoded, ends = np.array([i for e in each for i in e], np.int32), np.cumsum([len(e) for e in each])
-        self.tokens.update(zip(new, range(len(self.tokens), len(self.tokens) + len(new))))
         self.token_ids, self.token_off = np.concatenate([self.token_ids, encoded]), np.concatenate([self.token_off, self.token_off[-1] + ends])
 
+    def _tokens(self, word: str) -> list[str]:
+        if word.isalpha():
+            return [word]
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.pattern.findall(word)
+
     def _learn_words(self, new: list[str]) -> None:
-        parts = [self.pattern.findall(w.lower() if w.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", w)))) for w in new]
-        unseen = list(dict.fromkeys(p for part in parts for p in part if p not in self.tokens))
-        if unseen:
-            self._learn_tokens(unseen)
-        flat = np.fromiter((self.tokens[p] for part in parts for p in part), np.int64)
+        parts = [self._tokens(w) for w in new]
+        flat = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(parts)), np.int64)
+        if self.tokens.new:
+            self._learn_tokens(self.tokens.new)
+            self.tokens.new = []
         ids, off = gathered(self.token_ids, self.token_off, flat)
-        edge = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-        self.word_ids, self.word_off = np.concatenate([self.word_ids, ids]), np.concatenate([self.word_off, self.word_off[-1] + off[edge[1:]]])
+        edge = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        self.word_ids, self.word_off = np.concatenate([self.word_ids, ids]), np.concatenate([self.word_off, self.word_off[-1] + off[edge]])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by END_ID, and the number of ids of each."""
-        if len(self.words) > REMEMBERED:
+        if len(self.tokens) > REMEMBERED:
             self.forget()
+        if len(self.words) > REMEMBERED:
+            self._forget_words()
         # spaces and line ends never are inside a token, so the words between them can be encoded one by one
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = set()
-        for words in split:
-            fresh.update(words)
-        fresh.difference_update(self.words)
-        if fresh:
-            self._learn_words(list(fresh))
+        split = [normal(t).replace("\n", " ").split(" ") for t in texts]
         find = self.words.__getitem__
         places = np.concatenate([np.fromiter(map(find, words), np.int64, len(words)) for words in split])
+        if self.words.new:
+            self._learn_words(self.words.new)
+            self.words.new = []
         ids, off = gathered(self.word_ids, self.word_off, places)
         last = off[np.cumsum([len(w) for w in split])]
         out = np.insert(ids, last, END_ID)
         return out, np.diff(np.concatenate([[0], last])) + 1
 
 
+def normal(text: str) -> str:
+    """The tokenizer file's normal form but for white space: composed, each character in lower case by itself."""
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))  # a final sigma depends on its place
+
+
 def gathered(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values of the given rows of a ragged table one after the other, and the new offsets."""
     size = offsets[rows + 1] - offsets[rows]
@@ -120,10 +149,10 @@ def best_cuts(places: list[int], penalty: list[float], length: int, capacity: in
     """Ascending cuts of the stream 0..length, the last one at length if final, else in its last capacity ids.
 
     ``places`` ascend within 1..length, each with its penalty, and length is the last. A sequence of n ids is padded
-    to capacity unless n is a power of two. A place that no sequence reaches from a given cut gets a cut of its own,
+    to capacity unless n is a power of two; as sequences cost, only the stream's end is cut into such. A place that no sequence reaches from a given cut gets a cut of its own,
     capacity after it, at the price of a cut inside a sentence.
     """
-    powers = [1 << k for k in range(capacity.bit_length()) if 1 << k < capacity]
+    powers = [1 << k for k in range(capacity.bit_length()) if final and 1 << k < capacity]
     cost, before = {0: 0.0}, {0: 0}
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
     hard: deque[int] = deque([capacity])
@@ -224,7 +253,7 @@ class Packer:
 
 def _pack(file: str, capacity: int, costs: Costs, id_type: pa.DataType, batch_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(file)
+        words = kept_by_worker(f"word ids {file}", lambda: WordIds(file))
         packer = Packer(capacity, costs, TaskContext.get().partitionId() << 36)
 
         def rows(found: dict) -> pa.RecordBatch:

@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .jaccard_join import near_duplicates
 from .nearest import nearest
 from .packing import packed
+from .pseudo_likelihood import pseudo_likelihood
+from .quality import quality_scores
+from .toxicity import toxicity
+from .unigram import Pieces, round_trips
 from .warc import archived_pages
 
 
@@ -30,16 +35,38 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents"))
 
 
+def op4_unigram(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trips(table(spark, folder, "documents"), Pieces.load(tokenizer_file("piece_bpe_32k.model")))
+
+
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+def op6_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, folder, "documents"))
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archived_pages(table(spark, folder, "pages"))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_exact_dedup, op7_warc, op10_nearest)}
+QUERIES = {f.__name__: f for f in (
+    op2_packing, op3_exact_dedup, op4_unigram, op5_jaccard_join, op6_pseudo_likelihood, op7_warc, op8_toxicity, op9_quality, op10_nearest,
+)}
 
 SQL = {
     "op3_exact_dedup": """

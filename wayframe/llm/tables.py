@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterable
+import sys
+from collections.abc import Callable, Iterable
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +70,11 @@ def id_ranges(df: DataFrame, column: str, rows: int, knots: int = 256) -> Column
     first, last = F.element_at(low, gap), F.element_at(high, gap)
     inside = F.least(F.lit(fine - 1), F.floor((ids - first) * F.lit(float(fine)) / (last - first)))
     return F.coalesce(((gap - 1) * fine + inside).cast("long"), F.lit(0).cast("long"))
+
+
+def kept_by_worker(name: str, make: Callable):
+    """An object that a Python worker makes once and keeps from task to task: something remembered, never a result."""
+    store = sys.modules.setdefault("wayframe_kept_by_worker", ModuleType("wayframe_kept_by_worker")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
