@@ -27,10 +27,12 @@ from .tables import Steps, id_ranges
 #: A file is closed once its compressed records reach this size.
 ROLL_BYTES = 16 << 20
 #: Rows in a range of ids; ranges are the units of sorting and writing.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 MEMBER_BYTES = (1 << 24) - 1
 #: Numbers of files that a range of ids can have.
 FILES = 1_000_000
+#: Compressed bytes that the reader takes at a time.
+PIECE = 1 << 14
 WRITTEN_AT = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("5f0c2e0a-7a51-4d5c-9b39-0d3f7f1f6a10")
 
@@ -76,12 +78,15 @@ def members(data: bytes) -> list[bytes]:
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an archive; broken digests and lengths raise."""
-    rest, plain = data, b""
-    while rest or plain:
-        while rest and (b"\r\n\r\n" not in plain or len(plain) < _needed(plain)):
-            unzip = zlib.decompressobj(31)
-            plain += unzip.decompress(rest)
-            rest = unzip.unused_data
+    view, at, plain = memoryview(data), 0, b""
+    unzip = zlib.decompressobj(31)
+    while at < len(view) or plain:
+        while at < len(view) and (b"\r\n\r\n" not in plain or len(plain) < _needed(plain)):
+            piece = view[at : at + PIECE]
+            plain += unzip.decompress(piece)
+            at += len(piece) - len(unzip.unused_data)
+            if unzip.eof:
+                unzip = zlib.decompressobj(31)
         size = _needed(plain)
         if len(plain) < size:
             raise ValueError("the archive ends within a record")
@@ -108,21 +113,24 @@ def _rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _archive(roll_bytes: int):
-    """Rows come sorted by (range, id, digest, url); numbers files within a range."""
+    """Rows come sorted by (range, id, digest), a link to the page that stays before the pages; numbers files within a range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, size, place, last, nth = None, 0, 0, 0, None, 0
+        part, number, size, place, last, nth, kept = None, 0, 0, 0, None, 0, None
         for batch in batches:
             out = []
-            for at, page, digest, url, html, stays in zip(*(c.to_pylist() for c in batch.columns)):
+            for at, page, digest, link, stays, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+                if link:
+                    kept = stays
+                    continue
                 if at != part:
                     part, number, size, place = at, 0, 0, 0
                 nth = nth + 1 if (page, digest) == last else 0
                 last = (page, digest)
-                revisit = page != stays or nth > 0
+                revisit = page != kept or nth > 0
                 if size >= roll_bytes:
                     number, size, place = number + 1, 0, 0
-                for member in members(record(page, url, html, stays if revisit else None, revisit, nth)):
+                for member in members(record(page, url, html, kept if revisit else None, revisit, nth)):
                     out.append((part * FILES + number, place, member[:-1]))
                     size, place = size + len(member), place + 1
                 if len(out) >= 500:
@@ -167,10 +175,12 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     part = id_ranges(rows, "page", range_rows)
     small = marked.select("page", "digest")
     groups = small.groupBy("digest").agg(F.max("page").alias("stays"))
-    links = small.distinct().join(groups, "digest").select(F.struct("page", "digest").alias("key"), "stays")
-    whole = marked.withColumn("key", F.struct("page", "digest")).join(links, "key").select(part.alias("part"), "page", "digest", "url", "html", "stays")
+    links = small.distinct().join(groups, "digest").select(
+        part.alias("part"), "page", "digest", F.lit(True).alias("link"), "stays", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"))
+    # the links meet the pages in the sorted stream, so that the payloads move once
+    whole = links.union(marked.select(part.alias("part"), "page", "digest", F.lit(False), F.lit(None).cast("long"), "url", "html"))
     packed = (
-        whole.repartition("part").sortWithinPartitions("part", "page", "digest", "url")
+        whole.repartition("part").sortWithinPartitions("part", "page", "digest", F.desc("link"), "url")
         .mapInArrow(_archive(roll_bytes), "file long, place long, member binary")
         .sortWithinPartitions("file", "place")
     )
