@@ -30,7 +30,7 @@ END_ID = 1
 #: Ids that the program looks at together; it settles all but the last sequence of them.
 BLOCK = 64
 #: Words, and tokens of the word pattern, whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 @dataclass(frozen=True)
