@@ -11,6 +11,7 @@ from .nearest import nearest
 from .packing import packed
 from .pseudo_likelihood import pseudo_likelihood
 from .quality import quality_scores
+from .substring_dedup import repeated_words
 from .toxicity import toxicity
 from .unigram import Pieces, round_trips
 from .warc import archived_pages
@@ -27,6 +28,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_words(table(spark, folder, "documents"))
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -65,7 +70,7 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_packing, op3_exact_dedup, op4_unigram, op5_jaccard_join, op6_pseudo_likelihood, op7_warc, op8_toxicity, op9_quality, op10_nearest,
+    op1_substring_dedup, op2_packing, op3_exact_dedup, op4_unigram, op5_jaccard_join, op6_pseudo_likelihood, op7_warc, op8_toxicity, op9_quality, op10_nearest,
 )}
 
 SQL = {
