@@ -74,9 +74,59 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 SQL = {
+    "op1_substring_dedup": """
+        WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        places AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM split),
+        windows AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS content FROM places),
+        numbered AS (SELECT doc_id, p, row_number() OVER (PARTITION BY content ORDER BY doc_id, p) AS nth FROM windows),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM numbered WHERE nth > 1),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM split),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS line, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+        FROM split LEFT JOIN kept USING (doc_id)
+    """,
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op5_jaccard_join": """
+        WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM split WHERE len(w) > 0),
+        grams AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS gram FROM places),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        meetings AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM grams a JOIN grams b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        wordless AS (SELECT doc_id FROM split WHERE len(w) = 0),
+        links AS (
+            SELECT a, b FROM meetings JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE common / (x.n + y.n - common) >= 0.8
+            UNION ALL SELECT x.doc_id, y.doc_id FROM wordless x JOIN wordless y ON x.doc_id <> y.doc_id),
+        reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+        classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reached GROUP BY a),
+        degrees AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+        SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n, 0) AS n_grams
+        FROM classes LEFT JOIN degrees USING (doc_id) LEFT JOIN sizes USING (doc_id)
+    """,
+    "op7_warc": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        digests AS (SELECT *, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS first_page FROM payloads),
+        fifths AS (SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(hex, CAST(5 * g + 1 AS BIGINT), 5) AS BIGINT)) AS parts FROM digests)
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+               list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_page THEN first_page END AS refers_to
+        FROM fifths
+    """,
+    "op10_nearest": """
+        WITH vectors AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        pairs AS (
+            SELECT q.vec_id AS query_id, r.vec_id,
+                   sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.v, r.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), lambda x, y: x + y)) AS score
+            FROM vectors q JOIN vectors r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id AND len(q.v) = len(r.v)),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM pairs)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
 }
