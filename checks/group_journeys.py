@@ -130,9 +130,9 @@ def direct_journeys(net):
 
 @query("SELECT request_id, train, board, b_seq, alight, a_seq, minutes FROM v_direct", name="direct_journeys_long_trains")
 def direct_long(net):
-    """The same journeys with every train handled as a very long one."""
+    """The same journeys with every train cut into spans of two stops, as a very long one is into spans of many."""
     t = Trips(net)
-    out = journeys.direct(t.requests, t.heads("o"), t.heads("d"), t.stops, t.trains, max_pair_stops=0, guard_km=GUARD)
+    out = journeys.direct(t.requests, t.heads("o"), t.heads("d"), t.stops, t.trains, guard_km=GUARD, span=2)
     return out.select("request_id", "train", "board", "b_seq", "alight", "a_seq", "minutes")
 
 

@@ -126,7 +126,8 @@ SELECT request_id, route_key AS route_id, shown_id, pref, CASE WHEN transfers =
   transfers, CASE WHEN transfers = 1 THEN change_at WHEN first_km > 20 THEN board END AS hub, first_train, dep_min, false AS road_only, on_time, safety, confirmation_pct FROM v_srail1
 UNION ALL SELECT request_id, 'road-' || left(lower(from_place), 24) || '-' || left(lower(to_place), 24), 'road-' || left(lower(from_place), 24) || '-' || left(lower(to_place), 24), pref, 'direct',
   CAST(greatest(15, {ROAD_MIN.format(km='km')}) AS INTEGER), {ROAD_FARE.format(km='km')}, 68, 0, NULL, NULL, NULL, true, NULL, NULL, NULL
-FROM (SELECT *, {hav('o_lat', 'o_lng', 'd_lat', 'd_lng')} * 1.3 AS km FROM v_strip) WHERE km <= 500 OR request_id NOT IN (SELECT request_id FROM v_sroutes)
+FROM (SELECT *, {hav('o_lat', 'o_lng', 'd_lat', 'd_lng')} * 1.3 AS km FROM v_strip) WHERE (km <= 500 OR request_id NOT IN (SELECT request_id FROM v_sroutes))
+  AND request_id IN (SELECT request_id FROM v_so_heads) AND request_id IN (SELECT request_id FROM v_sd_heads)
 """
 VIEWS["v_skeys"] = VIEWS["v_keys"].replace("v_routes", "v_sall")
 VIEWS["v_soverflow"] = VIEWS["v_overflow"].replace("v_keys", "v_skeys")
@@ -172,6 +173,40 @@ def search(net):
     )
 
 
+@query("""
+SELECT request_id, 'place_not_found' AS reason FROM v_requests WHERE request_id % 11 = 0 OR request_id NOT IN (SELECT request_id FROM v_strip)
+UNION ALL SELECT request_id, 'no_railhead' FROM v_strip WHERE request_id % 11 <> 0
+  AND (request_id NOT IN (SELECT request_id FROM v_so_heads) OR request_id NOT IN (SELECT request_id FROM v_snear_heads))
+""")
+def unplaced_requests(net):
+    """Requests that name an unknown place, and requests without a railhead near their destination."""
+    place = F.when(F.col("request_id") % 11 == 0, F.concat(F.lit("QZX"), F.col("request_id").cast("string"))).otherwise(F.col("from_place"))
+    requests = net.requests().withColumn("from_place", place)
+    near = settings()
+    near.dest_ladder = [20.0, 40.0]
+    return TripSearch(requests, search_tables(net), F.lit(AS_OF).cast("date"), near).unanswered
+
+
+@query("""
+SELECT train_number || '-' || station_code || '-' || alight AS route_id, train_number AS first_train, name || '' AS board_name, minutes,
+  CAST(1 AS INTEGER) AS n_legs, 'direct' AS route_type
+FROM (SELECT *, row_number() OVER (PARTITION BY train_number, station_code, alight ORDER BY seq) AS nth FROM (
+        SELECT s.*, n.station_code AS alight, (n.day - s.day) * 1440 + coalesce(n.arr_min, n.dep_min) - coalesce(s.dep_min, s.arr_min) AS minutes
+        FROM v_stops s JOIN v_stops n ON n.train_number = s.train_number AND n.seq = s.seq + 1 WHERE s.seq = 1)) JOIN v_stations_raw ON code = station_code
+WHERE minutes > 0 AND nth = 1
+""")
+def rebuilt_routes(net):
+    """Whole routes from their ids: the first hop of each train."""
+    from wayframe.plans.search import rebuilt_routes as rebuild
+
+    stops = net.stops()
+    second = stops.filter("seq = 2").select("train_number", F.col("station_code").alias("alight"))
+    ids = stops.filter("seq = 1").join(second, "train_number").select(F.concat_ws("-", "train_number", "station_code", "alight").alias("route_id"))
+    out = rebuild(ids, search_tables(net), guard_km=1e9)
+    return out.select(F.col("shown_id").alias("route_id"), "first_train", "board_name", "minutes", F.size("legs").alias("n_legs"), "route_type")
+
+
+VIEWS["v_snear_heads"] = heads_sql("d_lat", "d_lng", [20.0, 40.0]).replace("v_trip", "v_strip")
 VIEWS["v_sreason"] = """
 SELECT s.request_id, s.transfers = 0 AND s.route_type = 'direct' AS is_direct, s.hub, t.d_name AS to_name,
   (SELECT count(*) FROM v_sshown x WHERE x.request_id = s.request_id AND x.transfers = 0 AND x.route_type = 'direct') AS n
@@ -385,30 +420,52 @@ def event_stream(net):
 @query("SELECT event_id, user_id, ts FROM (SELECT user_id, event_type, CAST(ts AS DATE) AS d, min(event_id) AS event_id, min(ts) AS ts FROM events GROUP BY 1, 2, 3)")
 def stream_latest_batches(net):
     """First event per user, type and day through the batch writer and the current table."""
-    from wayframe.streaming.feeds import append_latest, current_table
+    from wayframe.streaming.feeds import current_table, merge_latest
 
     folder = scratch_folder(net.spark, "wayframe-upserts")
     keys, order = ["user_id", "event_type", "d"], ["back"]
     rows = event_stream(net).select("event_id", "ts", "user_id", "event_type", F.to_date("ts").alias("d"), (-F.col("event_id")).alias("back"))
     running = (
-        rows.writeStream.foreachBatch(append_latest(f"{folder}/log", keys, order)).option("checkpointLocation", f"{folder}/checkpoint")
+        rows.writeStream.foreachBatch(merge_latest(f"{folder}/table", keys, order)).option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    return current_table(net.spark, f"{folder}/log", keys, order).select("event_id", "user_id", "ts")
+    return current_table(net.spark, f"{folder}/table").select("event_id", "user_id", "ts")
 
 
-@query()
-def stream_delay_windows(net):
-    """Tumbling delay sums per train; the last window stays open, so it is not written."""
-    from wayframe.streaming.feeds import delay_stream
+CLOSED = """
+v AS (SELECT lpad(CAST(user_id AS VARCHAR), 7, '0') AS train_raw, CAST(ts AS DATE) AS d, CAST(trunc(value - 20) AS INTEGER) AS delay FROM events),
+clean AS (SELECT coalesce(nullif(ltrim(train_raw, '0'), ''), train_raw) AS train_no, d, delay FROM v WHERE delay BETWEEN -120 AND 1440),
+closed AS (SELECT * FROM clean WHERE d + 1 <= (SELECT max(d) FROM clean) - 1)
+"""
 
-    e = event_stream(net)
-    raw = e.select(
+
+def delay_feed(net):
+    return event_stream(net).select(
         F.lpad(F.col("user_id").cast("string"), 7, "0").alias("train_no"), F.col("ts").cast("timestamp").alias("obs_ts"),
         (F.col("event_id") % 5 + 1).cast("int").alias("station_no"), (F.col("value") - 20).cast("string").alias("delay"),
     )
-    return run_stream(delay_stream(raw), "windows")
+
+
+@query(f"""
+WITH {CLOSED} SELECT train_no, CAST(d AS VARCHAR) AS window_day, count(*) AS n, CAST(sum(delay) AS BIGINT) AS sum_delay, count(*) FILTER (delay <= {fixed.ON_TIME_MINUTES}) AS on_time_n
+FROM closed GROUP BY 1, 2
+""")
+def stream_delay_windows(net):
+    """Tumbling delay sums per train: the windows that end at least a day before the last one begins."""
+    from wayframe.streaming.feeds import delay_stream
+
+    out = run_stream(delay_stream(delay_feed(net)), "windows")
+    return out.select("train_no", F.to_date("window_start").cast("string").alias("window_day"), "n", "sum_delay", "on_time_n")
+
+
+@query(f"WITH {CLOSED} SELECT train_no, delay AS delay_min, CAST(d AS VARCHAR) AS window_day, count(*) AS n FROM closed GROUP BY ALL")
+def stream_delay_histogram(net):
+    """Counts per day, train and delay, from which percentiles of any span follow."""
+    from wayframe.streaming.feeds import histogram_stream
+
+    out = run_stream(histogram_stream(delay_feed(net)), "histogram")
+    return out.select("train_no", "delay_min", F.to_date("window_start").cast("string").alias("window_day"), "n")
 
 
 @query("SELECT train_no, CAST(min(ts) AS DATE) AS obs_date, CAST(event_id_mod AS INTEGER) AS station_no FROM (SELECT lpad(CAST(user_id AS VARCHAR), 7, '0') AS train_no, ts, event_id % 5 + 1 AS event_id_mod FROM events) GROUP BY train_no, CAST(ts AS DATE), event_id_mod")
@@ -425,11 +482,13 @@ def stream_deduped_snapshots(net):
 
 @query("""
 SELECT event_id, key, hits, hits > 4 AS flagged FROM (
-  SELECT event_id, CAST(user_id AS VARCHAR) AS key, (SELECT CAST(count(*) AS INTEGER) FROM events b WHERE b.user_id = a.user_id AND epoch_us(b.ts) > epoch_us(a.ts) - 86400000000
+  SELECT event_id, ts, CAST(user_id AS VARCHAR) AS key, (SELECT CAST(count(*) AS INTEGER) FROM events b WHERE b.user_id = a.user_id AND epoch_us(b.ts) > epoch_us(a.ts) - 86400000000
       AND (epoch_us(b.ts) < epoch_us(a.ts) OR (epoch_us(b.ts) = epoch_us(a.ts) AND b.event_id <= a.event_id))) AS hits FROM events a)
+WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) FROM events) - 600000
 """)
 def stream_sliding_limits(net):
+    """The hits that the watermark has passed: those more than ten minutes before the last one."""
     from wayframe.streaming.feeds import sliding_limit_stream
 
     rows = event_stream(net).select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return run_stream(sliding_limit_stream(rows, 4, 86400, idle_s=90000), "limits").select("event_id", "key", "hits", "flagged")
+    return run_stream(sliding_limit_stream(rows, 4, 86400), "limits").select("event_id", "key", "hits", "flagged")

@@ -66,11 +66,11 @@ def runs(trains, train, day):
     return day is None or trains[train] is None or day in trains[train]
 
 
-@pytest.mark.parametrize("limit", [0, 10, 1000])
-def test_direct_rides(frames, network, limit):
+@pytest.mark.parametrize("span", [1, 3, 512])
+def test_direct_rides(frames, network, span):
     stops, trains, requests = network
     r, o, d, s, t, _ = frames
-    got = {tuple(x) for x in journeys.direct(r, o, d, s, t, max_pair_stops=limit).select("request_id", "train", "b_seq", "a_seq", "minutes").collect()}
+    got = {tuple(x) for x in journeys.direct(r, o, d, s, t, span=span).select("request_id", "train", "b_seq", "a_seq", "minutes").collect()}
     want = {
         (q[0], train, b[2], a[2], m) for q in requests for train, b, a, _, _, m in rides_of(stops)
         if b[1] in q[2] and a[1] in q[3] and b[6] <= 150 and a[6] <= 150 and runs(trains, train, q[1])

@@ -22,7 +22,7 @@ def test_flagship(spark):
     assert rows.count() > 0 and "route_id" in rows.columns
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith("search_")])
+@pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, con, name):
     text, good = run_one(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert good, text

@@ -133,3 +133,48 @@ def test_road_refinement_keeps_the_wait(spark):
     once = build.upgrade_road_legs(routes, roads)
     row, again = once.first(), build.upgrade_road_legs(once, roads).first()
     assert row["minutes"] == 618 and row["legs"][1]["note"].startswith("~12 km road to") and row == again
+
+
+def test_isotonic_over_many_chunks(spark):
+    """Distances beyond any width and far more blocks than a task pools, rising, falling and ragged."""
+    import numpy as np
+
+    from wayframe.operators import fares
+
+    rng = np.random.default_rng(4)
+    curves = {
+        "UP": [(float(k), float(k)) for k in range(1, 200)], "DOWN": [(50.0 * k, 1000.0 - k) for k in range(1, 200)],
+        "RAGGED": [(100.0 * k, float(k + rng.normal() * 30)) for k in range(1, 201)],
+    }
+    rows = [(c, km, max(1.0, fare)) for c, points in curves.items() for km, fare in points]
+    df = spark.createDataFrame(rows, "class_code string, km double, fare double")
+    whole = {(r["class_code"], r["km"]): r["fare"] for r in fares.fit_isotonic(df).collect()}
+    small = {(r["class_code"], r["km"]): r["fare"] for r in fares.fit_isotonic(df, points_per_task=8).collect()}
+    assert whole.keys() == small.keys() and all(abs(whole[k] - small[k]) < 1e-9 for k in whole)
+    for c in curves:
+        fitted = [whole[k] for k in sorted(whole) if k[0] == c]
+        assert fitted == sorted(fitted)
+    assert len({v for k, v in whole.items() if k[0] == "DOWN"}) == 1 and max(k[1] for k in whole) == 20000.0
+
+
+def test_trigram_candidates_stay_near_the_results(spark):
+    """Names that share a word: partners meet on their rarer grams only."""
+    from wayframe.operators import naming
+
+    names = spark.range(600).selectExpr("concat('city_', id) AS name")
+    queries = names.selectExpr("name AS query")
+    out = naming.trigram_matches(queries, names).cache()
+    found = {(r["query"], r["name"]) for r in out.collect()}
+
+    def grams(text):
+        out = set()
+        for w in "".join(c if c.isalnum() else " " for c in text.lower()).split():
+            padded = f"  {w} "
+            out |= {padded[i : i + 3] for i in range(len(padded) - 2)}
+        return out
+
+    sets = {f"city_{i}": grams(f"city_{i}") for i in range(600)}
+    want = {(a, b) for a in sets for b in sets if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.45}
+    assert found == want
+    plan = out._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -30,7 +30,9 @@ def test_timetable_load_end_to_end(spark, tmp_path):
            "{'stationCode': 'PRYJ', 'stationName': 'PRAYAGRAJ', 'arrivalTime': '18:00', 'departureTime': None, 'dayCount': '1', 'distance': '600'}]"
     flags = ", ".join(f"trainRunsOn{d} string" for d in ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"])
     listed = spark.createDataFrame(
-        [("201", "Day Exp", cell, "Y", "N", "N", "N", "N", "N", "Y"), ("101", "Night Mail", cell, "Y", "Y", "Y", "Y", "Y", "Y", "Y"), ("202", "Bad", "[{", "Y", "N", "N", "N", "N", "N", "N")],
+        # a broken list and a list of one stop give no train, but the one stop's name counts, after those of earlier lines
+        [("203", "One", "[{'stationCode': 'XX', 'stationName': 'PRAYAGRAJ', 'dayCount': '1', 'distance': '0'}]", "Y", "N", "N", "N", "N", "N", "N"),
+         ("201", "Day Exp", cell, "Y", "N", "N", "N", "N", "N", "Y"), ("101", "Night Mail", cell, "Y", "Y", "Y", "Y", "Y", "Y", "Y"), ("202", "Bad", "[{", "Y", "N", "N", "N", "N", "N", "N")],
         f"trainNumber string, trainName string, stationList string, {flags}",
     )
     stations = spark.createDataFrame(
@@ -42,8 +44,8 @@ def test_timetable_load_end_to_end(spark, tmp_path):
     stops = {(r["train_number"], r["seq"]): (r["station_code"], r["day"], r["source"]) for r in load.stops.collect()}
     assert stops[("101", 1)] == ("NDLS", 1, "fresh") and stops[("101", 2)] == ("AGC", 2, "fresh") and stops[("101", 3)] == ("BPL", 2, "fresh")
     assert stops[("201", 2)] == ("ALD", 1, "older") and len(stops) == 5
-    trains = {r["number"]: (r["source"], r["days_of_week"]) for r in load.trains.collect()}
-    assert trains["101"] == ("fresh", "MON,TUE") and trains["201"] == ("older", "MON,SUN")
+    trains = {r["number"]: (r["source"], r["days_of_week"], r["num_stops"], r["distance_km"]) for r in load.trains.collect()}
+    assert trains["101"][:3] == ("fresh", "MON,TUE", 3) and trains["201"] == ("older", "MON,SUN", 2, 600.0) and len(trains) == 2
     counted = {r["code"]: r["num_trains"] for r in files.read_table(spark, f"{out}/stations").collect()}
     assert counted == {"NDLS": 2, "AGC": 1, "BPL": 1, "ALD": 1}
     assert load.report.first()["unmatched"] == 0
@@ -67,13 +69,20 @@ def test_extra_schedule(spark, tmp_path):
     (tmp_path / "t.csv").write_text("train_no,train_name,type_code\n0301,Hill Exp,EXP-2\n")
     (tmp_path / "n.csv").write_text("station_name,station_full_name\naa,Alpha\n")
     schedule = files.read_coded_schedule(spark, str(tmp_path / "s.csv"))
-    known = spark.createDataFrame([("101",)], "number string")
-    stations = spark.createDataFrame([("AA", 1.0, 1.0), ("BB", 1.0, 2.0), ("CC", 1.0, 3.0), ("ZZ", None, None)], "code string, lat double, lng double")
-    old = spark.createDataFrame([(40,)], "id bigint")
-    trains, stops, maps = jobs.load_extra_schedule(
-        schedule, files.read_train_types(spark, str(tmp_path / "t.csv")), files.read_station_names(spark, str(tmp_path / "n.csv")), known, old, stations
+    known = spark.createDataFrame([("101", "Old")], "number string, name string")
+    stations = spark.createDataFrame(
+        [("AA", 1.0, 1.0, 0), ("BB", 1.0, 2.0, 0), ("CC", 1.0, 3.0, 0), ("ZZ", None, None, 7)], "code string, lat double, lng double, num_trains int")
+    old = spark.createDataFrame([(40, "101", "AA", 1)], "id bigint, train_number string, station_code string, seq int")
+    load = jobs.load_extra_schedule(
+        schedule, files.read_train_types(spark, str(tmp_path / "t.csv")), files.read_station_names(spark, str(tmp_path / "n.csv")), known, old, stations,
+        out=str(tmp_path / "net"),
     )
-    t = trains.collect()
+    maps = load.maps
+    assert {r["number"] for r in load.trains.collect()} == {"101", "301"} and load.stops.count() == 4
+    counted = {r["code"]: r["num_trains"] for r in files.read_table(spark, str(tmp_path / "net" / "stations")).collect()}
+    assert counted == {"AA": 2, "BB": 1, "CC": 1, "ZZ": 7}
+    t = load.trains.filter("number = '301'").collect()
+    stops = load.stops.filter("train_number = '301'")
     assert [(r["number"], r["name"], r["num_stops"], r["classes"], r["distance_km"]) for r in t] == [("301", "Hill Exp", 3, "2S,SL,3A,2A", 90.0)]
     rows = stops.orderBy("seq").collect()
     assert [(r["station_code"], r["station_name"], r["seq"], r["day"]) for r in rows] == [("AA", "Alpha", 1, 1), ("BB", "BB", 2, 1), ("CC", "CC", 3, 2)]

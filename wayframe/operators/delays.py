@@ -35,11 +35,29 @@ def delay_histogram(obs: DataFrame) -> DataFrame:
     )
 
 
+def observation_counts(obs: DataFrame) -> DataFrame:
+    """Counts per train of each delay and of each date on which it was seen at its first station, from one scan."""
+    origin = (F.col("station_no") == 1) & F.col("obs_date").isNotNull()
+    facts = F.filter(
+        F.array(
+            F.struct(F.lit("delay").alias("what"), F.col("delay_min").cast("string").alias("value")),
+            F.struct(F.lit("origin").alias("what"), F.when(origin, F.col("obs_date").cast("string")).alias("value")),
+        ),
+        lambda x: x["value"].isNotNull(),
+    )
+    rows = obs.select("train_no", F.explode(facts).alias("f")).select("train_no", "f.what", "f.value")
+    return rows.groupBy("train_no", "what", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def delay_stats(
     obs: DataFrame, min_obs: int = fixed.MIN_OBSERVATIONS, on_time: int = fixed.ON_TIME_MINUTES
 ) -> DataFrame:
     """Average, discrete p50/p80/p90 and on-time share per train with enough observations."""
-    hist = delay_histogram(obs)
+    return stats_of(delay_histogram(obs), min_obs, on_time)
+
+
+def stats_of(hist: DataFrame, min_obs: int = fixed.MIN_OBSERVATIONS, on_time: int = fixed.ON_TIME_MINUTES) -> DataFrame:
+    """Delay statistics from counts per (train_no, delay_min)."""
     train = W.partitionBy("train_no")
     ranked = hist.withColumn("total", F.sum("n").over(train)).withColumn(
         "upto", F.sum("n").over(train.orderBy("delay_min").rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -75,8 +93,13 @@ def _origin_dates(obs: DataFrame) -> DataFrame:
 
 def running_days(obs: DataFrame, min_origin: int = 12, share: float = 0.25, floor: int = 2) -> DataFrame:
     """Weekdays on which a train really starts, from at most seven counts per train."""
+    return days_of(_origin_dates(obs), min_origin, share, floor)
+
+
+def days_of(origin: DataFrame, min_origin: int = 12, share: float = 0.25, floor: int = 2) -> DataFrame:
+    """Running days from counts per (train_no, day_text)."""
     per_day = (
-        _origin_dates(obs)
+        origin
         .withColumn("dow", F.weekday(F.try_to_date("day_text")))
         .filter(F.col("dow").isNotNull())
         .groupBy("train_no", "dow")
@@ -101,9 +124,14 @@ def seasonal_months(obs: DataFrame, max_days: int = 30, max_months: int = 3) ->
 
     Unreadable dates count as dates; only their month is unknown.
     """
+    return seasons_of(_origin_dates(obs), max_days, max_months)
+
+
+def seasons_of(origin: DataFrame, max_days: int = 30, max_months: int = 3) -> DataFrame:
+    """Operating months from one row per (train_no, day_text)."""
     month = F.when(F.length("day_text") >= 7, F.substring("day_text", 6, 2).try_cast("int"))
     return (
-        _origin_dates(obs)
+        origin
         .groupBy("train_no")
         .agg(F.count(F.lit(1)).alias("days"), F.array_sort(F.collect_set(month)).alias("months"))
         .filter((F.col("days") <= max_days) & (F.size("months") > 0) & (F.size("months") <= max_months))

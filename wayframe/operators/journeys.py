@@ -1,7 +1,7 @@
 """Direct and one-change journeys for a whole table of requests.
 
-Rides are ordered stop pairs of one train. They are built once for all requests from the stations
-that some request can use, reduced per station pair, and met by the requests with equi-joins.
+Rides are ordered stop pairs of one train. Pairs of stops meet by (train, span of boarding stops), so
+a train that holds a large part of all stops is spread over as many keys as it has spans.
 """
 
 from __future__ import annotations
@@ -46,10 +46,21 @@ def _alights(stops: DataFrame, guard: bool, guard_km: float) -> DataFrame:
     ).filter(F.col("arr").isNotNull())
 
 
-def _ride(b: DataFrame, a: DataFrame, on: list[str]) -> DataFrame:
+#: Stops of a train in a span.
+SPAN = 512
+
+
+def _span(seq: Column, span: int = SPAN) -> Column:
+    return F.floor(seq / span).cast("bigint")
+
+
+def _ride(b: DataFrame, a: DataFrame, on: list[str], span: int = SPAN) -> DataFrame:
+    """Later alightings of each boarding. An alighting goes to the spans up to its own: to one, on all but very long trains."""
+    b = b.withColumn("__span", _span(F.col("b_seq"), span))
+    a = a.withColumn("__span", F.explode(F.sequence(F.lit(0).cast("bigint"), _span(F.col("a_seq"), span))))
     minutes = (F.col("a_day") - F.col("b_day")) * fixed.DAY_MINUTES + F.col("arr") - F.col("dep")
     return (
-        b.join(a, on).filter(F.col("a_seq") > F.col("b_seq"))
+        b.join(a, [*on, "__span"]).drop("__span").filter(F.col("a_seq") > F.col("b_seq"))
         .withColumn("minutes", minutes.cast("int")).filter(F.col("minutes") > 0)
     )
 
@@ -64,32 +75,18 @@ def ride_pairs(
     return _ride(b, a, ["train"])
 
 
-def split_by_length(stops: DataFrame, max_pair_stops: int) -> tuple[DataFrame, DataFrame]:
-    """Stops of ordinary trains, and stops of trains too long for stop pairs."""
-    long = stops.groupBy("train_number").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_pair_stops)
-    keys = long.select("train_number")
-    return stops.join(keys, "train_number", "left_anti"), stops.join(keys, "train_number", "left_semi")
-
-
 def direct(
     requests: DataFrame, o_heads: DataFrame, d_heads: DataFrame, stops: DataFrame, trains: DataFrame,
-    max_pair_stops: int = 512, guard_km: float = fixed.DETOUR_GUARD_KM,
+    guard_km: float = fixed.DETOUR_GUARD_KM, span: int = SPAN,
 ) -> DataFrame:
     """Every (board, alight) ride of one train from an origin head to a destination head.
 
-    Trains of ordinary length give one table of rides for all requests. A train with more than
-    ``max_pair_stops`` stops would give too many pairs, so its stops are first tied to the requests
-    on both sides and joined on (request, train): only rides that some request asks for appear.
+    The stops at a request's heads meet on (request, train), so only rides that some request asks for
+    appear, whatever the length of a train.
     """
-    o = o_heads.select("request_id", F.col("code").alias("board"))
-    d = d_heads.select("request_id", F.col("code").alias("alight"))
-    short, long = split_by_length(stops, max_pair_stops)
-    wanted = o.join(d, "request_id")  # at most 12 by 12 rows per request
-    pairs = ride_pairs(short, o_heads.select("code"), d_heads.select("code"), True, True, guard_km)
-    found = wanted.join(pairs, ["board", "alight"])
-    b = o.join(_boards(long, True, guard_km), "board")
-    a = d.join(_alights(long, True, guard_km), "alight")
-    rides = found.unionByName(_ride(b, a, ["request_id", "train"]))
+    b = o_heads.select("request_id", F.col("code").alias("board")).join(_boards(stops, True, guard_km), "board")
+    a = d_heads.select("request_id", F.col("code").alias("alight")).join(_alights(stops, True, guard_km), "alight")
+    rides = _ride(b, a, ["request_id", "train"], span)
     info = trains.select(F.col("number").alias("train"), "days")
     when = requests.select("request_id", "day3")
     return (
@@ -140,11 +137,11 @@ def best_first_legs(
         d_heads.select("request_id", F.col("code").alias("hub"))
     ).distinct()
     # a request drops its own heads and keeps its busiest hubs, so of each board no more can matter
-    most_own = own.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    most_own = F.broadcast(own.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("__own"), F.lit(1).alias("__one")))  # one row
     per_board = W.partitionBy("board", "day_no").orderBy(F.desc("hub_trains"), "hub")
     best = (
-        best.filter(F.col("r").isNotNull()).join(busy, "hub")
-        .withColumn("__rn", F.row_number().over(per_board)).filter(F.col("__rn") <= top_hubs + most_own)
+        best.filter(F.col("r").isNotNull()).join(busy, "hub").withColumn("__rn", F.row_number().over(per_board))
+        .withColumn("__one", F.lit(1)).join(most_own, "__one").filter(F.col("__rn") <= top_hubs + F.col("__own"))
         .select("board", "hub", "day_no", "hub_trains", "r.*")
     )
     names = F.array(*[F.lit(d) for d in fixed.WEEKDAYS])
@@ -258,9 +255,12 @@ def leg_km(
 
 
 def leg_points(legs: DataFrame, stops: DataFrame, keys: list[str]) -> DataFrame:
-    """Stations passed on each leg, one row per stop (``pos`` is the stop number)."""
-    path = stops.select(F.col("train_number").alias("train"), F.col("seq").alias("pos"), F.col("station_code").alias("code"))
-    return legs.join(path, "train").filter((F.col("pos") >= F.col("b_seq")) & (F.col("pos") <= F.col("a_seq"))).select(
+    """Stations passed on each leg, one row per stop (``pos`` is the stop number). They meet by span of the train."""
+    path = stops.select(
+        F.col("train_number").alias("train"), F.col("seq").alias("pos"), F.col("station_code").alias("code"), _span(F.col("seq")).alias("__span")
+    )
+    passed = legs.withColumn("__span", F.explode(F.sequence(_span(F.col("b_seq")), _span(F.col("a_seq")))))
+    return passed.join(path, ["train", "__span"]).filter((F.col("pos") >= F.col("b_seq")) & (F.col("pos") <= F.col("a_seq"))).select(
         *keys, "pos", "code"
     )
 

@@ -56,10 +56,16 @@ def fix_code(code: Column) -> Column:
 def name_dictionary(sources: list[DataFrame]) -> DataFrame:
     """First code per normalised name; earlier sources win, then the earlier position.
 
-    Every source has ``name``, ``code`` and ``pos``.
+    Every source has ``name``, ``code`` and ``pos``: a number, or a struct of file, line and position.
     """
+    order = "struct<file:string,line:bigint,pos:bigint>"
+
+    def place(df: DataFrame) -> Column:
+        whole = df.schema["pos"].dataType.typeName() == "struct"
+        return (F.col("pos") if whole else F.struct(F.lit(""), F.lit(0), F.col("pos"))).cast(order)
+
     ranked = [
-        s.select(norm_name(F.col("name")).alias("name"), F.col("code"), F.struct(F.lit(i), F.col("pos").cast("bigint"), F.col("code")).alias("__o"))
+        s.select(norm_name(F.col("name")).alias("name"), F.col("code"), F.struct(F.lit(i), place(s), F.col("code")).alias("__o"))
         for i, s in enumerate(sources)
     ]
     every = reduce(DataFrame.unionByName, ranked).filter((F.col("name") != "") & (F.col("code") != ""))
@@ -128,36 +134,33 @@ def match_stations(refs: DataFrame, dictionary: DataFrame) -> DataFrame:
 def trigram_matches(queries: DataFrame, names: DataFrame, threshold: float = 0.45) -> DataFrame:
     """(query, name, similarity) of distinct texts with a trigram similarity above the threshold.
 
-    Grams are ordered from rare to common. Two sets above the threshold must share a gram among
-    their first ``n - ceil(t * n) + 1``, so only these are joined; common grams rarely take part.
-    Sizes that cannot reach the threshold are left out before the sets are compared.
+    Grams are ordered from rare to common. Two sets of n and m grams above the threshold t share at least
+    o = ceil(t * (n + m) / (1 + t)) of them, so they share one among the first n - o + 1 and m - o + 1. Each text
+    offers so many grams to each size of partner, and texts meet on (gram, both sizes): grams that all names have
+    come last and take no part while the rest of the sets is long enough to decide.
     """
     q = queries.select("query").distinct().withColumn("g", trigrams(F.col("query"))).filter(F.size("g") > 0)
     n = names.select("name").distinct().withColumn("g", trigrams(F.col("name"))).filter(F.size("g") > 0)
     frequency = n.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
-    def leading(df: DataFrame, key: str) -> DataFrame:
+    def offers(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         grams = df.select(key, F.explode("g").alias("gram")).join(frequency, "gram", "left")
         ordered = grams.groupBy(key).agg(
             F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("o")
         )
         size = F.size("o")
-        keep = size - F.ceil(size * threshold) + 1
-        return ordered.select(key, F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("s")).select(
-            key, F.col("s.gram").alias("gram")
-        )
-
-    pairs = leading(q, "query").join(leading(n, "name"), "gram").select("query", "name").distinct()
-    sized = pairs.join(q.withColumnRenamed("g", "gq"), "query").join(n.withColumnRenamed("g", "gn"), "name")
-    small, large = F.least(F.size("gq"), F.size("gn")), F.greatest(F.size("gq"), F.size("gn"))
+        partners = F.explode(F.sequence(F.ceil(size * threshold).cast("int"), F.floor(size / threshold).cast("int")))
+        sized = ordered.withColumn(own, size).withColumn(other, partners)
+        # a little less than the bound, so that rounding loses no pair
+        least = F.ceil(threshold * (F.col(own) + F.col(other)) / (1 + threshold) - 1e-9)
+        offered = F.slice("o", F.lit(1), F.greatest(F.col(own) - least + 1, F.lit(0)).cast("int"))
+        return sized.select(key, own, other, F.explode(offered).alias("s")).select(key, own, other, F.col("s.gram").alias("gram"))
+
+    met = offers(q, "query", "q_size", "n_size").join(offers(n, "name", "n_size", "q_size"), ["gram", "q_size", "n_size"])
+    sized = met.select("query", "name").distinct().join(q.withColumnRenamed("g", "gq"), "query").join(n.withColumnRenamed("g", "gn"), "name")
     shared = F.size(F.array_intersect("gq", "gn"))
     similarity = shared / (F.size("gq") + F.size("gn") - shared)
-    return (
-        sized.filter(small > threshold * large)
-        .withColumn("similarity", similarity)
-        .filter(F.col("similarity") > threshold)
-        .select("query", "name", "similarity")
-    )
+    return sized.withColumn("similarity", similarity).filter(F.col("similarity") > threshold).select("query", "name", "similarity")
 
 
 def substring_matches(queries: DataFrame, names: DataFrame, low: int = 2) -> DataFrame:

@@ -22,11 +22,14 @@ class DelayLoad:
 
 
 def load_delays(raw: DataFrame, trains: DataFrame, out: str | None = None, write: bool = True) -> DelayLoad:
-    """Delay statistics, running days and seasons from one cleaned scan, and the corrected trains."""
-    obs = delays.clean_observations(raw)
-    stats = delays.delay_stats(obs)
-    days = delays.running_days(obs)
-    seasonal = delays.seasonal_months(obs)
+    """Delay statistics, running days and seasons from one scan of the dump, and the corrected trains.
+
+    The scan leaves one small table: counts per train of each delay and of each origin date.
+    """
+    counts = cut_lineage(delays.observation_counts(delays.clean_observations(raw)))
+    stats = delays.stats_of(counts.filter("what = 'delay'").select("train_no", F.col("value").cast("int").alias("delay_min"), "n"))
+    origin = counts.filter("what = 'origin'").select("train_no", F.col("value").alias("day_text"), "n")
+    days, seasonal = delays.days_of(origin), delays.seasons_of(origin)
     corrections = delays.day_corrections(trains, days)
     fixed_trains = delays.apply_operating_months(delays.apply_day_corrections(trains, corrections), seasonal)
     if out:
@@ -48,8 +51,11 @@ def load_timetable(
     out: str | None = None, write: bool = True,
 ) -> TimetableLoad:
     """The blob timetable with matched stations and inferred days, filled up from the listed one."""
-    extra = files.explode_stop_list(listed).withColumn("code", naming.fix_code(F.col("code")))
-    by_list = extra.select(F.col("raw_name").alias("name"), "code", F.hash("train_number", "pos").cast("bigint").alias("pos"))
+    listed = listed if "src_line" in listed.columns else files.with_file_order(listed)
+    # names count from every list that parses, stops only from lists of two and more
+    named = files.explode_stop_list(listed, min_stops=1).withColumn("code", naming.fix_code(F.col("code")))
+    by_list = named.select(F.col("raw_name").alias("name"), "code", F.struct("src_file", "src_line", "pos").alias("pos"))
+    extra = files.explode_stop_list(listed).withColumn("code", naming.fix_code(F.col("code"))).drop("src_file", "src_line")
     by_station = stations.select("name", "code", F.lit(0).alias("pos"))
     dictionary = cut_lineage(naming.name_dictionary([by_list, by_station]))
     refs = files.explode_stop_blob(fresh)
@@ -60,11 +66,11 @@ def load_timetable(
     extra_stops = timetable.assign_seq(
         extra.withColumnRenamed("code", "station_code").drop("cum_km")
     ).withColumn("source", F.lit(extra_source))
-    kept = stops.select(F.col("train_number").alias("number")).distinct()
+    kept = stops.groupBy(F.col("train_number").alias("number")).agg(F.count(F.lit(1)).cast("int").alias("num_stops"))
     head = fresh.select(
         F.trim("train_no").alias("number"), F.trim("train_name").alias("name"), "days_of_week", "classes",
         F.col("distance").try_cast("double").alias("distance_km"), F.lit(source).alias("source"),
-    ).join(kept, "number", "left_semi")
+    ).join(kept, "number")
     more = files.list_trains(listed).withColumn("source", F.lit(extra_source))
     trains = timetable.gap_fill(head, more)
     added = trains.filter(F.col("source") == extra_source)
@@ -78,11 +84,20 @@ def load_timetable(
     return TimetableLoad(trains, all_stops, report, worst)
 
 
+@dataclass
+class ExtraLoad:
+    trains: DataFrame
+    stops: DataFrame
+    stations: DataFrame
+    maps: DataFrame
+
+
 def load_extra_schedule(
     schedule: DataFrame, types: DataFrame, names: DataFrame, trains: DataFrame, stops: DataFrame,
-    stations: DataFrame, source: str = "delay-schedule",
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new trains, new stops, distance maps) from a coded schedule, for trains that are not known yet."""
+    stations: DataFrame, source: str = "delay-schedule", out: str | None = None, write: bool = True,
+) -> ExtraLoad:
+    """All trains and stops, those of the coded schedule that are not known yet among them, stations with fresh train
+    counts, and the distance maps. A station where no train stops keeps its count."""
     from ..functions.text import clock_minutes, guess_classes
 
     maps = sinks.distance_maps(
@@ -105,7 +120,17 @@ def load_extra_schedule(
         clock_minutes(F.col("arrival")).alias("arr_min"), clock_minutes(F.col("departure")).alias("dep_min"), "day", "seq",
         F.lit(source).alias("source"),
     )
-    return new_trains, timetable.append_with_ids(stops, rows, ["train_number", "seq"]), maps
+    new_stops = timetable.append_with_ids(stops, rows, ["train_number", "seq"])
+    all_trains = trains.unionByName(new_trains, allowMissingColumns=True)
+    all_stops = cut_lineage(stops.unionByName(new_stops, allowMissingColumns=True))
+    counts = timetable.station_train_counts(all_stops).select(F.col("station_code").alias("code"), F.col("num_trains").cast("int").alias("__count"))
+    old = F.col("num_trains") if "num_trains" in stations.columns else F.lit(0)
+    counted = stations.join(counts, "code", "left").withColumn("num_trains", F.coalesce("__count", old).cast("int")).drop("__count")
+    if out:
+        sinks.overwrite_table(all_trains, f"{out}/trains", write=write)
+        sinks.overwrite_table(all_stops, f"{out}/stops", write=write)
+        sinks.overwrite_table(counted, f"{out}/stations", write=write)
+    return ExtraLoad(all_trains, all_stops, counted, maps)
 
 
 def load_fares(raw: DataFrame, out: str | None = None, write: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -144,12 +169,14 @@ class Training:
 def train_delay_model(
     features: DataFrame, trained_at: str, identity: list[str], cap: int = 400, seed: int = 42, **forest_args
 ) -> Training:
-    """Sample per train, split by hash, fit and calibrate the forest, score the held-out rows."""
-    sample = cut_lineage(model.sample_per_key(features, "train_no", identity, cap, seed))
+    """Split all rows by hash; fit the forest on at most ``cap`` of the fitting rows per train, calibrate and score it
+    on all rows that were set aside and held out."""
+    features = cut_lineage(features)
     held = model.is_held_out(identity, seed=seed)
     aside = model.is_held_out(identity, seed=seed + 1)
-    forest = model.fit_quantile_forest(sample.filter(~held & ~aside), trained_at, seed=seed, **forest_args)
-    forest = model.calibrated(forest, sample.filter(~held & aside))
+    sample = cut_lineage(model.sample_per_key(features.filter(~held & ~aside), "train_no", identity, cap, seed))
+    forest = model.fit_quantile_forest(sample, trained_at, seed=seed, **forest_args)
+    forest = model.calibrated(forest, features.filter(~held & aside))
     # calibration covers all rows, also later journey days, which are refused when serving
-    scored = cut_lineage(model.predict_quantiles(forest, sample.filter(held), gate=False))
+    scored = cut_lineage(model.predict_quantiles(forest, features.filter(held), gate=False))
     return Training(forest, scored, model.error_report(scored), model.coverage_report(scored), model.stratified_report(scored))

@@ -159,9 +159,15 @@ def delay_features(legs: DataFrame, t: Tables, train: str, station: str, arr: st
     )
 
 
-def rail_legs(directs: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rail_legs(directs: DataFrame, changes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(routes, legs): one row per route, and one row per train leg of it."""
     d = directs.withColumn("route_key", F.concat_ws("-", "train", "board", "alight"))
+    if changes is None:
+        legs = ("t1", "board", "hub", "t2", "alight")
+        changes = d.limit(0).select(
+            "request_id", "b_km", "a_km", *[F.lit("").alias(c) for c in legs], F.lit(0).cast("bigint").alias("hub_trains"),
+            *[F.lit(0).alias(c) for c in ("wait", "dep1", "arr1", "it1", "b1_seq", "a1_seq", "arr1_day", "dep2", "arr2", "it2", "b2_seq", "a2_seq", "arr2_day")],
+        )
     c = changes.withColumn("route_key", F.concat(F.concat_ws("-", "t1", "hub", "t2"), F.lit(">"), F.col("alight"), F.lit("#"), F.col("b2_seq")))
     head = ["request_id", "route_key", "board", "alight", "b_km", "a_km"]
     none_text, none_int = F.lit(None).cast("string"), F.lit(None).cast("int")
@@ -277,8 +283,10 @@ def scored_routes(routes: DataFrame, legs: DataFrame, trips: DataFrame, o: DataF
     )
 
 
-def road_routes(trips: DataFrame, rail: DataFrame) -> DataFrame:
-    """The road-only option, for short trips and for requests without any rail route."""
+def road_routes(trips: DataFrame, rail: DataFrame, o: DataFrame, d: DataFrame) -> DataFrame:
+    """The road-only option, for short trips and for requests without any rail route, if both ends have a railhead."""
+    for heads in (o, d):
+        trips = trips.join(heads.select("request_id"), "request_id", "left_semi")
     served = rail.select("request_id").distinct().withColumn("__rail", F.lit(True))
     km = haversine_km(F.col("o_lat"), F.col("o_lng"), F.col("d_lat"), F.col("d_lng")) * fixed.ROAD_FACTOR
     work = trips.withColumn("km", km).join(served, "request_id", "left")
@@ -349,6 +357,30 @@ def explained(routes: DataFrame, stations: DataFrame) -> DataFrame:
     )
 
 
+def rebuilt_routes(route_ids: DataFrame, t: Tables, model: QuantileForest | None = None, guard_km: float = fixed.DETOUR_GUARD_KM) -> DataFrame:
+    """The whole scored and explained route of each ``train-board-alight`` id, from station to station and without a date."""
+    rides = cut_lineage(journeys.rebuild_direct(route_ids, t.stops, guard_km))
+    place = t.stations.select("code", "name", "lat", "lng", "num_trains")
+    spot = lambda end: place.select(F.col("code").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("name", "lat", "lng", "num_trains")])
+    known = rides.join(spot("board"), "board").join(spot("alight"), "alight").withColumn("request_id", F.col("route_id"))
+    nothing = {"pref": "string", "days_out": "int", "month": "int", "dow": "int", "o_lat": "double", "o_lng": "double", "d_lat": "double", "d_lng": "double"}
+    trips = known.select(
+        "request_id", F.col("board_name").alias("from_place"), F.col("alight_name").alias("to_place"), F.lit(0).alias("demand_score"),
+        *[F.lit(None).cast(kind).alias(c) for c, kind in nothing.items()],
+    )
+
+    def head(end: str) -> DataFrame:
+        return known.select(
+            "request_id", F.col(end).alias("code"), F.col(f"{end}_name").alias("name"), F.col(f"{end}_num_trains").alias("trains"),
+            F.lit(0.0).alias("km"), F.col(f"{end}_lat").alias("head_lat"), F.col(f"{end}_lng").alias("head_lng"),
+        )
+
+    directs = known.select("request_id", *[c for c in rides.columns if c != "route_id"], F.lit(0.0).alias("b_km"), F.lit(0.0).alias("a_km"))
+    routes, legs = rail_legs(directs, None)
+    scored = scored_legs(legs, trips, t, model)
+    return explained(scored_routes(routes, scored, trips, head("board"), head("alight")), t.stations)
+
+
 class TripSearch:
     """The search of a table of requests, step by step.
 
@@ -396,7 +428,7 @@ class TripSearch:
     @cached_property
     def shown(self) -> DataFrame:
         """The ranked and cut list per request, road option included."""
-        every = self.rail.unionByName(road_routes(self.trips, self.rail))
+        every = self.rail.unionByName(road_routes(self.trips, self.rail, *self.heads))
         chosen = ranking.cap_routes(every.withColumn("route_id", F.col("route_key")))
         return cut_lineage(explained(chosen, self.tables.stations))
 
@@ -412,6 +444,23 @@ class TripSearch:
         text = ranking.plan_b_text(F.trim("__next"), F.col("plan_b_dep"), F.col("plan_b_fare"), F.col("plan_b_minutes"))
         return planned.withColumn("plan_b", F.coalesce(text, F.col("plan_b"))).drop("__next")
 
+    @cached_property
+    def unanswered(self) -> DataFrame:
+        """Requests without any route and why: not valid, a place that is not found, or no railhead in reach."""
+        placed = self.trips.select("request_id")
+        headed = placed
+        for heads in self.heads:
+            headed = headed.join(heads.select("request_id"), "request_id", "left_semi")
+
+        def why(df: DataFrame, reason: str) -> DataFrame:
+            return df.select("request_id", F.lit(reason).alias("reason"))
+
+        return (
+            why(self.rejected, "invalid_request")
+            .unionByName(why(self.valid.join(placed, "request_id", "left_anti"), "place_not_found"))
+            .unionByName(why(placed.join(headed, "request_id", "left_anti"), "no_railhead"))
+        )
+
     @cached_property
     def reasoning(self) -> DataFrame:
         by_board = self.directs.groupBy("request_id", F.col("board").alias("code")).agg(F.count(F.lit(1)).cast("int").alias("directs"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,9 @@ def delay_stream(
 ) -> DataFrame:
     """Tumbling delay sums per train: count, sum and on-time count, ready to be added up.
 
-    The sums of all windows of a train add up to its whole history.
+    A window comes out once the watermark has passed its end. The last ones stay open until later rows move the
+    watermark on: a row one window and one watermark after the end of the feed closes them all. Then the sums of
+    all windows of a train add up to its whole history.
     """
     stamped = raw.withColumn("obs_date", F.to_date(event_time))
     clean = clean_observations(stamped.select("train_no", "obs_date", "station_no", "delay"))
@@ -64,52 +67,88 @@ LIMIT_SCHEMA = "key string, event_id bigint, ts timestamp, hits int, flagged boo
 
 
 def sliding_limit_stream(
-    hits: DataFrame, limit: int, window_s: int, idle_s: int = 3600, watermark: str = "10 minutes"
+    hits: DataFrame, limit: int, window_s: int, watermark: str = "10 minutes"
 ) -> DataFrame:
-    """Hit counter per key over a trailing window; a key idle for ``idle_s`` is forgotten.
+    """Hit counter per key over a trailing window, equal to the batch counter for rows in any order.
 
-    ``hits`` has key, event_id and ts. The state of a key is the times inside its window.
+    ``hits`` has key, event_id and ts. A hit comes out once the watermark has passed it, as no earlier hit can then
+    follow; rows later than the watermark are dropped. The state of a key is its waiting hits and the times of the
+    last window. The last hits of a stream come out when later rows of any key move the watermark past them.
     """
+    width = window_s * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        passed, times, ids = state.get if state.exists else ([], [], [])
+        passed, waiting = np.array(passed, np.int64), pd.DataFrame({"t": np.array(times, np.int64), "event_id": np.array(ids, np.int64)})
+        if not state.hasTimedOut:
+            for rows in batches:
+                t = rows["ts"].astype("datetime64[us]").astype("int64")
+                waiting = pd.concat([waiting, pd.DataFrame({"t": t.to_numpy(), "event_id": rows["event_id"].to_numpy()})])
+        waiting = waiting.sort_values(["t", "event_id"], kind="stable")
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = waiting["t"].to_numpy() < mark
+        out, waiting = waiting[ready], waiting[~ready]
+        known = np.concatenate([passed, out["t"].to_numpy()])
+        # a hit counts itself and those before it that are later than its window's start
+        place = len(passed) + np.arange(1, len(out) + 1)
+        counts = place - np.searchsorted(known, out["t"].to_numpy() - width, "right")
+        known = known[known > mark - width]
+        if len(waiting):
+            state.update((known.tolist(), waiting["t"].tolist(), waiting["event_id"].tolist()))
+            state.setTimeoutTimestamp(max(int(waiting["t"].iloc[0]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif len(known):
+            state.update((known.tolist(), [], []))
+            state.setTimeoutTimestamp(int(known[-1] + width) // 1000 + 1)
+        elif state.exists:
             state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        counts = []
-        for t in rows["ts"].astype("datetime64[us]").astype("int64"):
-            times = [x for x in times if x > t - window_s * 1_000_000]
-            times.append(int(t))
-            counts.append(len(times))
-        state.update((times,))
-        state.setTimeoutTimestamp(max(times[-1] // 1000, state.getCurrentWatermarkMs()) + idle_s * 1000)
-        out = rows[["event_id", "ts"]].assign(key=key[0], hits=counts)
-        out["flagged"] = out["hits"] > limit
-        yield out[["key", "event_id", "ts", "hits", "flagged"]]
+        if len(out):
+            yield pd.DataFrame({
+                "key": key[0], "event_id": out["event_id"].to_numpy(), "ts": out["t"].to_numpy().astype("datetime64[us]"),
+                "hits": counts, "flagged": counts > limit,
+            })
 
     return (
-        hits.withWatermark("ts", watermark).groupBy("key")
-        .applyInPandasWithState(step, LIMIT_SCHEMA, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+        hits.withWatermark("ts", watermark).groupBy("key").applyInPandasWithState(
+            step, LIMIT_SCHEMA, "passed array<bigint>, times array<bigint>, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def append_latest(path: str, keys: list[str], order: list[str]):
-    """A ``foreachBatch`` writer: the latest row per key of the batch, in a folder of its own.
+def merge_latest(path: str, keys: list[str], order: list[str]):
+    """A ``foreachBatch`` writer: the latest row per key so far, as one version of the table per batch.
 
-    A batch that is run again after a failure replaces its own folder and nothing else.
+    A batch merges into the version of the batch before it and drops the ones before that, so a look reads one
+    version. A batch that is run again after a failure replaces its own version and nothing else.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_per_key(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        older = [v for v in _versions(spark, path) if v < batch_id]
+        if older:
+            batch = spark.read.parquet(f"{path}/version={older[-1]}").unionByName(batch)
+        latest_per_key(batch, keys, order).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        for version in older[:-1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return write
 
 
-def current_table(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Latest row per key over all batches."""
-    return latest_per_key(spark.read.parquet(path).drop("batch_id"), keys, order)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    named = [e.getPath() for e in store.listStatus(folder) if e.getPath().getName().startswith("version=")]
+    return sorted(int(p.getName().removeprefix("version=")) for p in named if store.exists(Path(p, "_SUCCESS")))
 
 
-def newest_per_user(spark: SparkSession, path: str, keys: list[str], order: list[str], user: str = "user_id", n: int = 8) -> DataFrame:
-    return keep_newest(current_table(spark, path, keys, order), user, order, n)
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The latest row per key over all batches: the newest finished version."""
+    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}")
+
+
+def newest_per_user(spark: SparkSession, path: str, order: list[str], user: str = "user_id", n: int = 8) -> DataFrame:
+    """The newest ``n`` rows per user of the current table."""
+    return keep_newest(current_table(spark, path), user, order, n)
