@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.geo import cell, cells_within, haversine_km, step_for
 from ..functions.text import place_alias, place_hint, place_name, strip_parens
+from ..session import cut_lineage
 from .naming import substring_matches, trigram_matches
 
 
@@ -45,32 +46,26 @@ def nearest_railheads(
     """The nearest stations and the nearest hubs of each point, each station once.
 
     ``ladder_km`` lists radii; the next one counts only for points where the radii before give
-    neither a station nor a hub. Points with equal coordinates are searched once.
+    neither a station nor a hub, and only these are searched in it. Points with equal coordinates
+    are searched once.
     """
     served = stations.filter(F.col("num_trains") > 0)
-    spots = points.filter(F.col("lat").isNotNull()).select("lat", "lng").distinct()
-    close = _nearest(within_km(spots, served, max(ladder_km)), near).withColumn("__hub", F.lit(0))
+    spots = cut_lineage(points.filter(F.col("lat").isNotNull()).select("lat", "lng").distinct())
     big = served.filter(F.col("num_trains") >= hub_min)
-    far = _nearest(within_km(spots, big, hub_km), hubs).withColumn("__hub", F.lit(1))
-    spot = W.partitionBy("p_lat", "p_lng")
-    merged = (
-        close.unionByName(far)
-        .groupBy("p_lat", "p_lng", "code")
-        .agg(F.first(F.struct("name", "num_trains", "lat", "lng", "km")).alias("s"), F.max("__hub").alias("__hub"))
-        .withColumn("__any_hub", F.max("__hub").over(spot))
-        .withColumn("__closest", F.min("s.km").over(spot))
-    )
-    tier = F.when((F.col("__any_hub") == 1) | (F.col("__closest") <= ladder_km[0]), F.lit(ladder_km[0]))
-    for radius in ladder_km[1:]:
-        tier = tier.when(F.col("__closest") <= radius, F.lit(radius))
-    heads = (
-        merged.withColumn("tier_km", tier)
-        .filter((F.col("__hub") == 1) | (F.col("s.km") <= F.col("tier_km")))
-        .select(
-            F.col("p_lat").alias("lat"), F.col("p_lng").alias("lng"), "code", F.col("s.name").alias("name"),
-            F.col("s.num_trains").alias("trains"), F.col("s.km").alias("km"),
-            F.col("s.lat").alias("head_lat"), F.col("s.lng").alias("head_lng"), "tier_km",
-        )
+    far = cut_lineage(_nearest(within_km(spots, big, hub_km), hubs).withColumn("__hub", F.lit(1)).withColumn("tier_km", F.lit(float(ladder_km[0]))))
+    found, left = far, spots
+    for step, radius in enumerate(ladder_km):
+        close = _nearest(within_km(left, served, radius), near).withColumn("__hub", F.lit(0)).withColumn("tier_km", F.lit(float(radius)))
+        close = cut_lineage(close)
+        found = found.unionByName(close)
+        answered = close.unionByName(far) if step == 0 else close
+        left = left.join(answered.select(F.col("p_lat").alias("lat"), F.col("p_lng").alias("lng")).distinct(), ["lat", "lng"], "left_anti")
+    heads = found.groupBy("p_lat", "p_lng", "code").agg(
+        F.first(F.struct("name", "num_trains", "lat", "lng", "km")).alias("s"), F.max("tier_km").alias("tier_km")
+    ).select(
+        F.col("p_lat").alias("lat"), F.col("p_lng").alias("lng"), "code", F.col("s.name").alias("name"),
+        F.col("s.num_trains").alias("trains"), F.col("s.km").alias("km"),
+        F.col("s.lat").alias("head_lat"), F.col("s.lng").alias("head_lng"), "tier_km",
     )
     return points.join(heads, ["lat", "lng"])
 
@@ -141,16 +136,18 @@ def geocode(
     parsed = texts.withColumn("bare", place_name(F.col("place"))).withColumn("hint", place_hint(F.col("place")))
     parsed = parsed.withColumn("as_station", F.coalesce(F.col("hint") == "railway station", F.lit(False)))
     parsed = parsed.withColumn("spelled", place_alias(F.col("bare"))).withColumn("lookup", F.lower("spelled"))
+    # the texts and their candidates are read several times from here on
+    parsed = cut_lineage(parsed)
     cand = _city_candidates(parsed.filter(~F.col("as_station")), cities.withColumn("__state", state_of))
     fits = F.col("hint").isNotNull() & F.startswith(F.lower(F.coalesce("__state", F.lit(""))), F.col("hint"))
     per_place = W.partitionBy("place")
     cand = cand.withColumn("__fits", fits).withColumn("__any", F.max("__fits").over(per_place))
-    cand = cand.filter(~F.col("__any") | F.col("__fits"))
+    cand = cut_lineage(cand.filter(~F.col("__any") | F.col("__fits")))
     tokens = cand.select(F.col("spelled").alias("token"), "lat", "lng")
     confirmed = has_named_station(tokens, stations, near_km).withColumn("__ok", F.lit(1))
     cand = cand.join(confirmed.withColumnRenamed("token", "spelled"), ["spelled", "lat", "lng"], "left")
     order = F.struct(F.when(F.col("__ok") == 1, 0).otherwise(1), F.col("pop_rank"))
-    chosen = cand.groupBy("place").agg(F.min_by(F.struct("name", "lat", "lng"), order).alias("c"))
+    chosen = cut_lineage(cand.groupBy("place").agg(F.min_by(F.struct("name", "lat", "lng"), order).alias("c")))
     open_places = parsed.join(chosen.select("place"), "place", "left_anti")
     asked = F.when(F.col("as_station"), F.col("bare")).otherwise(F.col("spelled"))
     open_places = open_places.withColumn("query", F.lower(F.trim(asked)))
@@ -179,10 +176,10 @@ def suggest_places(
     k: int = 8, first: int = 10, more: int = 6, threshold: float = 0.45,
 ) -> DataFrame:
     """Autocomplete: cities by prefix, then similar names, then stations, until ``k`` are found."""
-    asked = queries.select(F.lower(F.trim("query")).alias("query")).distinct().filter(F.length("query") >= 2)
+    asked = cut_lineage(queries.select(F.lower(F.trim("query")).alias("query")).distinct().filter(F.length("query") >= 2))
     spelled = asked.withColumn("spelled", place_alias(F.col("query")))
     keys = spelled.select(F.col("spelled").alias("query")).distinct()
-    known = cities.select("id", "name", "asciiname", F.col("state"), "population")
+    known = cut_lineage(cities.select("id", "name", "asciiname", F.col("state"), "population"))
     by_name = prefix_matches(keys, known.select("name")).join(known, "name")
     by_ascii = prefix_matches(keys, known.select(F.col("asciiname").alias("name"))).withColumnRenamed(
         "name", "asciiname"
