@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import sampled, sigmoid
+from .tables import Steps
 from .words import Words, mix, separators, text_bytes
 
 GRADES = 3
@@ -145,20 +146,6 @@ def _shorter(at, value: float):
     return at(0.0)
 
 
-def screened(x: Sparse, toxic: np.ndarray, size: int = SCREENED) -> Sparse:
-    """Rows cut to the features that speak for toxicity most (deviation of their toxic rows from an even share)."""
-    bad = toxic == 1
-    owner = np.repeat(np.arange(len(toxic)), np.diff(x.at))
-    in_bad = np.bincount(x.feature, bad[owner], FEATURES)
-    expected = np.bincount(x.feature, minlength=FEATURES) * (bad.mean() if len(bad) else 0)
-    score = np.where(in_bad >= HINT_ROWS, (in_bad - expected) / np.sqrt(expected + 0.5), 0)
-    best = np.argsort(-score, kind="stable")[:size]
-    used = np.zeros(FEATURES, bool)
-    used[best[score[best] > 2]] = True
-    keep = used[x.feature]
-    return Sparse(np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(toxic)))]), x.feature[keep], x.value[keep])
-
-
 def severity_grades(x: Sparse, toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
     """0 for clean rows; toxic rows get 1..grades by the amount of words in them that hint at toxicity."""
     bad = toxic == 1
@@ -197,23 +184,65 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
         for x in word_counts(batch.column(1)):
             n = len(x.at) - 1
-            lists = [pa.ListArray.from_arrays(pa.array(x.at, pa.int32()), pa.array(v, t)) for v, t in ((x.feature, pa.int32()), (x.value, pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), *lists], ["doc_id", "feature", "value"])
+            spans = list(zip(x.at[:-1].tolist(), x.at[1:].tolist()))
+            feature, value = x.feature.astype(np.int32), x.value.astype(np.float32)
+            blobs = [pa.array([v[a:b].tobytes() for a, b in spans], pa.binary()) for v in (feature, value)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), *blobs], ["doc_id", "feature", "value"])
             done += n
 
 
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows and toxic rows of each feature, added up per task."""
+    rows, bad = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+    for batch in batches:
+        for feature, toxic in zip(batch.column("feature").to_pylist(), batch.column("toxic").to_pylist()):
+            found = np.frombuffer(feature, np.int32)
+            rows[found] += 1
+            bad[found] += toxic
+    used = np.flatnonzero(rows)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(rows[used]), pa.array(bad[used])], ["feature", "rows", "bad"])
+
+
+def _restricted(used: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(FEATURES, bool)
+        wanted[used] = True
+        for batch in batches:
+            features, values = [], []
+            for feature, value in zip(batch.column("feature").to_pylist(), batch.column("value").to_pylist()):
+                found = np.frombuffer(feature, np.int32)
+                keep = wanted[found]
+                features.append(found[keep].tobytes())
+                values.append(np.frombuffer(value, np.float32)[keep].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("toxic"), pa.array(features, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "toxic", "feature", "value"])
+
+    return run
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, grades: int = GRADES) -> Ordinal:
-    """Fit on at most about LABELLED labelled documents."""
+    """Fit on at most about LABELLED labelled documents; the driver gets their SCREENED best features only."""
+    steps = Steps(docs.sparkSession, "toxicity")
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # the sample is bounded by LABELLED, whatever the tables' size, so it can go to every task
     sample = F.broadcast(sampled(known, "doc_id", LABELLED, known.count()))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(sample.select("doc_id"), "doc_id", "left_semi")
-    counted = texts.mapInArrow(_features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, feature array<int>, value array<float>")
-    rows = sorted(counted.join(sample, "doc_id").toLocalIterator(), key=lambda r: r["doc_id"])
-    x = Sparse(np.concatenate([[0], np.cumsum([len(r["feature"]) for r in rows])]).astype(np.int64),
-               np.array([f for r in rows for f in r["feature"]], np.int64), np.array([v for r in rows for v in r["value"]], float))
-    toxic = np.array([r["toxic"] for r in rows], int)
-    return Ordinal.fit(screened(x, toxic), severity_grades(x, toxic, grades), grades)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    counted = texts.mapInArrow(_features, f"doc_id {id_type}, feature binary, value binary").join(sample, "doc_id")
+    counted = steps.table(counted.select("doc_id", "toxic", "feature", "value"), "features")
+    share = counted.agg(F.avg("toxic")).first()[0] or 0.0
+    expected = F.col("rows") * F.lit(share)
+    score = (F.col("bad") - expected) / F.sqrt(expected + 0.5)
+    found = counted.mapInArrow(_feature_rows, "feature int, rows long, bad long").groupBy("feature").agg(F.sum("rows").alias("rows"), F.sum("bad").alias("bad"))
+    best = found.where(F.col("bad") >= HINT_ROWS).select("feature", score.alias("score")).where("score > 2").orderBy(F.desc("score"), "feature").limit(SCREENED)
+    used = np.array(sorted(r["feature"] for r in best.collect()), np.int64)
+    kept = counted.mapInArrow(_restricted(used), f"doc_id {id_type}, toxic int, feature binary, value binary").collect()
+    kept.sort(key=lambda r: (r["doc_id"], r["feature"]))
+    size = [len(r["feature"]) // 4 for r in kept]
+    x = Sparse(np.concatenate([[0], np.cumsum(size)]).astype(np.int64), np.frombuffer(b"".join(r["feature"] for r in kept), np.int32).astype(np.int64),
+               np.frombuffer(b"".join(r["value"] for r in kept), np.float32).astype(float))
+    toxic = np.array([r["toxic"] for r in kept], int)
+    return Ordinal.fit(x, severity_grades(x, toxic, grades), grades)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, grades: int = GRADES) -> DataFrame:
