@@ -60,3 +60,28 @@ def test_order_statistics(frame, rows):
         n = len(xs)
         assert upper[k] == xs[n // 2]
         assert middle[k] == pytest.approx((xs[(n - 1) // 2] + xs[n // 2]) / 2)
+
+
+def test_days_over_many_segments(spark):
+    """Journey days do not depend on where a train is cut, with missing clocks at the edges."""
+    import random
+
+    from wayframe.operators.timetable import infer_day
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for train in ("1", "2", "3"):
+        day, prev = 1, None
+        for seq in range(1, 60):
+            arr, dep = (rng.randrange(1440) if rng.random() < 0.6 else None for _ in range(2))
+            rows.append((train, seq, arr, dep))
+            for t in (arr, dep):
+                if t is not None:
+                    if prev is not None and t < prev:
+                        day += 1
+                    prev = t
+            want[train, seq] = day
+    df = spark.createDataFrame(rows, "train_number string, seq int, arr_min int, dep_min int").repartition(5)
+    for width in (1, 4, 1024):
+        got = {(r["train_number"], r["seq"]): r["day"] for r in infer_day(df, width=width).collect()}
+        assert got == want

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.geo import haversine_km
 from ..functions.text import minutes_clock, norm_train_no
-from .segments import dense_positions, segmented
+from .segments import SEGMENT, dense_positions, segmented
 
 
 def assign_seq(stops: DataFrame, pos: str = "pos", min_stops: int = 2) -> DataFrame:
@@ -19,14 +19,37 @@ def assign_seq(stops: DataFrame, pos: str = "pos", min_stops: int = 2) -> DataFr
     return dense_positions(kept, ["train_number"], pos, "seq")
 
 
-def infer_day(stops: DataFrame, pos: str = "seq") -> DataFrame:
-    """Journey day of each stop: one more whenever a clock is earlier than the one before it."""
-    known = F.coalesce("dep_min", "arr_min")
-    seen = segmented(stops, ["train_number"], pos, lasts={"__prev": known})
-    first = F.coalesce("arr_min", "dep_min")
-    wraps = F.when(first < F.col("__prev"), 1).otherwise(0) + F.when(F.col("dep_min") < F.col("arr_min"), 1).otherwise(0)
-    out = segmented(seen, ["train_number"], pos, sums={"__wraps": wraps})
-    return out.withColumn("day", (1 + F.col("__wraps")).cast("int")).drop("__prev", "__wraps")
+def infer_day(stops: DataFrame, pos: str = "seq", width: int = 1024) -> DataFrame:
+    """Journey day of each stop: one more whenever a clock is earlier than the one before it.
+
+    Days are counted inside (train, segment of positions) from one shuffle of the stops. One row per segment
+    carries on the last clock and the days so far; at the first clock of a segment it may add a day itself.
+    """
+    known, first = F.coalesce("dep_min", "arr_min"), F.coalesce("arr_min", "dep_min")
+    inside = W.partitionBy("train_number", SEGMENT).orderBy(pos)
+    before = F.last(known, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1))
+    own = F.when(F.col("dep_min") < F.col("arr_min"), 1).otherwise(0)
+    local = (
+        stops.withColumn(SEGMENT, F.floor(F.col(pos) / width).cast("bigint")).withColumn("__before", before)
+        .withColumn("__wraps", F.when(first < F.col("__before"), 1).otherwise(0) + own)
+        .withColumn("__run", F.sum("__wraps").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    )
+    at = F.when(known.isNotNull(), F.col(pos))
+    facts = local.groupBy("train_number", SEGMENT).agg(
+        F.sum("__wraps").alias("wraps"), F.min_by(first, at).alias("head"), F.max_by(known, at).alias("last")
+    )
+    earlier = W.partitionBy("train_number").orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, -1)
+    edge = facts.withColumn("before", F.last("last", ignorenulls=True).over(earlier)).withColumn(
+        "__edge", F.when(F.col("head") < F.col("before"), 1).otherwise(0)
+    )
+    carry = edge.withColumn("__start", F.coalesce(F.sum(F.col("wraps") + F.col("__edge")).over(earlier), F.lit(0))).select(
+        "train_number", SEGMENT, "__edge", "__start"
+    )
+    started = F.when(known.isNotNull() | F.col("__before").isNotNull(), F.col("__edge")).otherwise(0)
+    day = (1 + F.col("__start") + F.col("__run") + started).cast("int")
+    return local.join(carry, ["train_number", SEGMENT]).withColumn("day", day).drop(
+        SEGMENT, "__before", "__wraps", "__run", "__edge", "__start"
+    )
 
 
 def placeable_stops(stops: DataFrame, stations: DataFrame, min_stops: int = 2) -> DataFrame:
