@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wayframe import fixed
 from wayframe.operators import ranking
 from wayframe.plans import routes as build
 
@@ -206,7 +207,8 @@ SELECT route_id, CASE route_id % 4 WHEN 0 THEN '~' || CAST(minutes AS VARCHAR) |
     WHEN 2 THEN '~' || CAST(fare AS VARCHAR) || ' min late (est.) · ' || ot ELSE '~' || CAST(fare AS VARCHAR) || ' min late (avg) · ' || ot END AS line,
   CASE route_id % 4 WHEN 0 THEN 'Typical delay for your travel date — from a model trained on a year of real arrivals. On a bad day, expect up to ~' || CAST(minutes * 2 AS VARCHAR) || ' min. Based on 1,500 past arrivals. Model trained through 3 Jan 2025.'
     WHEN 2 THEN 'No historical record for this train yet — a rough estimate from its class, distance and number of stops.'
-    ELSE 'Average from a full year of this train''s real arrivals. Based on 1,500 past arrivals.' END AS detail
+    ELSE 'Average from a full year of this train''s real arrivals. Based on 1,500 past arrivals.' END AS detail,
+  CASE WHEN route_id % 3 = 0 THEN 'Multi-day journey — harder to predict, build in extra buffer.' END AS warning
 FROM (SELECT *, CAST(reliability AS VARCHAR) || '% on-time' AS ot FROM v_routes)
 """)
 def delay_texts(net):
@@ -214,7 +216,7 @@ def delay_texts(net):
     source = F.when(k % 4 == 0, "predicted").when(k % 4 == 1, "measured").when(k % 4 == 2, "modelled").otherwise("seed")
     line = build.delay_line(source, F.col("minutes"), F.col("fare"), F.col("reliability"))
     detail = build.delay_detail(source, F.col("minutes") * 2, F.lit(1500), F.lit("high"), F.lit("2025-01-03"))
-    return net.routes().select("route_id", line.alias("line"), detail.alias("detail"))
+    return net.routes().select("route_id", line.alias("line"), detail.alias("detail"), build.delay_warning(k % 3 == 0).alias("warning"))
 
 
 @query("""
@@ -238,6 +240,22 @@ def benchmark_summary(net):
     return ranking.corridor_benchmark(net.routes().withColumnRenamed("request_id", "corridor"), known)[1]
 
 
+KNOWN = ", ".join(f"({i}, '{a}', '{b}', {h})" for i, (a, b, h) in enumerate(fixed.CORRIDOR_HOURS))
+
+
+@query(f"""
+SELECT corridor, from_name, to_name, CAST(known_hours AS DOUBLE) AS known_hours, m / 60 AS engine_hours, round((m / 60 - known_hours) / known_hours * 100, 6) AS deviation_pct
+FROM (VALUES {KNOWN}) k(corridor, from_name, to_name, known_hours) LEFT JOIN (SELECT request_id % 10 AS c, CAST(min(minutes) AS DOUBLE) AS m FROM v_routes GROUP BY 1) ON c = corridor
+""".replace("m / 60 AS engine_hours", "round(m / 60, 6) AS engine_hours"))
+def known_corridors(net):
+    """The fastest routes of ten groups of requests against the known hours of ten corridors."""
+    rows = [(i, a, b, h) for i, (a, b, h) in enumerate(fixed.CORRIDOR_HOURS)]
+    known = net.spark.createDataFrame(rows, "corridor int, from_name string, to_name string, known_hours double")
+    routes = net.routes().withColumn("corridor", (F.col("request_id") % 10).cast("int"))
+    found, _ = ranking.corridor_benchmark(routes, known.drop("from_name", "to_name"))
+    return found.drop("verdict").join(known.select("corridor", "from_name", "to_name"), "corridor")
+
+
 # --- map shapes ------------------------------------------------------------------------------------
 
 VIEWS["v_path"] = """

@@ -353,6 +353,39 @@ def distance_maps(net):
     return maps.select("train_number", F.size("stations").alias("stations"), F.array_join(entries, "|").alias("listed"))
 
 
+@query("""
+SELECT a.train_number, a.station_code AS start, b.station_code AS stop, abs(b.cum_km - a.cum_km) AS km
+FROM (SELECT train_number, min(seq) AS s0, max(seq) AS s1 FROM v_stops GROUP BY 1 HAVING count(DISTINCT station_code) >= 2) t
+JOIN v_stops f ON f.train_number = t.train_number AND f.seq = s0 JOIN v_stops l ON l.train_number = t.train_number AND l.seq = s1
+JOIN (SELECT train_number, station_code, arg_max(cum_km, seq) AS cum_km FROM v_stops GROUP BY 1, 2) a ON a.train_number = t.train_number AND a.station_code = f.station_code
+JOIN (SELECT train_number, station_code, arg_max(cum_km, seq) AS cum_km FROM v_stops GROUP BY 1, 2) b ON b.train_number = t.train_number AND b.station_code = l.station_code
+""")
+def map_distances(net):
+    """Whole length of each train, looked up in its distance map."""
+    from wayframe.operators.journeys import station_distances
+
+    stops = net.stops()
+    maps = sinks.distance_maps(station_distances(stops))
+    ends = stops.groupBy("train_number").agg(F.min_by("station_code", "seq").alias("start"), F.max_by("station_code", "seq").alias("stop"))
+    found = ends.join(maps, "train_number")
+    return found.select("train_number", "start", "stop", sinks.map_km("stations", F.col("start"), F.col("stop")).alias("km"))
+
+
+ALIASES = ", ".join(f"({i}, '{n}', '{fixed.CODE_RENAMES.get(c, c)}')" for i, (n, c) in enumerate(fixed.STATION_ALIASES.items()))
+
+
+@query(f"""
+SELECT p_partkey, name || '(' || CAST(p_partkey AS VARCHAR) AS raw_name, code, 'alias' AS method
+FROM part JOIN (VALUES {ALIASES}) a(i, name, code) ON p_partkey % {len(fixed.STATION_ALIASES)} = i
+""")
+def aliased_stations(net):
+    """Names that only the alias table knows, each with a bracket that says nothing."""
+    names = F.array(*[F.lit(n) for n in fixed.STATION_ALIASES])
+    part = net.table("part")
+    raw = F.concat(F.element_at(names, (F.col("p_partkey") % len(fixed.STATION_ALIASES) + 1).cast("int")), F.lit("("), F.col("p_partkey").cast("string"))
+    return naming.match_stations(part.select("p_partkey", raw.alias("raw_name")), dictionary(net).filter(F.col("code") != "ZZ"))
+
+
 @query("""
 SELECT number, split_part(name, ' ', 1) AS label, CASE kind WHEN 'RAJDHANI' THEN '1A,2A,3A' WHEN 'PASSENGER' THEN '2S' ELSE 'SL,3A,2A' END AS classes
 FROM (SELECT coalesce(nullif(ltrim(number, '0'), ''), number) AS number, name, kind FROM v_trains)

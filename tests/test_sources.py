@@ -100,6 +100,9 @@ def test_side_files(spark, tmp_path):
     assert knots.count() == 2 and fits.first()["rate"] == 0.5
     (tmp_path / "cum.json").write_text(json.dumps({"1": {"A": 0, "B": 12.5}}))
     assert {r["station_code"]: r["cum_km"] for r in files.read_distance_json(spark, str(tmp_path / "cum.json")).collect()} == {"A": 0.0, "B": 12.5}
+    lines = files.read_distance_json(spark, str(tmp_path / "cum.json"))
+    sinks.write_json(sinks.distance_maps(lines), str(tmp_path / "maps"))
+    assert {tuple(r) for r in files.read_distance_lines(spark, str(tmp_path / "maps")).collect()} == {tuple(r) for r in lines.collect()}
     assert files.read_or_empty(spark, str(tmp_path / "none.json"), "a int").count() == 0
     (tmp_path / "st.json").write_text(json.dumps({"features": [
         {"geometry": {"coordinates": [77.2, 28.6]}, "properties": {"code": "NDLS", "name": "New Delhi", "state": "Delhi"}},

@@ -188,3 +188,6 @@ CORRIDOR_HOURS = [
     ("Chennai", "Bengaluru", 4.7), ("Kolkata", "Puri", 7.5), ("Rourkela", "Ranchi", 4.5),
     ("Lucknow", "Delhi", 6.5),
 ]
+
+# The warning of journeys over several days.
+MULTI_DAY_WARNING = "Multi-day journey — harder to predict, build in extra buffer."
