@@ -72,6 +72,19 @@ def test_any_cutting_gives_one_fingerprint():
         assert (parts[0] << 31 | parts[1]) == whole
 
 
+def test_pieces_in_any_task_give_the_fingerprint_of_the_text(spark):
+    texts = {1: "aé" * 90_000, 2: "", 3: "short", 4: None}
+    rows = []
+    for d, t in texts.items():
+        for k in range(7):
+            size = len(t or "") // 7 + 1
+            rows.append((d, 10 * k, None if t is None else t[k * size : (k + 1) * size]))
+    got = exact_dedup.piece_fingerprints(spark.createDataFrame(rows, "id long, seq int, text string").repartition(9))
+    tables = exact_dedup.powers()
+    want = {d: (exact_dedup.fingerprint(np.frombuffer((t or "").encode(), np.uint8), tables), len((t or "").encode())) for d, t in texts.items()}
+    assert {r.id: (r.print, r.size) for r in got.collect()} == want
+
+
 PAGES = [(1, "http://a/", "same"), (2, None, "same"), (3, "http://b/\r\nX: y", "other é\u0001"), (4, "u", None), (5, "u", ""), (6, "v", "z" * 100_000),
          (6, "v", "z" * 100_000), (None, "w", "same"), (9, "big", None)]
 

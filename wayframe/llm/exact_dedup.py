@@ -79,6 +79,37 @@ def _marks(id_type: str, with_text: bool, bits: int):
     return run, schema
 
 
+def piece_fingerprints(pieces: DataFrame) -> DataFrame:
+    """id, print, size of documents that come as pieces (id, seq, text), each piece hashed where it lies.
+
+    The pieces of a document may lie in any tasks; only their hashes meet, each shifted by the length that follows it.
+    The result is that of the joined text, however it is cut. Null text is empty. ``seq`` is unique in a document.
+    """
+    spark_type = pieces.schema["id"].dataType.simpleString()
+    schema = f"id {spark_type}, seq long, size long, low long, high long"
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = powers()
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(2))
+            prints = [fingerprint(raw[a:b], tables) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            halves = [pa.array([f >> 31 for f in prints], pa.int64()), pa.array([f & ((1 << 31) - 1) for f in prints], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), *halves], ["id", "seq", "size", "low", "high"])
+
+    @F.arrow_udf("struct<low: long, high: long>")
+    def shifted(low: pa.Array, high: pa.Array, after: pa.Array) -> pa.Array:
+        sizes = after.to_pylist()
+        parts = [pa.array([h * pow(b, n, p) % p for h, n in zip(x.to_pylist(), sizes)], pa.int64()) for x, p, b in zip((low, high), PRIMES, BASES)]
+        return pa.StructArray.from_arrays(parts, ["low", "high"])
+
+    rows = pieces.select("id", F.col("seq").cast("long"), F.col("text").cast("string")).mapInArrow(hashes, schema)
+    behind = Window.partitionBy("id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)  # one row per piece
+    after = F.coalesce(F.sum("size").over(behind), F.lit(0))
+    moved = rows.withColumn("after", after).withColumn("s", shifted("low", "high", "after"))
+    whole = moved.groupBy("id").agg(F.sum("size").alias("size"), (F.sum("s.low") % PRIMES[0]).alias("low"), (F.sum("s.high") % PRIMES[1]).alias("high"))
+    return whole.select("id", F.shiftleft("low", 31).bitwiseOR(F.col("high")).alias("print"), "size")
+
+
 def _odd_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by group, the text that stays first; gives the rows whose text is another one."""
     group, first = None, b""
