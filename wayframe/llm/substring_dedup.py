@@ -1,8 +1,11 @@
 """Words of long passages that occurred before, found by recompression.
 
-1. Documents go, ordered by id, into batches. Recompression names the runs and pairs of each batch's words; equal
-   windows of words hold equal symbols inside. Each window picks one sequence of symbols that its words settle alone.
-2. The batches' distinct picks meet in a shuffle, which tells each batch which of them another batch has too.
+1. Documents go, ordered by id, into batches. Rounds of recompression name the runs and pairs of each batch's words,
+   then those of the symbols, and so on; equal passages hold equal symbols inside, in all batches. Late symbols stand
+   for dozens of words: their 96-bit names meet in a shuffle, and where an earlier batch (or an earlier place of the
+   batch) has the symbol, all its words are repeated.
+2. Windows of words that no such symbol covers pick one sequence of early symbols that their words settle alone. The
+   batches' distinct picks meet in the same shuffle, which tells each batch which of them another batch has too.
 3. Windows whose pick is shared may be repeated: their own 96-bit names meet in a second shuffle, which tells each
    batch which of them an earlier batch has. Words that a repeated window covers are removed.
 
@@ -21,20 +24,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .recompression import rounds
+from .recompression import Symbols, next_round, words_as_symbols
 from .tables import Steps, id_ranges, release
 from .words import Words, joined, mix, separators, text_bytes, window_hashes
 
 WINDOW = 20
-#: Rounds of recompression, and symbols in a pick.
+#: Rounds of recompression before windows pick, and symbols in a pick.
 ROUNDS, PICK = 2, 4
+#: Rounds up to the long symbols (of some 50 words on average); shorter than so many windows they are left to the windows.
+LONG_ROUNDS, LONG_WINDOWS = 14, 2
 #: Bytes of text in a batch.
 BATCH = 4 << 20
 #: Names that meet in one group of a shuffle, on average.
 MEETING = 1 << 20
 #: Bytes of a word with the space after it, to size the shuffles.
 WORD_BYTES = 6
-CANDIDATES = -1
+#: Rows of an exchange that meet nobody: a batch's long symbols, its open windows, its words in repeated symbols.
+SPANS, CANDIDATES, KNOWN = -1, -2, -3
 
 
 def window_places(words: Words, width: int) -> np.ndarray:
@@ -44,7 +50,7 @@ def window_places(words: Words, width: int) -> np.ndarray:
     return np.flatnonzero(room >= width)
 
 
-def picks(words: Words, width: int, turns: int = ROUNDS, size: int = PICK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def picks(words: Words, width: int, symbols: Symbols, size: int = PICK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of all windows, name of each one's pick, and whether the pick is another occurrence than the one before.
 
     The pick is, of all sequences of ``size`` neighbouring symbols (fewer if there are no more) whose contexts lie in
@@ -53,7 +59,6 @@ def picks(words: Words, width: int, turns: int = ROUNDS, size: int = PICK) -> tu
     places = window_places(words, width)
     if not len(places):
         return places, np.zeros(0, np.uint64), np.zeros(0, bool)
-    symbols = rounds(words.hash, words.owner(), turns)[-1]
     first = np.searchsorted(symbols.low, places, "left")
     count = np.searchsorted(symbols.high, places + width, "right") - first
     name = np.full(len(places), np.iinfo(np.uint64).max, np.uint64)
@@ -81,16 +86,19 @@ def picks(words: Words, width: int, turns: int = ROUNDS, size: int = PICK) -> tu
     return places, name, new
 
 
-def window_names(hashes: np.ndarray, width: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent names of the windows at the places: 64 and 32 bits."""
-    first = window_hashes(hashes, width)[places]
-    # a polynomial of the words' hashes, shifted to the place
+def passage_names(hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32-bit names of passages: a polynomial of the words' hashes, shifted to the passage's start."""
     factor = 0x5851F42D4C957F2D
-    powers = np.cumprod(np.full(len(hashes) + 1, factor, np.uint64)) * np.uint64(pow(factor, -1, 1 << 64))
+    inverse = pow(factor, -1, 1 << 64)
+    powers = np.cumprod(np.full(len(hashes) + 1, factor, np.uint64)) * np.uint64(inverse)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(1)) * powers[: len(hashes)])])
-    back = np.cumprod(np.full(len(hashes) + 1, pow(factor, -1, 1 << 64), np.uint64)) * np.uint64(factor)
-    second = mix((sums[places + width] - sums[places]) * back[places])
-    return first, (second >> np.uint64(32)).astype(np.uint32)
+    back = np.cumprod(np.full(len(hashes) + 1, inverse, np.uint64)) * np.uint64(factor)
+    return (mix((sums[end] - sums[first]) * back[first]) >> np.uint64(32)).astype(np.uint32)
+
+
+def window_names(hashes: np.ndarray, width: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent names of the windows at the places: 64 and 32 bits."""
+    return window_hashes(hashes, width)[places], passage_names(hashes, places, places + width)
 
 
 def _groups(names: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
@@ -161,11 +169,42 @@ def _words(rows: pa.Table) -> Words:
     return Words(*text_bytes(pa.chunked_array(rows.column("text").chunks).combine_chunks() if rows.column("text").num_chunks != 1 else rows.column("text").chunk(0)), separators())
 
 
-def _send_picks(width: int, bits: int):
+SPAN = np.dtype([("name", "<u8"), ("second", "<u4"), ("first", "<i4"), ("end", "<i4")])
+
+
+def early_and_late(words: Words, last: int | None = None) -> tuple[Symbols, Symbols]:
+    """Symbols of round ROUNDS and of the last one (LONG_ROUNDS by default)."""
+    symbols = early = words_as_symbols(words.hash, words.owner())
+    for turn in range(LONG_ROUNDS if last is None else last):
+        symbols = next_round(symbols, turn)
+        if turn + 1 == ROUNDS:
+            early = symbols
+    return early, symbols
+
+
+def long_symbols(words: Words, last: Symbols, width: int) -> np.ndarray:
+    """Names and places of the last round's symbols of LONG_WINDOWS windows and more."""
+    keep = last.end - last.first >= LONG_WINDOWS * width
+    out = np.zeros(int(keep.sum()), SPAN)
+    out["name"], out["first"], out["end"] = last.name[keep], last.first[keep], last.end[keep]
+    out["second"] = passage_names(words.hash, last.first[keep], last.end[keep])
+    return out
+
+
+def _send_picks(width: int, bits: int, long_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows()
         for batch, part, rows, _ in portions(batches):
-            _, name, new = picks(_words(rows), width)
+            words = _words(rows)
+            early, late = early_and_late(words)
+            spans = long_symbols(words, late, width)
+            if len(spans):
+                order, begins, _ = _distinct(spans["name"], spans["second"])
+                first, second = spans["name"][order[begins]], spans["second"][order[begins]]
+                for group, lo, hi in _groups(first, long_bits):
+                    out.add(KNOWN - 1 - group, batch, part, first[lo:hi].tobytes() + second[lo:hi].tobytes())
+                out.add(SPANS, batch, part, spans.tobytes())
+            _, name, new = picks(words, width, early)
             names = np.unique(name[new])
             for group, lo, hi in _groups(names, bits):
                 out.add(group, batch, part, names[lo:hi].tobytes())
@@ -218,13 +257,29 @@ def in_earlier(keys: list[tuple[int, int]], data: list[bytes]) -> list[np.ndarra
     return np.split(again, np.cumsum(sizes)[:-1])
 
 
-def _masks(answers: dict, kind: int, part: int, names: np.ndarray, bits: int) -> np.ndarray:
+def _bits(data: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=count).astype(bool)
+
+
+def _masks(answers: dict, kind: int, part: int, names: np.ndarray, bits: int, meeting=lambda group: group) -> np.ndarray:
+    """Answers to the names, which are as they were sent."""
     out = np.zeros(len(names), bool)
     for group, lo, hi in _groups(names, bits):
-        out[lo:hi] = np.unpackbits(np.frombuffer(answers[kind, part, group], np.uint8), count=hi - lo).astype(bool)
+        out[lo:hi] = _bits(answers[kind, part, meeting(group)], hi - lo)
     return out
 
 
+def repeated_spans(answers: dict, part: int, long_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of the long symbols that occurred before."""
+    spans = np.frombuffer(answers.get((2, part, SPANS), b""), SPAN)
+    if not len(spans):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order, begins, number = _distinct(spans["name"], spans["second"])
+    earlier = _masks(answers, 1, part, spans["name"][order[begins]], long_bits, lambda group: KNOWN - 1 - group)
+    again = np.sort(order[~begins | earlier[number]])
+    return spans["first"][again].astype(np.int64), spans["end"][again].astype(np.int64)
+
+
 def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by name with the first place of a name first; which rows of that order begin a name; name number of each row."""
     order = np.lexsort((np.arange(len(first)), second, first))
@@ -233,15 +288,20 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, new, np.cumsum(new) - 1
 
 
-def _send_windows(width: int, bits: int, window_bits: int):
+def _send_windows(width: int, bits: int, long_bits: int, window_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows()
         for batch, part, rows, answers in portions(batches):
             words = _words(rows)
-            places, name, new = picks(words, width)
+            places, name, new = picks(words, width, early_and_late(words, ROUNDS)[0])
             names, place, count = np.unique(name[new], return_inverse=True, return_counts=True)
             shared = _masks(answers, 0, part, names, bits) | (count > 1)
             found = places[shared[place][np.cumsum(new) - 1]] if len(places) else places
+            begin, end = repeated_spans(answers, part, long_bits)
+            if len(begin):
+                span = np.searchsorted(begin, found, "right") - 1
+                found = found[(span < 0) | (found + width > end[span])]
+                out.add(KNOWN, batch, part, np.packbits(_covered(begin, end, len(words.hash))).tobytes())
             if len(found):
                 first, second = window_names(words.hash, width, found)
                 order, begins, _ = _distinct(first, second)
@@ -256,19 +316,25 @@ def _send_windows(width: int, bits: int, window_bits: int):
     return run
 
 
+def _covered(first: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """Which of so many words lie in one of the ranges."""
+    steps = np.zeros(size + 1, np.int64)
+    np.add.at(steps, first, 1)
+    np.add.at(steps, end, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
 def removed_words(words: Words, width: int, answers: dict, part: int, window_bits: int) -> np.ndarray:
-    removed = np.zeros(len(words.hash) + 1, np.int64)
-    marked = answers.get((1, part, CANDIDATES))
-    if marked is None:
-        return removed[:-1].astype(bool)
-    found = np.flatnonzero(np.unpackbits(np.frombuffer(marked, np.uint8), count=len(words.hash)))
+    size = len(words.hash)
+    removed = _bits(answers[1, part, KNOWN], size) if (1, part, KNOWN) in answers else np.zeros(size, bool)
+    if (1, part, CANDIDATES) not in answers:
+        return removed
+    found = np.flatnonzero(_bits(answers[1, part, CANDIDATES], size))
     first, second = window_names(words.hash, width, found)
     order, begins, number = _distinct(first, second)
     earlier = _masks(answers, 2, part, first[order[begins]], window_bits)
     repeated = found[order[~begins | earlier[number]]]
-    np.add.at(removed, repeated, 1)
-    np.add.at(removed, repeated + width, -1)
-    return np.cumsum(removed[:-1]) > 0
+    return removed | _covered(repeated, repeated + width, size)
 
 
 def _kept_words(width: int, window_bits: int):
@@ -329,7 +395,7 @@ def _answered(docs: DataFrame, id_column: str, text_column: str, width: int, wit
     size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length(body)).alias("bytes")).first()
     words = max(1, (size["bytes"] or 0) // WORD_BYTES)
     batch = id_ranges(docs, id_column, max(1, int(size["rows"] * BATCH / max(size["bytes"] or 1, 1))))
-    bits, window_bits = ((max(1, int(words * share) // MEETING)).bit_length() for share in (0.25, 0.4))
+    bits, long_bits, window_bits = ((max(1, int(words * share) // MEETING)).bit_length() for share in (0.25, 0.02, 0.3))
     kinds = {"kind": "int", "meeting": "long", "part": "int", "data": "binary"}
     blanks = [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
 
@@ -345,11 +411,15 @@ def _answered(docs: DataFrame, id_column: str, text_column: str, width: int, wit
     def met(sent: DataFrame, answer, name: str) -> DataFrame:
         return steps.table(sent.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_meet(answer), EXCHANGE), name)
 
-    shared = met(stream([]).mapInArrow(_send_picks(width, bits), EXCHANGE), in_several, "shared")
-    sent = steps.table(stream([(0, shared)]).mapInArrow(_send_windows(width, bits, window_bits), EXCHANGE), "windows")
-    earlier = met(sent.where(F.col("meeting") != CANDIDATES), in_earlier, "earlier")
-    marked = steps.table(sent.where(F.col("meeting") == CANDIDATES), "marked")
-    steps.drop("windows", "shared")
+    sent = steps.table(stream([]).mapInArrow(_send_picks(width, bits, long_bits), EXCHANGE), "symbols")
+    shared = met(sent.where("meeting >= 0"), in_several, "shared")
+    known = met(sent.where(F.col("meeting") < KNOWN), in_earlier, "known")
+    spans = steps.table(sent.where(F.col("meeting") == SPANS), "spans")
+    steps.drop("symbols")
+    sent = steps.table(stream([(0, shared), (1, known), (2, spans)]).mapInArrow(_send_windows(width, bits, long_bits, window_bits), EXCHANGE), "windows")
+    earlier = met(sent.where("meeting >= 0"), in_earlier, "earlier")
+    marked = steps.table(sent.where("meeting < 0"), "marked")
+    steps.drop("windows", "shared", "known", "spans")
     release(spark)
     return stream([(1, marked), (2, earlier)], with_rest), window_bits
 
