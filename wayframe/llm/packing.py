@@ -30,7 +30,7 @@ END_ID = 1
 #: Ids that the program looks at together; it settles all but the last sequence of them.
 BLOCK = 64
 #: Words, and tokens of the word pattern, whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED_WORDS, REMEMBERED = 400_000, 800_000
 
 
 @dataclass(frozen=True)
@@ -115,7 +115,7 @@ class WordIds:
         """Ids of all texts, each closed by END_ID, and the number of ids of each."""
         if len(self.tokens) > REMEMBERED:
             self.forget()
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > REMEMBERED_WORDS:
             self._forget_words()
         # spaces and line ends never are inside a token, so the words between them can be encoded one by one
         split = [normal(t).replace("\n", " ").split(" ") for t in texts]
