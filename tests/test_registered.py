@@ -6,6 +6,8 @@ import __spark_entry__ as entry
 from checks.compare import duck, run_one
 
 FOLDER = "/root/testdata/sf0.001"
+#: Where the smallest folder has no rows for a query.
+LARGER = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -24,5 +26,8 @@ def test_flagship(spark):
 
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, con, name):
-    text, good = run_one(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name))
+    query, sql = entry.queries()[name], entry.oracle_sql().get(name)
+    text, good = run_one(spark, con, FOLDER, name, query, sql)
+    if text.startswith("EMPTY"):
+        text, good = run_one(spark, duck(LARGER), LARGER, name, query, sql)
     assert good, text

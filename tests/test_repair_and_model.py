@@ -27,7 +27,7 @@ def test_misplaced_station_is_found_and_remapped(spark):
 def trained(spark):
     rng = random.Random(5)
     rows = []
-    for i in range(12000):
+    for i in range(40000):
         train, dow = rng.randrange(20), rng.randrange(7)
         mean = 10 + 3 * train + (25 if dow >= 5 else 0)
         rows.append((str(train), i, 17.0 + 3 * train, float(train % 4), 100.0 * rng.randrange(10), rng.random(), float(rng.randrange(24)),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.geo import haversine_km
 from ..functions.score import min_buffer
+from ..session import cut_lineage
 
 
 def runs_on(days: Column, day3: Column) -> Column:
@@ -319,8 +320,9 @@ def point_along(path: DataFrame, keys: list[str], pos: str, share: float) -> Dat
 
     step = segmented(path, keys, pos, nexts={"__next": F.struct("lng", "lat")}).filter(F.col("__next").isNotNull())
     dx, dy = F.col("__next.lng") - F.col("lng"), F.col("__next.lat") - F.col("lat")
-    run = segmented(step.withColumn("__d", F.sqrt(dx * dx + dy * dy)), keys, pos, sums={"__upto": F.col("__d")})
-    total = run.groupBy(*keys).agg(F.sum("__d").alias("__total"))
+    step = cut_lineage(step.withColumn("__d", F.sqrt(dx * dx + dy * dy)))
+    run = segmented(step, keys, pos, sums={"__upto": F.col("__d")})
+    total = step.groupBy(*keys).agg(F.sum("__d").alias("__total"))
     target = F.lit(share) * F.col("__total")
     hit = run.join(total, keys).filter(target <= F.col("__upto") + 1e-9)
     first = hit.groupBy(*keys).agg(F.min_by(F.struct("lng", "lat", "__next", "__d", "__upto", "__total"), pos).alias("r"))

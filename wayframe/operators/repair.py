@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.geo import cell, cells_within, haversine_km, step_for
 from ..functions.text import alnum_key, same_name
+from ..session import cut_lineage
 from .segments import nth_values, segmented
 from .timetable import with_train_counts
 
@@ -43,7 +44,7 @@ def mislocated(
     far_fraction: float = 0.6, min_points: int = 3,
 ) -> DataFrame:
     """Stations far from where their trains pass: far from the median and from most mid-points."""
-    mids = neighbour_midpoints(stops, stations)
+    mids = cut_lineage(neighbour_midpoints(stops, stations))  # read for two medians and the share
     place = stations.select("code", "name", F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
     far = haversine_km(F.col("s_lat"), F.col("s_lng"), F.col("lat"), F.col("lng")) > outlier_km
     share = (

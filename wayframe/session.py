@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,16 +30,19 @@ def build_session(app: str = "wayframe", master: str | None = None, partitions:
 
 
 def cut_lineages(*frames: DataFrame) -> list[DataFrame]:
-    """Checkpoint tables that do not depend on each other, as jobs that run side by side."""
-    _checkpoint_folder(frames[0].sparkSession)
+    """Write tables that do not depend on each other, as jobs that run side by side."""
     with ThreadPoolExecutor(len(frames)) as pool:
-        return list(pool.map(lambda df: df.checkpoint(), frames))
+        return list(pool.map(cut_lineage, frames))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``."""
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write a table as Parquet to the shared folder and read it from there.
+
+    It is computed once, keeps its columns apart for later readers, and outlives the executors.
+    """
+    path = scratch_folder(df.sparkSession, "wayframe-cut")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -48,15 +54,17 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A new folder for written tables and stream state that every executor can reach."""
-    folder = shared_folder(spark)
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix=f"{label}-")
-
-
-def _checkpoint_folder(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    folder = shared_folder(spark)
-    if folder:
-        context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="wayframe-checkpoint-"))
+    """A new folder for written tables and stream state that every executor can reach.
+
+    Written tables are read lazily, so they stay until the folder the cluster names is cleaned; a local session's
+    own folder goes with its process.
+    """
+    folder = shared_folder(spark) or _local_folder()
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="wayframe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
