@@ -68,12 +68,12 @@ def _ride(b: DataFrame, a: DataFrame, on: list[str], span: int = SPAN) -> DataFr
 
 def ride_pairs(
     stops: DataFrame, board_codes: DataFrame, alight_codes: DataFrame,
-    guard_board: bool, guard_alight: bool, guard_km: float = fixed.DETOUR_GUARD_KM,
+    guard_board: bool, guard_alight: bool, guard_km: float = fixed.DETOUR_GUARD_KM, span: int = SPAN,
 ) -> DataFrame:
     """Rides of one train between a wanted boarding and a wanted alighting station."""
     b = _boards(stops, guard_board, guard_km).join(board_codes.select(F.col("code").alias("board")).distinct(), "board", "left_semi")
     a = _alights(stops, guard_alight, guard_km).join(alight_codes.select(F.col("code").alias("alight")).distinct(), "alight", "left_semi")
-    return _ride(b, a, ["train"])
+    return _ride(b, a, ["train"], span)
 
 
 def direct(
@@ -82,12 +82,13 @@ def direct(
 ) -> DataFrame:
     """Every (board, alight) ride of one train from an origin head to a destination head.
 
-    The stops at a request's heads meet on (request, train), so only rides that some request asks for
-    appear, whatever the length of a train.
+    Rides between stations that some request uses are one table for all requests, which meet them on
+    (board, alight): at most 12 by 12 rows per request.
     """
-    b = o_heads.select("request_id", F.col("code").alias("board")).join(_boards(stops, True, guard_km), "board")
-    a = d_heads.select("request_id", F.col("code").alias("alight")).join(_alights(stops, True, guard_km), "alight")
-    rides = _ride(b, a, ["request_id", "train"], span)
+    o = o_heads.select("request_id", F.col("code").alias("board"))
+    d = d_heads.select("request_id", F.col("code").alias("alight"))
+    pairs = ride_pairs(stops, o_heads.select("code"), d_heads.select("code"), True, True, guard_km, span)
+    rides = o.join(d, "request_id").join(pairs, ["board", "alight"])
     info = trains.select(F.col("number").alias("train"), "days")
     when = requests.select("request_id", "day3")
     return (
