@@ -189,5 +189,19 @@ CORRIDOR_HOURS = [
     ("Lucknow", "Delhi", 6.5),
 ]
 
-# The warning of journeys over several days.
+# --- Fixed values: texts and scores of the demand advice ------------------------------------------
+ADVICE_MODERATE, ADVICE_HIGH = 35, 60
+ADVICE_HIGH_NOTE = (
+    "Premium (flexi-fare) trains like Rajdhani/Shatabdi run pricier, and "
+    "sleeper/cheaper classes sell out first — book early or expect AC-only."
+)
+ADVICE_MODERATE_NOTE = "Slightly busier travel day — cheaper classes may fill up faster than usual."
+ADVICE_DEFAULT_LABEL = "Peak travel dates"
+
+# --- Fixed values: base risk by month, all other months, weekend and spike additions, limits ------
+SEASON_BASE = {7: 60, 8: 60, 6: 42, 9: 42, 5: 28, 10: 28}
+SEASON_OTHER, SEASON_WEEKEND, SEASON_SPIKE = 16, 14, 22
+SEASON_LIMITS = (4, 96)
+
+# --- Fixed values: the warning of journeys over several days --------------------------------------
 MULTI_DAY_WARNING = "Multi-day journey — harder to predict, build in extra buffer."

@@ -216,16 +216,12 @@ def demand_drivers(
 
 
 def demand_advisory(score: Column, drivers: Column) -> Column:
-    """Struct (level, label, note), NULL under a score of 35."""
-    high = score >= 60
-    note = F.when(
-        high,
-        "Premium (flexi-fare) trains like Rajdhani/Shatabdi run pricier, and "
-        "sleeper/cheaper classes sell out first — book early or expect AC-only.",
-    ).otherwise("Slightly busier travel day — cheaper classes may fill up faster than usual.")
-    label = F.coalesce(F.try_element_at(drivers, F.lit(1)), F.lit("Peak travel dates"))
+    """Struct (level, label, note), NULL under the moderate score."""
+    high = score >= fixed.ADVICE_HIGH
+    note = F.when(high, fixed.ADVICE_HIGH_NOTE).otherwise(fixed.ADVICE_MODERATE_NOTE)
+    label = F.coalesce(F.try_element_at(drivers, F.lit(1)), F.lit(fixed.ADVICE_DEFAULT_LABEL))
     return F.when(
-        score >= 35,
+        score >= fixed.ADVICE_MODERATE,
         F.struct(F.when(high, "high").otherwise("moderate").alias("level"), label.alias("label"), note.alias("note")),
     )
 
@@ -303,14 +299,12 @@ def season_risk(day: Column) -> Column:
     digits = F.transform(F.split(text, ""), lambda ch: F.ascii(ch).cast("bigint"))
     hashed = F.aggregate(digits, F.lit(0).cast("bigint"), lambda h, c: F.pmod(h * 31 + c, F.lit(4294967296)))
     month = F.month(day)
-    base = (
-        F.when(month.isin(7, 8), 60).when(month.isin(6, 9), 42).when(month.isin(5, 10), 28).otherwise(16)
-    )
+    base = F.coalesce(lookup(fixed.SEASON_BASE, month), F.lit(fixed.SEASON_OTHER))
     weekend = F.weekday(day).isin(4, 5, 6)
     spike = F.pmod(hashed, F.lit(11)) == 0
     score = clamp(
-        (base + F.when(weekend, 14).otherwise(0) + F.pmod(hashed, F.lit(21)) - 10 + F.when(spike, 22).otherwise(0)).cast("int"),
-        4, 96,
+        (base + F.when(weekend, fixed.SEASON_WEEKEND).otherwise(0) + F.pmod(hashed, F.lit(21)) - 10 + F.when(spike, fixed.SEASON_SPIKE).otherwise(0)).cast("int"),
+        *fixed.SEASON_LIMITS,
     )
     level = F.when(score >= 65, "high").when(score >= 38, "medium").otherwise("low")
     label = (
