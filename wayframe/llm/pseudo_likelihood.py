@@ -3,7 +3,9 @@
 The network sees the words on both sides of a masked place and predicts the masked one: embeddings of the window,
 one hidden layer, and a two-level softmax (class, word in class). It is trained in numpy on masked places of all
 documents: each task follows the gradient over its own documents, and the tasks' weights are averaged, round by round.
-A document's score is the sum of the log-probabilities of all its words, each given its window.
+A document's score is the sum of the log-probabilities of all its words, each given its window. The network predicts
+symbols: frequent words, and hash buckets of the others. A bucketed word's probability is that of its bucket times the
+word's share of the bucket's places in the corpus; these shares come from a sharded table of all words' counts.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,10 @@ BATCH = 1024
 RATE = 0.05
 SHARDS = 16
 SLICE = 2 << 20
+#: Bytes of text whose bucketed words are looked up together, and words in a shard of the counts, about.
+BLOCK = 8 << 20
+SHARD_WORDS, LEAST_SHARDS = 100_000, 64
+SCORED = "block long, shard int, words binary, pairs binary, docs binary, times binary, ids array<{kind}>, n_words array<long>, sums array<double>"
 SHAPES = {"embedding": (SIZE + 1, EMBEDDING), "inner": (2 * REACH * EMBEDDING, HIDDEN), "inner_bias": (HIDDEN,), "top": (HIDDEN, CLASSES),
           "top_bias": (CLASSES,), "low": (CLASSES, HIDDEN, CLASSES), "low_bias": (CLASSES, CLASSES)}
 
@@ -51,10 +58,11 @@ def window_slices(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
 
 @dataclass
 class Vocabulary:
-    """Hashes of the frequent words, ascending, with their ids."""
+    """Hashes of the frequent words, ascending, with their ids; how often each bucket's words occur together."""
 
     hashes: np.ndarray
     ids: np.ndarray
+    bucket_counts: np.ndarray
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         rare = FREQUENT + (mix(hashes) % np.uint64(RARE)).astype(np.int64)
@@ -211,24 +219,34 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_counts, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def fit_vocabulary(texts: DataFrame, steps: Steps) -> tuple[Vocabulary, np.ndarray]:
-    """The most frequent words of all texts, and the share of each id in the corpus."""
-    counts = steps.table(corpus_counts(texts), "counts")
+def _bucket_counts(vocabulary: Vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SIZE, np.int64)
+        for batch in batches:
+            np.add.at(sums, vocabulary(batch.column(0).to_numpy().view(np.uint64)), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(range(RARE), pa.int32()), pa.array(sums[FREQUENT:])], ["bucket", "count"])
+
+    return run
+
+
+def fit_vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The most frequent of all words and the counts of the buckets, and the share of each id in the corpus."""
     top = counts.orderBy(F.desc("count"), "word").limit(FREQUENT).collect()
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     ids = np.arange(len(top))
     order = np.argsort(hashes)
-    total = counts.agg(F.sum("count")).first()[0] or 0
+    vocabulary = Vocabulary(hashes[order], ids[order], np.zeros(RARE, np.int64))
+    for r in counts.mapInArrow(_bucket_counts(vocabulary), "bucket int, count long").groupBy("bucket").agg(F.sum("count").alias("count")).collect():
+        vocabulary.bucket_counts[r["bucket"]] = r["count"]
     shares = np.zeros(SIZE)
     shares[: len(top)] = [r["count"] for r in top]
-    shares[FREQUENT:] = (total - shares.sum()) / RARE
-    return Vocabulary(hashes[order], ids[order]), shares / max(total, 1)
+    shares[FREQUENT:] = vocabulary.bucket_counts
+    return vocabulary, shares / max(shares.sum(), 1)
 
 
-def fit_network(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, dict[str, np.ndarray]]:
+def fit_network(texts: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, dict[str, np.ndarray]]:
     """Vocabulary and weights, from the counts of all words and from masked places of all texts."""
-    steps = Steps(texts.sparkSession, "likelihood")
-    vocabulary, shares = fit_vocabulary(texts, steps)
+    vocabulary, shares = fit_vocabulary(counts)
     weights = new_weights(shares)
     for turn in range(rounds):
         trained = texts.mapInArrow(_train(vocabulary, weights, turn), "shard int, seen long, part binary")
@@ -244,8 +262,11 @@ def fit_network(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, dic
     return vocabulary, weights
 
 
-def _score(vocabulary: Vocabulary, weights: dict[str, np.ndarray]):
+def _score(vocabulary: Vocabulary, weights: dict[str, np.ndarray], shards: int):
+    """Per block of texts, a row with the documents' sums over symbols, and a row per shard with its bucketed words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for lo, hi, words in window_slices(batch.column(1)):
                 ids, owner = vocabulary(words.hash), words.owner()
@@ -253,11 +274,113 @@ def _score(vocabulary: Vocabulary, weights: dict[str, np.ndarray]):
                 for first in range(0, len(ids), 1 << 15):
                     part = np.arange(first, min(len(ids), first + (1 << 15)))
                     sums += np.bincount(owner[part], log_probabilities(weights, windows(ids, owner, part), ids[part]), hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(words.counts()), pa.array(sums)], ["doc_id", "n_words", "log_likelihood"])
+                bucketed = ids >= FREQUENT
+                held.append((batch.column(0).slice(lo, hi - lo), words.counts(), sums, words.hash[bucketed], owner[bucketed]))
+                size += len(words.raw)
+                if size >= BLOCK:
+                    yield _block_rows(block, held, shards)
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield _block_rows(block, held, shards)
+
+    return run
+
+
+def _block_rows(block: int, held: list[tuple], shards: int) -> pa.RecordBatch:
+    ids = pa.concat_arrays([x[0] for x in held])
+    n_words, sums, hashes = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+    first = np.cumsum([0, *(len(x[0]) for x in held)])
+    found = pa.array(hashes).dictionary_encode()
+    word, index = found.dictionary.to_numpy(), found.indices.to_numpy()
+    shard = (word % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    key = rank[index] * len(ids) + np.concatenate([x[4] + n for x, n in zip(held, first)])
+    key.sort()
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    times = np.diff(at, append=len(key)).astype(np.uint32)
+    owner, doc = np.divmod(key[at], len(ids))
+    edge = np.searchsorted(shard[order], np.arange(shards + 1))
+    pair = np.searchsorted(owner, np.arange(len(word) + 1))
+    rows = [(block, -1, None, None, None, None)]
+    for s in np.flatnonzero(np.diff(edge)).tolist():
+        of = pair[edge[s] : edge[s + 1] + 1]
+        rows.append((block, s, word[order[edge[s] : edge[s + 1]]].tobytes(), np.diff(of).astype(np.uint32).tobytes(),
+                     doc[of[0] : of[-1]].astype(np.uint32).tobytes(), times[of[0] : of[-1]].tobytes()))
+    lists = [pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(rows), pa.int32()), x) for x in (ids, pa.array(n_words), pa.array(sums))]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(zip(*rows), kinds)), *lists], ["block", "shard", "words", "pairs", "docs", "times", "ids", "n_words", "sums"])
+
+
+def _bucketed_counts(vocabulary: Vocabulary, shards: int):
+    """Packs the counts of bucketed words by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, count = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            good = vocabulary(hashes) >= FREQUENT
+            hashes, count = hashes[good], count[good]
+            shard = (hashes % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            edge = np.searchsorted(shard[order], np.arange(shards + 1))
+            own = np.flatnonzero(np.diff(edge)).tolist()
+            packed = [[x[order[edge[s] : edge[s + 1]]].tobytes() for s in own] for x in (hashes, count)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["shard", "words", "counts"])
 
     return run
 
 
+def _share_sums(bucket_counts: np.ndarray):
+    """Rows come sorted by shard, its counts first; sums log(count / bucket's count) per document of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, hashes, logs = None, [], None, None
+        for batch in batches:
+            for s, block, words, counts, pairs, docs, times in zip(*batch.columns):
+                if s.as_py() != shard:
+                    shard, held, hashes = s.as_py(), [], None
+                words = np.frombuffer(words.as_buffer(), np.uint64)
+                if not block.is_valid:
+                    held.append((words, np.frombuffer(counts.as_buffer(), np.int64)))
+                    continue
+                if hashes is None:
+                    hashes, count = (np.concatenate(x) for x in zip(*held))
+                    order = np.argsort(hashes)
+                    hashes, held = hashes[order], []
+                    bucket = (mix(hashes) % np.uint64(RARE)).astype(np.int64)
+                    logs = np.log(count[order] / bucket_counts[bucket])
+                at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+                if (hashes[at] != words).any():
+                    raise RuntimeError("the texts changed between counting and scoring")
+                pairs, docs, times = (np.frombuffer(x.as_buffer(), np.uint32) for x in (pairs, docs, times))
+                found, place = np.unique(docs, return_inverse=True)
+                sums = np.bincount(place, np.repeat(logs[at], pairs) * times)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([shard], pa.int32()), pa.array([found.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())],
+                                                 ["block", "shard", "docs", "shares"])
+
+    return run
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block, its documents first; one row per document."""
+    held, sums = None, None
+
+    def rows():
+        return pa.RecordBatch.from_arrays([held[0].values, held[1].values, pa.array(sums)], ["doc_id", "n_words", "log_likelihood"])
+
+    for batch in batches:
+        for _, shard, docs, shares, ids, n_words, own in zip(*batch.columns):
+            if shard.as_py() < 0:
+                if held:
+                    yield rows()
+                held, sums = (ids, n_words), own.values.to_numpy().copy()
+            else:
+                sums[np.frombuffer(docs.as_buffer(), np.uint32)] += np.frombuffer(shares.as_buffer(), np.float64)
+    if held:
+        yield rows()
+
+
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, log_likelihood, mean_log_likelihood: one row per document.
 
@@ -266,7 +389,18 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     documents are counted, trained on and scored.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    vocabulary, weights = fit_network(rows.select("text"), rounds)
+    steps = Steps(rows.sparkSession, "likelihood")
+    counts = steps.table(corpus_counts(rows.select("text")), "counts")
+    vocabulary, weights = fit_network(rows.select("text"), counts, rounds)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(vocabulary, weights), f"doc_id {kind}, n_words long, log_likelihood double")
-    return scored.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+    shards = max(LEAST_SHARDS, -(-counts.count() // SHARD_WORDS))
+    # written, so that all shards see the same blocks
+    scored = steps.table(rows.mapInArrow(_score(vocabulary, weights, shards), SCORED.format(kind=kind)), "scored")
+    bucketed = counts.mapInArrow(_bucketed_counts(vocabulary, shards), "shard int, words binary, counts binary")
+    asked = scored.where("shard >= 0").select("shard", "block", "words", "pairs", "docs", "times")
+    met = bucketed.unionByName(asked, allowMissingColumns=True).select("shard", "block", "words", "counts", "pairs", "docs", "times")
+    shares = met.repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first()).mapInArrow(_share_sums(vocabulary.bucket_counts), "block long, shard int, docs binary, shares binary")
+    own = scored.where("shard < 0").select("block", "shard", "ids", "n_words", "sums")
+    both = shares.unionByName(own, allowMissingColumns=True).select("block", "shard", "docs", "shares", "ids", "n_words", "sums")
+    whole = both.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_documents, f"doc_id {kind}, n_words long, log_likelihood double")
+    return whole.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
