@@ -41,3 +41,16 @@ def test_bucketed_words_count_with_their_share(spark, monkeypatch):
         around = likelihood.windows(ids, np.zeros(len(ids), int), np.arange(len(ids)))
         want = likelihood.log_probabilities(weights, around, ids).sum() + sum(math.log(count[w] / bucket[symbol[w]]) for w in ws) if ws else 0
         assert got[i].n_words == len(ws) and got[i].log_likelihood == pytest.approx(want, rel=1e-5, abs=1e-9)
+
+
+def test_each_place_is_a_target_once():
+    """Rounds partition the places, and copies of a text do not mask the same ones."""
+    text = " ".join(f"w{i}" for i in range(400))
+    (_, _, words), = likelihood.window_slices(pa.array([text, "", text, "a"]))
+    salt = np.array([7, 8, 9, 9], np.uint64)
+    for rounds in (1, 2, 3):
+        parts = [likelihood.masked_places(words, salt, turn, rounds) for turn in range(rounds)]
+        assert sorted(np.concatenate(parts).tolist()) == list(range(801))
+        assert all(len(p) > 600 / rounds for p in parts)
+    masked = set(parts[0].tolist())
+    assert {p for p in masked if p < 400} != {p - 400 for p in masked if 400 <= p < 800}

@@ -32,8 +32,6 @@ OUTSIDE = SIZE
 REACH = 2
 EMBEDDING, HIDDEN = 16, 32
 ROUNDS = 2
-#: Share of the places that a round masks, as 1/1024.
-MASKED = 112
 BATCH = 1024
 RATE = 0.05
 SHARDS = 16
@@ -122,29 +120,35 @@ def gradient(weights: dict[str, np.ndarray], around: np.ndarray, target: np.ndar
     wrong = np.exp(log_softmax(hidden @ weights["top"] + weights["top_bias"]))
     wrong[np.arange(n), upper] -= 1
     wrong /= n
-    out = {k: np.zeros_like(weights[k]) for k in ("embedding", "low", "low_bias")}
+    out = {k: np.zeros_like(weights[k]) for k in ("low", "low_bias")}
     out["top"], out["top_bias"] = hidden.T @ wrong, wrong.sum(axis=0)
     back = wrong @ weights["top"].T
     order = np.argsort(upper, kind="stable")
-    edge = np.searchsorted(upper[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[edge[c] : edge[c + 1]]
-        if len(rows):
-            miss = np.exp(log_softmax(hidden[rows] @ weights["low"][c] + weights["low_bias"][c]))
-            miss[np.arange(len(rows)), lower[rows]] -= 1
-            miss /= n
-            out["low"][c], out["low_bias"][c] = hidden[rows].T @ miss, miss.sum(axis=0)
-            back[rows] += miss @ weights["low"][c].T
+    edge = np.searchsorted(upper[order], np.arange(CLASSES + 1)).tolist()
+    used = [(c, slice(edge[c], edge[c + 1])) for c in range(CLASSES) if edge[c] < edge[c + 1]]
+    above, miss = hidden[order], weights["low_bias"][upper[order]]
+    for c, rows in used:
+        miss[rows] += above[rows] @ weights["low"][c]
+    miss = np.exp(log_softmax(miss))
+    miss[np.arange(n), lower[order]] -= 1
+    miss /= n
+    under = np.empty_like(above)
+    for c, rows in used:
+        out["low"][c], out["low_bias"][c] = above[rows].T @ miss[rows], miss[rows].sum(axis=0)
+        under[rows] = miss[rows] @ weights["low"][c].T
+    back[order] += under
     back *= 1 - hidden**2
     out["inner"], out["inner_bias"] = seen.T @ back, back.sum(axis=0)
-    np.add.at(out["embedding"], around.ravel(), (back @ weights["inner"].T).reshape(-1, EMBEDDING))
+    old = weights["embedding"]
+    cells = around.reshape(-1, 1) * EMBEDDING + np.arange(EMBEDDING)
+    out["embedding"] = np.bincount(cells.ravel(), (back @ weights["inner"].T).ravel(), old.size).astype(old.dtype).reshape(old.shape)
     return out
 
 
-def masked_places(words: Words, turn: int) -> np.ndarray:
-    """Places that a round masks, by a hash of the word, its place and the round."""
+def masked_places(words: Words, salt: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Places that a round masks, by a hash of the document's salt and the place; the rounds partition all places."""
     place = np.arange(len(words.hash)) - np.repeat(words.of[:-1], words.counts())
-    return np.flatnonzero((mix(words.hash + mix(place.astype(np.uint64) + np.uint64(turn << 40))) & np.uint64(1023)) < MASKED)
+    return np.flatnonzero(mix(np.repeat(mix(salt), words.counts()) + place.astype(np.uint64)) % np.uint64(rounds) == turn)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,14 +177,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*merged())
 
 
-def _train(vocabulary: Vocabulary, weights: dict[str, np.ndarray], turn: int):
+def _train(vocabulary: Vocabulary, weights: dict[str, np.ndarray], turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {k: v.copy() for k, v in weights.items()}
         power = {k: np.full(s, 1e-4, np.float32) for k, s in SHAPES.items()}
         seen = 0
         for batch in batches:
-            for _, _, words in window_slices(batch.column(0)):
-                ids, owner, places = vocabulary(words.hash), words.owner(), masked_places(words, turn)
+            salt = batch.column(1).to_numpy().view(np.uint64)
+            for first, end, words in window_slices(batch.column(0)):
+                ids, owner, places = vocabulary(words.hash), words.owner(), masked_places(words, salt[first:end], turn, rounds)
                 for lo in range(0, len(places), BATCH):
                     part = places[lo : lo + BATCH]
                     for k, g in gradient(own, windows(ids, owner, part), ids[part]).items():
@@ -245,11 +250,11 @@ def fit_vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
 
 
 def fit_network(texts: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    """Vocabulary and weights, from the counts of all words and from masked places of all texts."""
+    """Vocabulary and weights, from the counts of all words and from all places of all texts (text, salt), each masked in one round."""
     vocabulary, shares = fit_vocabulary(counts)
     weights = new_weights(shares)
     for turn in range(rounds):
-        trained = texts.mapInArrow(_train(vocabulary, weights, turn), "shard int, seen long, part binary")
+        trained = texts.mapInArrow(_train(vocabulary, weights, turn, rounds), "shard int, seen long, part binary")
         parts = trained.repartition("shard").sortWithinPartitions("shard", "seen", "part").mapInArrow(_average, "shard int, part binary").collect()
         if not parts:
             break
@@ -391,7 +396,7 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     steps = Steps(rows.sparkSession, "likelihood")
     counts = steps.table(corpus_counts(rows.select("text")), "counts")
-    vocabulary, weights = fit_network(rows.select("text"), counts, rounds)
+    vocabulary, weights = fit_network(rows.select("text", F.xxhash64("doc_id").alias("salt")), counts, rounds)
     kind = rows.schema["doc_id"].dataType.simpleString()
     shards = max(LEAST_SHARDS, -(-counts.count() // SHARD_WORDS))
     # written, so that all shards see the same blocks
