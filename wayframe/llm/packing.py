@@ -40,8 +40,6 @@ class Costs:
     sentence: float = 4.0
     inside: float = 12.0
     sequence: float = 128.0
-    #: Of the sentence ends in a stretch of so many ids the last one is a place to cut.
-    stretch: int = 64
 
 
 class Numbers(dict):
@@ -221,8 +219,6 @@ class Packer:
         doc_ends = np.array([b + n for _, b, n in self.docs], np.int64)
         doc_ends = doc_ends[(doc_ends > lo) & (doc_ends <= hi)] - lo
         stops = np.flatnonzero(self.ends_sentence[lo:hi]) + 1
-        if len(stops):
-            stops = stops[np.append(stops[1:] // self.costs.stretch != stops[:-1] // self.costs.stretch, True)]
         places = np.union1d(np.union1d(doc_ends, stops), [hi - lo])
         penalty = np.where(np.isin(places, doc_ends), 0.0, np.where(np.isin(places, stops), self.costs.sentence, self.costs.inside))
         return best_cuts(places.tolist(), penalty.tolist(), hi - lo, self.capacity, self.costs, final)
