@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .apportionment import mixed, taken_words
 from .exact_dedup import exact_groups
+from .fill_in_middle import fill_in_middle, restored
 from .jaccard_join import near_duplicates
 from .nearest import nearest
 from .packing import packed
@@ -69,8 +71,19 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op11_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    out = fill_in_middle(table(spark, folder, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_packing, op3_exact_dedup, op4_unigram, op5_jaccard_join, op6_pseudo_likelihood, op7_warc, op8_toxicity, op9_quality, op10_nearest,
+    op11_source_mixing, op13_fill_in_middle,
 )}
 
 SQL = {
@@ -129,4 +142,72 @@ SQL = {
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM pairs)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op11_source_mixing": """
+        WITH RECURSIVE sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(coalesce(text, '')) AS digest FROM documents),
+        copies AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, digest) - 1 AS copy FROM sized),
+        placed AS (SELECT *, sha256(concat_ws(':', '11', coalesce(CAST(doc_id AS VARCHAR), ''), digest, CAST(copy // 64 AS VARCHAR))) AS place FROM copies),
+        sharded AS (
+            SELECT *, CAST('0x' || substr(place, 1, 8) AS BIGINT) % greatest(1, CAST(ceil((SELECT sum(size) FROM sized) / 4194304) AS BIGINT)) AS shard FROM placed),
+        streams AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS stream, CAST(sum(size) + 63 AS BIGINT) // 64 AS blocks FROM sharded GROUP BY ALL),
+        sources AS (
+            SELECT source, CAST(sum(stream) AS BIGINT) AS source_size, CAST(sum(blocks) AS BIGINT) AS blocks,
+                   row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM streams GROUP BY source),
+        shared AS (
+            SELECT 0 AS step, rank, source, source_size, blocks, CAST([2, 3, 1][1 + rank % 3] AS DOUBLE) AS weight, false AS capped, 0.0::DOUBLE AS target FROM sources
+            UNION ALL
+            SELECT step + 1, rank, source, source_size, blocks, weight, capped OR 2 * source_size <= offered,
+                   CASE WHEN capped OR 2 * source_size <= offered THEN CAST(2 * source_size AS DOUBLE) ELSE offered END
+            FROM (SELECT *, weight * CAST(1.5 * sum(source_size) OVER () - sum(CASE WHEN capped THEN 2 * source_size ELSE 0 END) OVER () AS DOUBLE)
+                            / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () AS offered FROM shared)
+            WHERE step <= (SELECT count(*) FROM sources)),
+        votes AS (
+            SELECT source, source_size, target, blocks, rank, target * blocks / greatest(source_size, 1) AS votes FROM shared WHERE step = (SELECT count(*) FROM sources) + 1),
+        asked AS (SELECT source, rank, votes / (2 * unnest(range(0, 2 * blocks)) + 1) AS quotient FROM votes WHERE votes > 0),
+        given AS (
+            SELECT source, count(*) AS seats
+            FROM (SELECT source, row_number() OVER (ORDER BY quotient DESC, rank) AS nth FROM asked) WHERE nth <= (SELECT floor(sum(votes) + 0.5) FROM votes) GROUP BY source),
+        shard_asked AS (
+            SELECT source, shard, blocks / (2 * unnest(range(0, 2 * blocks)) + 1) AS quotient FROM streams),
+        quotas AS (
+            SELECT source, shard, count(*) AS quota
+            FROM (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY quotient DESC, shard) AS nth FROM shard_asked) a
+            JOIN given USING (source) WHERE nth <= seats GROUP BY ALL),
+        chosen AS (
+            SELECT s.*, coalesce(quota, 0) AS quota,
+                   CASE WHEN blocks > 0 THEN CAST('0x' || substr(sha256(concat_ws(':', '11', s.source, CAST(s.shard AS VARCHAR))), 1, 8) AS BIGINT) % blocks END AS turn
+            FROM streams s LEFT JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source AND s.shard = q.shard),
+        begun AS (
+            SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY place, doc_id, digest, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin
+            FROM sharded),
+        met AS (
+            SELECT b.*, c.stream, c.blocks, c.quota, c.turn FROM begun b JOIN chosen c ON b.source IS NOT DISTINCT FROM c.source AND b.shard = c.shard),
+        blocks_of AS (
+            SELECT doc_id, source, digest, copy, begin, size, stream, blocks, quota, turn,
+                   unnest(range(((begin + 1) * blocks - 1) // stream, ((begin + size) * blocks - 1) // stream + 1)) AS k FROM met WHERE size > 0),
+        sums AS (
+            SELECT doc_id, source, digest, copy, sum((least((k + 1) * stream // blocks, begin + size) - greatest(k * stream // blocks, begin))
+                   * (((k + 1) * quota + turn) // blocks - (k * quota + turn) // blocks)) AS taken FROM blocks_of GROUP BY ALL)
+        SELECT m.doc_id, CAST(m.size AS BIGINT) AS size, v.source_size, v.target, CAST(coalesce(s.taken, 0) AS BIGINT) AS taken
+        FROM met m JOIN votes v ON m.source IS NOT DISTINCT FROM v.source
+        LEFT JOIN sums s ON m.doc_id IS NOT DISTINCT FROM s.doc_id AND m.source IS NOT DISTINCT FROM s.source AND m.digest = s.digest AND m.copy = s.copy
+    """,
+    "op13_fill_in_middle": """
+        WITH split AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS units FROM documents),
+        numbers AS (SELECT *, len(units) AS n, list_transform(range(0, 4), lambda k: CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT)) AS r FROM split),
+        places AS (
+            SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain'
+                        WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+        parts AS (
+            SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM places)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts
+    """,
 }
