@@ -11,6 +11,7 @@ from .fill_in_middle import fill_in_middle, restored
 from .jaccard_join import near_duplicates
 from .nearest import nearest
 from .packing import packed
+from .prefix_trie import prefix_trie
 from .pseudo_likelihood import pseudo_likelihood
 from .quality import quality_scores
 from .substring_dedup import repeated_words
@@ -75,6 +76,10 @@ def op11_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     out = fill_in_middle(table(spark, folder, "documents"))
     digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
@@ -83,7 +88,7 @@ def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_packing, op3_exact_dedup, op4_unigram, op5_jaccard_join, op6_pseudo_likelihood, op7_warc, op8_toxicity, op9_quality, op10_nearest,
-    op11_source_mixing, op13_fill_in_middle,
+    op11_source_mixing, op12_prefix_trie, op13_fill_in_middle,
 )}
 
 SQL = {
@@ -192,6 +197,29 @@ SQL = {
         FROM met m JOIN votes v ON m.source IS NOT DISTINCT FROM v.source
         LEFT JOIN sums s ON m.doc_id IS NOT DISTINCT FROM s.doc_id AND m.source IS NOT DISTINCT FROM s.source AND m.digest = s.digest AND m.copy = s.copy
     """,
+    "op12_prefix_trie": """
+        WITH numbered AS (
+            SELECT conv_id AS c, {'name': sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 'size': strlen(coalesce(text, ''))} AS t,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        listed AS (SELECT c, list(t ORDER BY pos) AS own FROM numbered GROUP BY c),
+        sums AS (
+            SELECT c, own, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT))),
+                   lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(0, 8)), lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 9 AS h FROM listed),
+        rebuilt AS (
+            SELECT s.c, list_concat(coalesce(b.own, [])[1:s.h], s.own[s.h + 1:]) AS path FROM sums s LEFT JOIN listed b ON b.c = s.c - s.c % 5),
+        members AS (SELECT c, path, unnest(range(0, len(path) + 1)) AS depth FROM rebuilt),
+        nodes AS (
+            SELECT list_transform(path[1:depth], lambda t: t.name) AS node, min(c) AS conv_id, depth, count(*) AS n_convs, any_value(path[depth].size) AS size,
+                   sha256(coalesce(string_agg(CASE WHEN len(path) = depth THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256 FROM members GROUP BY node, depth),
+        kin AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        whole AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kin USING (node)),
+        above AS (SELECT node[1:up] AS node, n_children = 0 AS leaf, (n_convs - 1) * coalesce(size, 0) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM whole)),
+        subtrees AS (SELECT node, sum(CAST(leaf AS BIGINT)) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY node)
+        SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+               CAST(saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+        FROM whole w JOIN subtrees s ON w.node = s.node LEFT JOIN nodes p ON w.depth > 0 AND p.node = w.node[1:w.depth - 1]
+    """,
     "op13_fill_in_middle": """
         WITH split AS (
             SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
