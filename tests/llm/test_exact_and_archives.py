@@ -173,23 +173,39 @@ def test_nearest_of_nothing(spark):
     assert nearest.nearest(df, df).collect() == []
 
 
-TEXTS = [None, "", "One two. Three!", "  \t\n x\ty's İΣ it's 12 <|endoftext|> é́ ", "word " * 3000, "### @@ ... !!!\u0085x\u001cy", "Don't stop. " * 400, "ﬁ ́combining é", "plain", "plain"]
+TEXTS = [None, "", "One two. Three!", "  \t\n x\ty's İΣ it's 12 <|endoftext|> é́ ", "word " * 3000, "### @@ ... !!!\u0085x\u001cy", "Don't stop. " * 400, "ﬁ ́combining é", "plain", "plain", "one <|endoftext|> two", "a<|startoftext|>b",
+         "<|endoftext|><|endoftext|>", "<|endo<|endoftext|>text|>\n<|ENDOFTEXT|> ΑΣ<|endoftext|>́x", "ΑΣ " * 20 + "<|startoftext|>"]
 
 
-def test_ids_are_those_of_the_tokenizer():
+def test_ids_are_those_of_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    assert untouched.encode("one <|endoftext|> two", add_special_tokens=False).ids == [637, 49407, 1237]
     words = packing.WordIds(tokenizer_file("word_bpe_49k.json"))
-    for _ in range(2):
+    for turn in range(3):
+        if turn == 2:
+            monkeypatch.setattr(packing, "REMEMBERED_CHARS", 10)
         ids, sizes = words.encode([t or "" for t in TEXTS])
-        want = [e.ids + [1] for e in words.whole.encode_batch([t or "" for t in TEXTS], add_special_tokens=False)]
+        want = [e.ids + [1] for e in untouched.encode_batch([t or "" for t in TEXTS], add_special_tokens=False)]
         assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
-        words.forget()
+        if turn == 0:
+            words.forget()
+
+
+def test_ids_of_a_text_without_spaces():
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    text = "日本語é" * 300_000 + "x" * 200_000
+    ids, sizes = packing.WordIds(tokenizer_file("word_bpe_49k.json")).encode([text])
+    assert ids.tolist() == [*untouched.encode(text, add_special_tokens=False).ids, 1] and sizes.tolist() == [len(ids)]
 
 
 def check_pieces(rows, texts, capacity):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -257,3 +273,21 @@ def test_cuts_are_near_the_best():
         best = brute_cost(places, penalty, length, capacity, costs)
         # the program cuts sentences only where a full sequence ends
         assert best <= cost <= best + 2 * capacity
+
+
+def test_cuts_of_long_streams_are_within_some_per_cent_of_the_best():
+    """Streams of many sequences, with sentence and document ends as thick as in prose."""
+    rng = np.random.default_rng(4)
+    costs, capacity = packing.Costs(sentence=4, inside=12, sequence=32), 256
+    paid = best = 0
+    for _ in range(6):
+        length = int(rng.integers(6_000, 9_000))
+        places = sorted({*rng.integers(1, length + 1, length // 18).tolist(), length})
+        penalty = [0.0 if rng.random() < 0.05 or p == length else 4.0 for p in places]
+        cuts = packing.best_cuts(places, penalty, length, capacity, costs, True)
+        sizes, extra = np.diff([0, *cuts]), dict(zip(places, penalty))
+        own = sum(0 if n & (n - 1) == 0 else capacity - n for n in sizes.tolist()) + sum(extra.get(c, 12) for c in cuts) + 32 * len(cuts)
+        least = brute_cost(places, penalty, length, capacity, costs)
+        assert least <= own
+        paid, best = paid + own, best + least
+    assert paid <= 1.06 * best, paid / best

@@ -29,8 +29,10 @@ WORD_END = "</w>"
 END_ID = 1
 #: Ids that the program looks at together; it settles all but the last sequence of them.
 BLOCK = 64
-#: Words, and tokens of the word pattern, whose ids a worker remembers.
-REMEMBERED_WORDS, REMEMBERED = 400_000, 800_000
+#: Words, tokens of the word pattern, and their characters, whose ids a worker remembers.
+REMEMBERED_WORDS, REMEMBERED, REMEMBERED_CHARS = 400_000, 800_000, 32 << 20
+#: Stands before an added token among the words; no word holds it.
+ADDED = "\n"
 
 
 @dataclass(frozen=True)
@@ -55,13 +57,20 @@ class Numbers(dict):
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer file, remembering the ids of the words met so far."""
+    """Ids of whole texts by a tokenizer file, remembering the ids of the words met so far.
+
+    The file's added tokens are cut out of a text before anything else, as the tokenizer does; each is one id.
+    """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(file)
-        self.whole.encode_special_tokens = True
+        found = self.whole.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in found.values()):
+            raise ValueError("added tokens that match more than their own characters")
+        self.added = {t.content: number for number, t in found.items()}
+        self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.single = Tokenizer(self.whole.model)
         self.single.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -76,13 +85,16 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.tokens = Numbers()
+        self.tokens, self.chars = Numbers(), 0
         self.token_ids, self.token_off = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self._forget_words()
 
     def _forget_words(self) -> None:
         self.words = Numbers()
-        self.word_ids, self.word_off = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        for content in self.added:
+            self.words[ADDED + content]
+        self.words.new = []
+        self.word_ids, self.word_off = np.array(list(self.added.values()), np.int32), np.arange(len(self.added) + 1)
 
     def _learn_tokens(self, new: list[str]) -> None:
         encoded = np.array(self.single.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int32)
@@ -101,6 +113,7 @@ class WordIds:
 
     def _learn_words(self, new: list[str]) -> None:
         parts = [self._tokens(w) for w in new]
+        self.chars += sum(map(len, new))
         flat = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(parts)), np.int64)
         if self.tokens.new:
             self._learn_tokens(self.tokens.new)
@@ -109,14 +122,22 @@ class WordIds:
         edge = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         self.word_ids, self.word_off = np.concatenate([self.word_ids, ids]), np.concatenate([self.word_off, self.word_off[-1] + off[edge]])
 
+    def _split(self, text: str) -> list[str]:
+        if not any(map(text.__contains__, self.added)):
+            return normal(text).replace("\n", " ").split(" ")
+        words = []
+        for k, part in enumerate(self.added_pattern.split(text)):
+            words += [ADDED + part] if k % 2 else normal(part).replace("\n", " ").split(" ")
+        return words
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by END_ID, and the number of ids of each."""
-        if len(self.tokens) > REMEMBERED:
+        if len(self.tokens) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
         if len(self.words) > REMEMBERED_WORDS:
             self._forget_words()
         # spaces and line ends never are inside a token, so the words between them can be encoded one by one
-        split = [normal(t).replace("\n", " ").split(" ") for t in texts]
+        split = [self._split(t) for t in texts]
         find = self.words.__getitem__
         places = np.concatenate([np.fromiter(map(find, words), np.int64, len(words)) for words in split])
         if self.words.new:
@@ -282,7 +303,8 @@ def packed(docs: DataFrame, file: str, capacity: int = 2048, costs: Costs = Cost
     ``file`` is a tokenizer file with word ends. Each document is its ids and END_ID; null text counts as empty, so an
     empty document is a piece of one id. Order is that of the table within each input partition; sequences do not
     cross partitions, whose last ones are padded or cut into powers of two, whichever is cheaper. Null ids and
-    repeated rows are documents of their own. Other columns are not read. An empty table gives none. No shuffle.
+    repeated rows are documents of their own. A text of any length is worked on whole, in one task; among cuts of equal
+    cost the one found first, from the left, stays. Other columns are not read. An empty table gives none. No shuffle.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
