@@ -35,14 +35,14 @@ NO_ENDS = hashlib.sha256(b"").hexdigest()
 LOCAL = "kind int, conv long, depth long, parent long, parent_key string, n long, children long, leaves long, saved long, ends string, key string, size long, ancestors array<string>"
 
 
-def paths_of(conversations: DataFrame, heads: int = 9, kin: int = 5, rebuild: bool = True) -> DataFrame:
+def paths_of(conversations: DataFrame, steps: Steps, heads: int = 9, kin: int = 5, rebuild: bool = True) -> DataFrame:
     """conv, depth, name, size, turns: each turn of each rebuilt conversation, and a row of depth 0 and no name per conversation."""
     conv, text = F.col("conv_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     name = F.substring(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256), 1, NAME)
     turns = conversations.where(conv.isNotNull()).select(conv.alias("conv"), "turn", name.alias("name"), F.octet_length(text).cast("long").alias("size"))
     order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "name")
-    turns = turns.select("conv", "name", "size", F.row_number().over(order).cast("long").alias("at"))
+    turns = steps.table(turns.select("conv", "name", "size", F.row_number().over(order).cast("long").alias("at")), "turns")
     convs = turns.where("at = 1").select("conv")
     if rebuild:
         borrowed = F.crc32(F.col("conv").cast("string")) % heads
@@ -252,7 +252,7 @@ def prefix_trie(conversations: DataFrame, rebuild: bool = True, span: int = SPAN
     one task, as do the ids of a node's ends, joined by ranges, through their digest. Other columns are not read. An empty table gives none.
     """
     steps = Steps(conversations.sparkSession, "trie")
-    turns = paths_of(conversations, rebuild=rebuild)
+    turns = paths_of(conversations, steps, rebuild=rebuild)
     piece = F.when(F.col("depth") > 0, F.floor((F.col("depth") - 1) / span)).otherwise(0)
     pieces = turns.groupBy("conv", piece.alias("piece")).agg(F.first("turns").alias("turns"), F.sort_array(F.collect_list(F.when(F.col("depth") > 0, F.struct("depth", "name", "size")))).alias("t"))
     pieces = pieces.select("conv", "piece", (F.col("turns") > (F.col("piece") + 1) * span).alias("more"), F.array_join("t.name", "").alias("path"), F.col("t.size").alias("sizes"))
