@@ -28,7 +28,8 @@ def test_bucketed_words_count_with_their_share(spark, monkeypatch):
     got = {r.doc_id: r for r in likelihood.pseudo_likelihood(df, rounds=0).collect()}
     assert sorted(got) == list(range(len(texts)))
     counts = likelihood.corpus_counts(df.select("text").na.fill(""))
-    vocabulary, weights = likelihood.fit_network(df.select("text").na.fill(""), counts, 0)
+    vocabulary, shares = likelihood.fit_vocabulary(counts)
+    weights = likelihood.new_weights(shares)
     split = [re.findall(r"\S+", t or "") for t in texts]
     count = Counter(w for ws in split for w in ws)
     symbol = {w: int(vocabulary(word_hash(w))[0]) for w in count}
@@ -45,11 +46,10 @@ def test_bucketed_words_count_with_their_share(spark, monkeypatch):
 
 def test_each_place_is_a_target_once():
     """Rounds partition the places, and copies of a text do not mask the same ones."""
-    text = " ".join(f"w{i}" for i in range(400))
-    (_, _, words), = likelihood.window_slices(pa.array([text, "", text, "a"]))
+    counts = np.array([400, 0, 400, 1])
     salt = np.array([7, 8, 9, 9], np.uint64)
     for rounds in (1, 2, 3):
-        parts = [likelihood.masked_places(words, salt, turn, rounds) for turn in range(rounds)]
+        parts = [likelihood.masked_places(counts, salt, turn, rounds) for turn in range(rounds)]
         assert sorted(np.concatenate(parts).tolist()) == list(range(801))
         assert all(len(p) > 600 / rounds for p in parts)
     masked = set(parts[0].tolist())

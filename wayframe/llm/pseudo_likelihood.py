@@ -32,14 +32,17 @@ OUTSIDE = SIZE
 REACH = 2
 EMBEDDING, HIDDEN = 16, 32
 ROUNDS = 2
-BATCH = 1024
-RATE = 0.05
-SHARDS = 16
+BATCH = 2048
+RATE = 0.2
+#: Parts of the weights that are averaged apart, and tasks whose weights meet first.
+SHARDS, FAN_IN = 16, 1024
 SLICE = 2 << 20
+#: Logits are held within so much.
+STEEPEST = 40.0
 #: Bytes of text whose bucketed words are looked up together, and words in a shard of the counts, about.
 BLOCK = 8 << 20
 SHARD_WORDS, LEAST_SHARDS = 100_000, 64
-SCORED = "block long, shard int, words binary, pairs binary, docs binary, times binary, ids array<{kind}>, n_words array<long>, sums array<double>"
+SYMBOLS = "block long, shard int, words binary, pairs binary, docs binary, times binary, ids array<{kind}>, salts array<long>, n_words array<long>, symbols binary"
 SHAPES = {"embedding": (SIZE + 1, EMBEDDING), "inner": (2 * REACH * EMBEDDING, HIDDEN), "inner_bias": (HIDDEN,), "top": (HIDDEN, CLASSES),
           "top_bias": (CLASSES,), "low": (CLASSES, HIDDEN, CLASSES), "low_bias": (CLASSES, CLASSES)}
 
@@ -92,63 +95,73 @@ def new_weights(shares: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     return weights
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _by_class(around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """Order of the targets, windows, classes, words in class and rows in that order, and each class's rows."""
+    order = np.argsort(target.astype(np.int16), kind="stable")
+    upper, lower = np.divmod(target[order], CLASSES)
+    edge = np.searchsorted(upper, np.arange(CLASSES + 1)).tolist()
+    return order, around[order], upper, lower, np.arange(len(target)), [(c, slice(edge[c], edge[c + 1])) for c in range(CLASSES) if edge[c] < edge[c + 1]]
+
+
+def _forward(weights: dict[str, np.ndarray], around: np.ndarray, upper: np.ndarray, used: list) -> tuple[np.ndarray, ...]:
+    """Windows' embeddings, hidden layer, and the exponents of the logits of the classes and of the words in the class."""
+    seen = np.take(weights["embedding"], around, axis=0).reshape(len(around), -1)
+    hidden = seen @ weights["inner"]
+    hidden += weights["inner_bias"]
+    np.tanh(hidden, out=hidden)
+    top = hidden @ weights["top"]
+    top += weights["top_bias"]
+    low = np.take(weights["low_bias"], upper, axis=0)
+    for c, rows in used:
+        low[rows] += hidden[rows] @ weights["low"][c]
+    for z in (top, low):
+        np.clip(z, -STEEPEST, STEEPEST, out=z)
+        np.exp(z, out=z)
+    return seen, hidden, top, low
 
 
 def log_probabilities(weights: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target in its window."""
-    hidden = np.tanh(weights["embedding"][around].reshape(len(around), -1) @ weights["inner"] + weights["inner_bias"])
-    upper, lower = target // CLASSES, target % CLASSES
-    out = log_softmax(hidden @ weights["top"] + weights["top_bias"])[np.arange(len(target)), upper].astype(np.float64)
-    order = np.argsort(upper, kind="stable")
-    edge = np.searchsorted(upper[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[edge[c] : edge[c + 1]]
-        if len(rows):
-            out[rows] += log_softmax(hidden[rows] @ weights["low"][c] + weights["low_bias"][c])[np.arange(len(rows)), lower[rows]]
+    order, around, upper, lower, row, used = _by_class(around, target)
+    _, _, top, low = _forward(weights, around, upper, used)
+    out = np.empty(len(target))
+    # sums of 32 exponents as products with ones: faster than along the short axis
+    out[order] = np.log(top[row, upper] / (top @ np.ones(CLASSES, top.dtype))) + np.log(low[row, lower] / (low @ np.ones(CLASSES, low.dtype)))
     return out
 
 
 def gradient(weights: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log-probability."""
     n = len(target)
-    seen = weights["embedding"][around].reshape(n, -1)
-    hidden = np.tanh(seen @ weights["inner"] + weights["inner_bias"])
-    upper, lower = target // CLASSES, target % CLASSES
-    wrong = np.exp(log_softmax(hidden @ weights["top"] + weights["top_bias"]))
-    wrong[np.arange(n), upper] -= 1
-    wrong /= n
-    out = {k: np.zeros_like(weights[k]) for k in ("low", "low_bias")}
-    out["top"], out["top_bias"] = hidden.T @ wrong, wrong.sum(axis=0)
+    _, around, upper, lower, row, used = _by_class(around, target)
+    seen, hidden, wrong, miss = _forward(weights, around, upper, used)
+    for z, at in ((wrong, upper), (miss, lower)):
+        z *= (1 / (n * (z @ np.ones(CLASSES, z.dtype))))[:, None]
+        z[row, at] -= 1 / n
+    out = {"top": hidden.T @ wrong, "top_bias": wrong.sum(axis=0)}
+    out |= {k: np.zeros_like(weights[k]) for k in ("low", "low_bias")}
     back = wrong @ weights["top"].T
-    order = np.argsort(upper, kind="stable")
-    edge = np.searchsorted(upper[order], np.arange(CLASSES + 1)).tolist()
-    used = [(c, slice(edge[c], edge[c + 1])) for c in range(CLASSES) if edge[c] < edge[c + 1]]
-    above, miss = hidden[order], weights["low_bias"][upper[order]]
     for c, rows in used:
-        miss[rows] += above[rows] @ weights["low"][c]
-    miss = np.exp(log_softmax(miss))
-    miss[np.arange(n), lower[order]] -= 1
-    miss /= n
-    under = np.empty_like(above)
-    for c, rows in used:
-        out["low"][c], out["low_bias"][c] = above[rows].T @ miss[rows], miss[rows].sum(axis=0)
-        under[rows] = miss[rows] @ weights["low"][c].T
-    back[order] += under
-    back *= 1 - hidden**2
+        out["low"][c], out["low_bias"][c] = hidden[rows].T @ miss[rows], miss[rows].sum(axis=0)
+        back[rows] += miss[rows] @ weights["low"][c].T
+    hidden *= hidden
+    np.subtract(1, hidden, out=hidden)
+    back *= hidden
     out["inner"], out["inner_bias"] = seen.T @ back, back.sum(axis=0)
-    old = weights["embedding"]
-    cells = around.reshape(-1, 1) * EMBEDDING + np.arange(EMBEDDING)
-    out["embedding"] = np.bincount(cells.ravel(), (back @ weights["inner"].T).ravel(), old.size).astype(old.dtype).reshape(old.shape)
+    cells = (back @ weights["inner"].T).reshape(-1, EMBEDDING)
+    symbol = around.ravel().astype(np.int16)
+    order = np.argsort(symbol, kind="stable")
+    symbol = symbol[order]
+    first = np.flatnonzero(np.diff(symbol, prepend=-1))
+    out["embedding"] = np.zeros_like(weights["embedding"])
+    out["embedding"][symbol[first]] = np.add.reduceat(np.take(cells, order, axis=0), first, axis=0)
     return out
 
 
-def masked_places(words: Words, salt: np.ndarray, turn: int, rounds: int) -> np.ndarray:
-    """Places that a round masks, by a hash of the document's salt and the place; the rounds partition all places."""
-    place = np.arange(len(words.hash)) - np.repeat(words.of[:-1], words.counts())
-    return np.flatnonzero(mix(np.repeat(mix(salt), words.counts()) + place.astype(np.uint64)) % np.uint64(rounds) == turn)
+def masked_places(counts: np.ndarray, salt: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Places that a round masks in documents of so many words, by a hash of the document's salt and the place; the rounds partition all places."""
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.flatnonzero(mix(np.repeat(mix(salt), counts) + place.astype(np.uint64)) % np.uint64(rounds) == turn)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,46 +190,59 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*merged())
 
 
-def _train(vocabulary: Vocabulary, weights: dict[str, np.ndarray], turn: int, rounds: int):
+def _blocks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """Symbols and number of words per document of each block, and further columns."""
+    for batch in batches:
+        for k in range(len(batch)):
+            symbols = np.frombuffer(batch.column("symbols")[k].as_buffer(), np.uint16).astype(np.int64)
+            yield symbols, batch.column("n_words")[k].values.to_numpy(), *(batch.column(name)[k] for name in names)
+
+
+def _train(weights: dict[str, np.ndarray], turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {k: v.copy() for k, v in weights.items()}
         power = {k: np.full(s, 1e-4, np.float32) for k, s in SHAPES.items()}
         seen = 0
-        for batch in batches:
-            salt = batch.column(1).to_numpy().view(np.uint64)
-            for first, end, words in window_slices(batch.column(0)):
-                ids, owner, places = vocabulary(words.hash), words.owner(), masked_places(words, salt[first:end], turn, rounds)
-                for lo in range(0, len(places), BATCH):
-                    part = places[lo : lo + BATCH]
-                    for k, g in gradient(own, windows(ids, owner, part), ids[part]).items():
-                        power[k] += g * g
-                        own[k] -= np.float32(RATE) * g / np.sqrt(power[k])
-                seen += len(places)
+        for ids, counts, salts in _blocks(batches, "salts"):
+            places = masked_places(counts, salts.values.to_numpy().view(np.uint64), turn, rounds)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            for lo in range(0, len(places), BATCH):
+                part = places[lo : lo + BATCH]
+                for k, g in gradient(own, windows(ids, owner, part), ids[part]).items():
+                    power[k] += g * g
+                    own[k] -= np.float32(RATE) * g / np.sqrt(power[k])
+            seen += len(places)
         if seen:
             flat = np.concatenate([own[k].ravel() for k in SHAPES])
+            group = TaskContext.get().partitionId() // FAN_IN
             for shard, part in enumerate(np.array_split(flat, SHARDS)):
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seen], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["shard", "seen", "part"])
+                yield _part(group, shard, seen, part)
 
     return run
 
 
-def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard; weighs each task's weights by the places it saw."""
-    shard, total, sums = None, 0, None
+PARTS = "group long, shard int, seen long, part binary"
 
-    def row():
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())], ["shard", "part"])
 
+def _part(group: int, shard: int, seen: int, part: np.ndarray) -> pa.RecordBatch:
+    kinds = pa.int64(), pa.int32(), pa.int64(), pa.binary()
+    values = group, shard, seen, part.astype(np.float64).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], ["group", "shard", "seen", "part"])
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group and shard; weighs each task's weights by the places it saw, and gives one row of group // FAN_IN."""
+    key, total, sums = None, 0, None
     for batch in batches:
-        for s, n, part in zip(*(c.to_pylist() for c in batch.columns)):
-            if s != shard:
-                if shard is not None:
-                    yield row()
-                shard, total, sums = s, 0, 0.0
+        for group, shard, n, part in zip(*(c.to_pylist() for c in batch.columns)):
+            if (group, shard) != key:
+                if key is not None:
+                    yield _part(key[0] // FAN_IN, key[1], total, sums / total)
+                key, total, sums = (group, shard), 0, 0.0
             total += n
-            sums = sums + np.frombuffer(part, np.float32).astype(np.float64) * n
-    if shard is not None:
-        yield row()
+            sums = sums + np.frombuffer(part) * n
+    if key is not None:
+        yield _part(key[0] // FAN_IN, key[1], total, sums / total)
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
@@ -249,38 +275,34 @@ def fit_vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     return vocabulary, shares / max(shares.sum(), 1)
 
 
-def fit_network(texts: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    """Vocabulary and weights, from the counts of all words and from all places of all texts (text, salt), each masked in one round."""
-    vocabulary, shares = fit_vocabulary(counts)
-    weights = new_weights(shares)
+def fit_network(symbols: DataFrame, weights: dict[str, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Weights after training on all places of all documents (salts, n_words, symbols), each masked in one round.
+
+    Weights of tasks are averaged in groups of FAN_IN, and the groups' in a second step.
+    """
     for turn in range(rounds):
-        trained = texts.mapInArrow(_train(vocabulary, weights, turn, rounds), "shard int, seen long, part binary")
-        parts = trained.repartition("shard").sortWithinPartitions("shard", "seen", "part").mapInArrow(_average, "shard int, part binary").collect()
-        if not parts:
+        parts = symbols.select("salts", "n_words", "symbols").mapInArrow(_train(weights, turn, rounds), PARTS)
+        for _ in range(2):
+            parts = parts.repartition("group", "shard").sortWithinPartitions("group", "shard", "seen", "part").mapInArrow(_average, PARTS)
+        found = parts.collect()
+        if not found:
             break
-        flat = np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(parts, key=lambda r: r["shard"])])
-        at = 0
-        for k, shape in SHAPES.items():
-            size = int(np.prod(shape))
-            weights[k] = flat[at : at + size].reshape(shape).copy()
-            at += size
-    return vocabulary, weights
+        flat = np.concatenate([np.frombuffer(r["part"]) for r in sorted(found, key=lambda r: r["shard"])]).astype(np.float32)
+        edge = np.cumsum([int(np.prod(shape)) for shape in SHAPES.values()])
+        weights = {k: part.reshape(SHAPES[k]) for k, part in zip(SHAPES, np.split(flat, edge))}
+    return weights
 
 
-def _score(vocabulary: Vocabulary, weights: dict[str, np.ndarray], shards: int):
-    """Per block of texts, a row with the documents' sums over symbols, and a row per shard with its bucketed words."""
+def _symbols(vocabulary: Vocabulary, shards: int):
+    """Per block of texts, a row with the symbols of its words, and a row per shard with its bucketed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for lo, hi, words in window_slices(batch.column(1)):
                 ids, owner = vocabulary(words.hash), words.owner()
-                sums = np.zeros(hi - lo)
-                for first in range(0, len(ids), 1 << 15):
-                    part = np.arange(first, min(len(ids), first + (1 << 15)))
-                    sums += np.bincount(owner[part], log_probabilities(weights, windows(ids, owner, part), ids[part]), hi - lo)
                 bucketed = ids >= FREQUENT
-                held.append((batch.column(0).slice(lo, hi - lo), words.counts(), sums, words.hash[bucketed], owner[bucketed]))
+                held.append((batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), words.counts(), ids.astype(np.uint16), words.hash[bucketed], owner[bucketed]))
                 size += len(words.raw)
                 if size >= BLOCK:
                     yield _block_rows(block, held, shards)
@@ -291,9 +313,24 @@ def _score(vocabulary: Vocabulary, weights: dict[str, np.ndarray], shards: int):
     return run
 
 
+def _score(weights: dict[str, np.ndarray], kind: pa.DataType):
+    """Sums of the documents' log-probabilities over symbols, per block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, counts, doc_ids, block in _blocks(batches, "ids", "block"):
+            owner, sums = np.repeat(np.arange(len(counts)), counts), np.zeros(len(counts))
+            for first in range(0, len(ids), 1 << 13):
+                part = np.arange(first, min(len(ids), first + (1 << 13)))
+                sums += np.bincount(owner[part], log_probabilities(weights, windows(ids, owner, part), ids[part]), len(counts))
+            lists = [pa.array([x], pa.list_(t)) for x, t in ((doc_ids.values, kind), (counts, pa.int64()), (sums, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([-1], pa.int32()), *lists], ["block", "shard", "ids", "n_words", "sums"])
+
+    return run
+
+
 def _block_rows(block: int, held: list[tuple], shards: int) -> pa.RecordBatch:
-    ids = pa.concat_arrays([x[0] for x in held])
-    n_words, sums, hashes = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+    ids, salts = (pa.concat_arrays([x[k] for x in held]) for k in (0, 1))
+    n_words, symbols, hashes = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
     first = np.cumsum([0, *(len(x[0]) for x in held)])
     found = pa.array(hashes).dictionary_encode()
     word, index = found.dictionary.to_numpy(), found.indices.to_numpy()
@@ -301,7 +338,7 @@ def _block_rows(block: int, held: list[tuple], shards: int) -> pa.RecordBatch:
     order = np.argsort(shard, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    key = rank[index] * len(ids) + np.concatenate([x[4] + n for x, n in zip(held, first)])
+    key = rank[index] * len(ids) + np.concatenate([x[5] + n for x, n in zip(held, first)])
     key.sort()
     at = np.flatnonzero(np.diff(key, prepend=-1))
     times = np.diff(at, append=len(key)).astype(np.uint32)
@@ -313,9 +350,11 @@ def _block_rows(block: int, held: list[tuple], shards: int) -> pa.RecordBatch:
         of = pair[edge[s] : edge[s + 1] + 1]
         rows.append((block, s, word[order[edge[s] : edge[s + 1]]].tobytes(), np.diff(of).astype(np.uint32).tobytes(),
                      doc[of[0] : of[-1]].astype(np.uint32).tobytes(), times[of[0] : of[-1]].tobytes()))
-    lists = [pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(rows), pa.int32()), x) for x in (ids, pa.array(n_words), pa.array(sums))]
+    lists = [pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(rows), pa.int32()), x) for x in (ids, salts, pa.array(n_words))]
+    own = pa.array([symbols.tobytes()] + [None] * (len(rows) - 1), pa.binary())
     kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(zip(*rows), kinds)), *lists], ["block", "shard", "words", "pairs", "docs", "times", "ids", "n_words", "sums"])
+    names = ["block", "shard", "words", "pairs", "docs", "times", "ids", "salts", "n_words", "symbols"]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(zip(*rows), kinds)), *lists, own], names)
 
 
 def _bucketed_counts(vocabulary: Vocabulary, shards: int):
@@ -391,21 +430,27 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     Words stand between ASCII white space. A document without words, null texts among them, has sum 0 and mean null.
     Repeated rows and null ids are rows of their own. Other columns are not read. An empty table gives none. All
-    documents are counted, trained on and scored.
+    documents are counted, trained on and scored. Of words that are equally frequent those of lesser hash get symbols of
+    their own. A text of any length is worked on whole, in one task, with some 40 bytes per word.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64("doc_id").alias("salt"))
     steps = Steps(rows.sparkSession, "likelihood")
     counts = steps.table(corpus_counts(rows.select("text")), "counts")
-    vocabulary, weights = fit_network(rows.select("text", F.xxhash64("doc_id").alias("salt")), counts, rounds)
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    vocabulary, shares = fit_vocabulary(counts)
+    kind = rows.schema["doc_id"].dataType
     shards = max(LEAST_SHARDS, -(-counts.count() // SHARD_WORDS))
-    # written, so that all shards see the same blocks
-    scored = steps.table(rows.mapInArrow(_score(vocabulary, weights, shards), SCORED.format(kind=kind)), "scored")
+    # written: training and scoring read the symbols, and all shards see the same blocks
+    split = steps.table(rows.mapInArrow(_symbols(vocabulary, shards), SYMBOLS.format(kind=kind.simpleString())), "symbols")
+    blocks = split.where("shard < 0")
+    weights = fit_network(blocks, new_weights(shares), rounds)
+    scored = blocks.select("ids", "n_words", "symbols", "block").mapInArrow(
+        _score(weights, to_arrow_type(kind)), f"block long, shard int, ids array<{kind.simpleString()}>, n_words array<long>, sums array<double>")
     bucketed = counts.mapInArrow(_bucketed_counts(vocabulary, shards), "shard int, words binary, counts binary")
-    asked = scored.where("shard >= 0").select("shard", "block", "words", "pairs", "docs", "times")
+    asked = split.where("shard >= 0").select("shard", "block", "words", "pairs", "docs", "times")
     met = bucketed.unionByName(asked, allowMissingColumns=True).select("shard", "block", "words", "counts", "pairs", "docs", "times")
     shares = met.repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first()).mapInArrow(_share_sums(vocabulary.bucket_counts), "block long, shard int, docs binary, shares binary")
-    own = scored.where("shard < 0").select("block", "shard", "ids", "n_words", "sums")
-    both = shares.unionByName(own, allowMissingColumns=True).select("block", "shard", "docs", "shares", "ids", "n_words", "sums")
-    whole = both.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_documents, f"doc_id {kind}, n_words long, log_likelihood double")
+    both = shares.unionByName(scored, allowMissingColumns=True).select("block", "shard", "docs", "shares", "ids", "n_words", "sums")
+    whole = both.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_documents, f"doc_id {kind.simpleString()}, n_words long, log_likelihood double")
     return whole.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
