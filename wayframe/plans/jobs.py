@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import delays, fares, model, naming, repair, timetable
+from ..operators import boosting, delays, fares, model, naming, repair, timetable
 from ..session import cut_lineage
 from ..sources import files, sinks
 
@@ -180,3 +180,32 @@ def train_delay_model(
     # calibration covers all rows, also later journey days, which are refused when serving
     scored = cut_lineage(model.predict_quantiles(forest, features.filter(held), gate=False))
     return Training(forest, scored, model.error_report(scored), model.coverage_report(scored), model.stratified_report(scored))
+
+
+@dataclass
+class BoostTraining:
+    model: boosting.QuantileBoost
+    scored: DataFrame
+    losses: DataFrame
+    errors: DataFrame
+    coverage: DataFrame
+    strata: DataFrame
+
+
+#: Features whose order means nothing to the delay.
+CATEGORICAL = ["tier_code", "dow", "month"]
+
+
+def train_boosted_model(
+    features: DataFrame, identity: list[str], cap: int = 400, seed: int = 42, how: boosting.Boosting = boosting.Boosting()
+) -> BoostTraining:
+    """Split all rows by hash; boost on at most ``cap`` of the fitting rows per train, a tenth of which only stops the
+    rounds, and score the model on all held-out rows."""
+    features = cut_lineage(features)
+    held = model.is_held_out(identity, seed=seed)
+    sample = model.sample_per_key(features.filter(~held), "train_no", identity, cap, seed)
+    aside = model.is_held_out(identity, share=0.1, seed=seed + 1)
+    found = boosting.fit_quantile_boost(sample, model.FEATURES, CATEGORICAL, how, aside=aside)
+    scored = cut_lineage(boosting.predict_boosted(found, features.filter(held), gate=False))
+    return BoostTraining(
+        found, scored, boosting.pinball_report(scored), model.error_report(scored), model.coverage_report(scored), model.stratified_report(scored))
