@@ -433,13 +433,29 @@ def stream_latest_batches(net):
     return current_table(net.spark, f"{folder}/table").select("event_id", "user_id", "ts")
 
 
-CLOSED = """
+CLEAN = """
 v AS (SELECT lpad(CAST(user_id AS VARCHAR), 7, '0') AS train_raw, CAST(ts AS DATE) AS d, CAST(trunc(value - 20) AS INTEGER) AS delay FROM events),
-clean AS (SELECT coalesce(nullif(ltrim(train_raw, '0'), ''), train_raw) AS train_no, d, delay FROM v WHERE delay BETWEEN -120 AND 1440),
-closed AS (SELECT * FROM clean WHERE d + 1 <= (SELECT max(d) FROM clean) - 1)
+clean AS (SELECT coalesce(nullif(ltrim(train_raw, '0'), ''), train_raw) AS train_no, d, delay FROM v WHERE delay BETWEEN -120 AND 1440)
 """
 
 
+def run_to_the_end(net, stream, feed, closing):
+    """A stream over the whole feed, closed by one late row."""
+    from wayframe.streaming.feeds import finished
+
+    return finished(stream, feed, closing, scratch_folder(net.spark, "wayframe-stream"))
+
+
+def last_time(net):
+    return net.table("events").agg(F.max(F.col("ts").cast("timestamp")).alias("last"))
+
+
+def closed_delays(net, stream):
+    """The delay feed ends with a row three days after its last one."""
+    end = last_time(net).select(F.lit("0").alias("train_no"), (F.col("last") + F.expr("INTERVAL 3 DAYS")).alias("obs_ts"), F.lit(1).alias("station_no"), F.lit("0").alias("delay"))
+    return run_to_the_end(net, stream, delay_feed(net), end)
+
+
 def delay_feed(net):
     return event_stream(net).select(
         F.lpad(F.col("user_id").cast("string"), 7, "0").alias("train_no"), F.col("ts").cast("timestamp").alias("obs_ts"),
@@ -448,26 +464,49 @@ def delay_feed(net):
 
 
 @query(f"""
-WITH {CLOSED} SELECT train_no, CAST(d AS VARCHAR) AS window_day, count(*) AS n, CAST(sum(delay) AS BIGINT) AS sum_delay, count(*) FILTER (delay <= {fixed.ON_TIME_MINUTES}) AS on_time_n
-FROM closed GROUP BY 1, 2
+WITH {CLEAN} SELECT train_no, CAST(d AS VARCHAR) AS window_day, count(*) AS n, CAST(sum(delay) AS BIGINT) AS sum_delay, count(*) FILTER (delay <= {fixed.ON_TIME_MINUTES}) AS on_time_n
+FROM clean GROUP BY 1, 2
 """)
 def stream_delay_windows(net):
-    """Tumbling delay sums per train: the windows that end at least a day before the last one begins."""
+    """Tumbling delay sums per train, of all windows of the feed."""
     from wayframe.streaming.feeds import delay_stream
 
-    out = run_stream(delay_stream(delay_feed(net)), "windows")
+    out = closed_delays(net, delay_stream)
     return out.select("train_no", F.to_date("window_start").cast("string").alias("window_day"), "n", "sum_delay", "on_time_n")
 
 
-@query(f"WITH {CLOSED} SELECT train_no, delay AS delay_min, CAST(d AS VARCHAR) AS window_day, count(*) AS n FROM closed GROUP BY ALL")
+@query(f"WITH {CLEAN} SELECT train_no, delay AS delay_min, CAST(d AS VARCHAR) AS window_day, count(*) AS n FROM clean GROUP BY ALL")
 def stream_delay_histogram(net):
     """Counts per day, train and delay, from which percentiles of any span follow."""
     from wayframe.streaming.feeds import histogram_stream
 
-    out = run_stream(histogram_stream(delay_feed(net)), "histogram")
+    out = closed_delays(net, histogram_stream)
     return out.select("train_no", "delay_min", F.to_date("window_start").cast("string").alias("window_day"), "n")
 
 
+# a train's percentiles: its sketches hold all its values up to 200 of them, and above that the ranks within 1.65 %
+@query(f"""
+WITH {CLEAN}, e AS (SELECT train_no, delay, count(*) OVER (PARTITION BY train_no) AS n, row_number() OVER (PARTITION BY train_no ORDER BY delay) AS nth,
+  count(*) OVER (PARTITION BY train_no ORDER BY delay) AS upto FROM clean)
+SELECT train_no, any_value(n) AS n, round_even(avg(delay), 1) AS avg_delay, round_even(100.0 * count(*) FILTER (delay <= {fixed.ON_TIME_MINUTES}) / any_value(n), 1) AS on_time_pct, true AS p50_near, true AS p80_near, true AS p90_near
+FROM e GROUP BY train_no
+""")
+def stream_delay_percentiles(net):
+    """Mean and share on time per train of all windows' sums, and whether the merged sketches' percentiles have ranks within 1.65 % of the asked ones."""
+    from wayframe.streaming.feeds import sketch_percentiles, sketch_stream
+
+    found = sketch_percentiles(closed_delays(net, sketch_stream), ["train_no"])
+    exact = delays.clean_observations(net.table("events").select(
+        F.lpad(F.col("user_id").cast("string"), 7, "0").alias("train_no"), F.to_date("ts").alias("obs_date"), F.lit(1).alias("station_no"), (F.col("value") - 20).cast("string").alias("delay")))
+    met = exact.where("delay_min IS NOT NULL").select("train_no", "delay_min").join(found, "train_no")
+    near = []
+    for name, q in (("p50", 0.5), ("p80", 0.8), ("p90", 0.9)):
+        # ranks below and up to the value must enclose the asked one, but for the sketch's error
+        below, upto = F.count_if(F.col("delay_min") < F.col(name)) / F.first("n"), F.count_if(F.col("delay_min") <= F.col(name)) / F.first("n")
+        near.append(((below <= q + 0.0165) & (upto >= q - 0.0165)).alias(f"{name}_near"))
+    return met.groupBy("train_no").agg(F.first("n").alias("n"), F.first("avg_delay").alias("avg_delay"), F.first("on_time_pct").alias("on_time_pct"), *near)
+
+
 @query("SELECT train_no, CAST(min(ts) AS DATE) AS obs_date, CAST(event_id_mod AS INTEGER) AS station_no FROM (SELECT lpad(CAST(user_id AS VARCHAR), 7, '0') AS train_no, ts, event_id % 5 + 1 AS event_id_mod FROM events) GROUP BY train_no, CAST(ts AS DATE), event_id_mod")
 def stream_deduped_snapshots(net):
     from wayframe.streaming.feeds import dedupe_snapshots
@@ -484,11 +523,12 @@ def stream_deduped_snapshots(net):
 SELECT event_id, key, hits, hits > 4 AS flagged FROM (
   SELECT event_id, ts, CAST(user_id AS VARCHAR) AS key, (SELECT CAST(count(*) AS INTEGER) FROM events b WHERE b.user_id = a.user_id AND epoch_us(b.ts) > epoch_us(a.ts) - 86400000000
       AND (epoch_us(b.ts) < epoch_us(a.ts) OR (epoch_us(b.ts) = epoch_us(a.ts) AND b.event_id <= a.event_id))) AS hits FROM events a)
-WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) FROM events) - 600000
 """)
 def stream_sliding_limits(net):
-    """The hits that the watermark has passed: those more than ten minutes before the last one."""
+    """All hits of the feed with the number in their trailing day."""
     from wayframe.streaming.feeds import sliding_limit_stream
 
     rows = event_stream(net).select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return run_stream(sliding_limit_stream(rows, 4, 86400), "limits").select("event_id", "key", "hits", "flagged")
+    end = last_time(net).select(F.lit("the end").alias("key"), F.lit(0).cast("bigint").alias("event_id"), (F.col("last") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    out = run_to_the_end(net, lambda feed: sliding_limit_stream(feed, 4, 86400), rows, end)
+    return out.where("key <> 'the end'").select("event_id", "key", "hits", "flagged")
