@@ -86,6 +86,20 @@ def read_snapshots(saved: DataFrame, schema: str) -> DataFrame:
     return saved.withColumn("route", parsed.withField("saved_at", F.col("saved_at")))
 
 
+def variant_snapshots(saved: DataFrame, json: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Snapshots of any shape as VARIANT in ``route``, and the named fields: (path, type) each, NULL where a snapshot
+    has none or one of another kind. A text that is no JSON, or not an object, is ``broken``."""
+    parsed = saved.withColumn("route", F.try_parse_json(F.col(json)))
+    is_object = F.coalesce(F.schema_of_variant("route").startswith("OBJECT"), F.lit(False))
+    found = parsed.withColumn("broken", ~is_object)
+    return found.withColumns({name: F.try_variant_get("route", path, kind) for name, (path, kind) in fields.items()})
+
+
+def snapshot_shapes(snapshots: DataFrame) -> DataFrame:
+    """One row: the schema that all sound snapshots have in common."""
+    return snapshots.where("NOT broken").agg(F.schema_of_variant_agg("route").alias("shape"))
+
+
 def validate_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests that may be searched, and the rejected ones with the reason."""
     def too_long(c):

@@ -97,7 +97,8 @@ def load_extra_schedule(
     stations: DataFrame, source: str = "delay-schedule", out: str | None = None, write: bool = True,
 ) -> ExtraLoad:
     """All trains and stops, those of the coded schedule that are not known yet among them, stations with fresh train
-    counts, and the distance maps. A station where no train stops keeps its count."""
+    counts, and the distance maps. A station where no train stops keeps its count. Trains and stops that ``out`` already has
+    are appended to; they are the given ones then."""
     from ..functions.text import clock_minutes, guess_classes
 
     maps = sinks.distance_maps(
@@ -120,15 +121,17 @@ def load_extra_schedule(
         clock_minutes(F.col("arrival")).alias("arr_min"), clock_minutes(F.col("departure")).alias("dep_min"), "day", "seq",
         F.lit(source).alias("source"),
     )
-    new_stops = timetable.append_with_ids(stops, rows, ["train_number", "seq"])
+    # only what is added is written; the tables that are there stay as they are
+    new_stops = cut_lineage(timetable.append_with_ids(stops, rows, ["train_number", "seq"]))
+    new_trains = cut_lineage(new_trains)
     all_trains = trains.unionByName(new_trains, allowMissingColumns=True)
-    all_stops = cut_lineage(stops.unionByName(new_stops, allowMissingColumns=True))
+    all_stops = stops.unionByName(new_stops, allowMissingColumns=True)
     counts = timetable.station_train_counts(all_stops).select(F.col("station_code").alias("code"), F.col("num_trains").cast("int").alias("__count"))
     old = F.col("num_trains") if "num_trains" in stations.columns else F.lit(0)
-    counted = stations.join(counts, "code", "left").withColumn("num_trains", F.coalesce("__count", old).cast("int")).drop("__count")
+    counted = cut_lineage(stations.join(counts, "code", "left").withColumn("num_trains", F.coalesce("__count", old).cast("int")).drop("__count"))
     if out:
-        sinks.overwrite_table(all_trains, f"{out}/trains", write=write)
-        sinks.overwrite_table(all_stops, f"{out}/stops", write=write)
+        sinks.add_rows(trains, new_trains, f"{out}/trains", write=write)
+        sinks.add_rows(stops, new_stops, f"{out}/stops", write=write)
         sinks.overwrite_table(counted, f"{out}/stations", write=write)
     return ExtraLoad(all_trains, all_stops, counted, maps)
 

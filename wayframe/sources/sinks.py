@@ -20,6 +20,17 @@ def append_table(df: DataFrame, path: str, write: bool = True) -> DataFrame:
     return df
 
 
+def add_rows(existing: DataFrame, new: DataFrame, path: str, write: bool = True) -> None:
+    """Make the table at ``path`` hold both: if it already is there, as ``existing``, only the new rows are written."""
+    if not write:
+        return
+    folder = new.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(new.sparkSession._jsc.hadoopConfiguration()).exists(folder):
+        new.write.mode("append").parquet(path)
+    else:
+        existing.unionByName(new, allowMissingColumns=True).write.parquet(path)
+
+
 def write_json(df: DataFrame, path: str, write: bool = True) -> DataFrame:
     if write:
         df.write.mode("overwrite").json(path)
