@@ -118,6 +118,24 @@ def test_one_change(frames, network):
         assert sorted(got.get(q[0], [])) == want
 
 
+def test_arrivals_meet_few_departures_outside_their_wait(spark):
+    """A busy pair of stations: what is joined is near what is found, over midnight too."""
+    legs = [(r, "H", "A", f"f{r}", (r * 97) % 1440, 30 + r % 60) for r in range(200)]
+    wanted = spark.createDataFrame(legs, "request_id int, hub string, alight string, t1 string, arr1 int, min_buf int")
+    trains = [("H", "A", f"t{i}", (i * 7) % 1440) for i in range(800)]
+    second = spark.createDataFrame(trains, "hub string, alight string, t2 string, dep2 int")
+    want = {(r, t, (dep - arr) % 1440) for r, _, _, _, arr, buf in legs for _, _, t, dep in trains if buf <= (dep - arr) % 1440 <= 360}
+    for bucket in (60, 240, 1440):
+        got = journeys._met(wanted, second, 360, bucket).select("request_id", "t2", "wait").collect()
+        assert len(got) == len(want) and {tuple(x) for x in got} == want
+    # departures in the buckets of an arrival's wait: those in the wait and at most two buckets more
+    spread = journeys._spread(wanted, 360, 60)
+    met = spread.join(second.withColumn("__bucket", F.floor(F.col("dep2") / 60).cast("int")), ["hub", "alight", "__bucket"]).count()
+    assert met <= len(want) * (330 + 120) / 300 and met < 200 * 800 / 3
+    assert journeys._met(wanted.withColumn("min_buf", F.lit(500)), second, 360).count() == 0
+    assert journeys._met(wanted, second, 5000).count() == sum(1 for r in legs for t in trains if (t[3] - r[4]) % 1440 >= r[5])
+
+
 def test_seasonal_trains_hide_without_a_date(spark):
     rows = spark.createDataFrame([(1, [1, 2]), (None, [1]), (3, [1]), (None, None)], "month int, months array<int>")
     got = [r["ok"] for r in rows.select(journeys.runs_in_month(F.col("months"), F.col("month")).alias("ok")).collect()]

@@ -167,15 +167,24 @@ def best_first_legs(
     )
 
 
+#: Minutes of a departure bucket; a divisor of the day.
+BUCKET = 240
+
+
 def connections(
     first_legs: DataFrame, requests: DataFrame, d_heads: DataFrame, stops: DataFrame, trains: DataFrame, hubs: DataFrame,
     max_wait: int = fixed.MAX_WAIT, guard_km: float = fixed.DETOUR_GUARD_KM,
 ) -> DataFrame:
     """Second legs that leave the hub inside the wait window; first reachable head per second train.
 
-    ``first_legs`` carries ``min_buf``. The join is on (hub, alight): a busy hub is spread over its
-    destinations.
+    ``first_legs`` carries ``min_buf``. Second legs are keyed by (hub, alight, bucket of their departure), and an arrival
+    goes to the buckets that its wait covers, over midnight too: a busy hub is spread over its destinations and the
+    day, and few legs outside the wait are met.
     """
+    wanted = (
+        first_legs.join(d_heads.select("request_id", F.col("code").alias("alight")), "request_id")
+        .join(requests.select("request_id", "day3"), "request_id")
+    )
     info = trains.select(F.col("number").alias("train"), "days")
     rides = ride_pairs(stops, hubs.select("code"), d_heads.select("code"), False, True, guard_km).join(info, "train", "left")
     second = rides.select(
@@ -183,18 +192,7 @@ def connections(
         F.col("a_seq").alias("a2_seq"), F.col("dep").alias("dep2"), F.col("arr").alias("arr2"),
         F.col("a_day").alias("arr2_day"), F.col("minutes").alias("it2"), "days",
     )
-    wanted = (
-        first_legs.join(d_heads.select("request_id", F.col("code").alias("alight")), "request_id")
-        .join(requests.select("request_id", "day3"), "request_id")
-    )
-    wait = F.pmod(F.col("dep2") - F.col("arr1"), F.lit(fixed.DAY_MINUTES))
-    met = (
-        wanted.join(second, ["hub", "alight"])
-        .withColumn("wait", wait.cast("int"))
-        .filter((F.col("t2") != F.col("t1")) & (F.col("wait") >= F.col("min_buf")) & (F.col("wait") <= max_wait))
-        .filter(runs_on(F.col("days"), F.col("day3")))
-        .drop("days", "day3")
-    )
+    met = _met(wanted, second, max_wait).filter(runs_on(F.col("days"), F.col("day3"))).drop("days", "day3")
     keep = [c for c in met.columns if c not in ("request_id", "hub", "t2", "b2_seq")]
     first = met.groupBy("request_id", "hub", "t2", "b2_seq").agg(F.min_by(F.struct(*keep), "a2_seq").alias("r"))
     return first.select("request_id", "hub", "t2", "b2_seq", "r.*").withColumn(
@@ -202,6 +200,25 @@ def connections(
     )
 
 
+def _spread(wanted: DataFrame, max_wait: int, bucket: int) -> DataFrame:
+    """Arrivals, once per bucket of departures that their wait covers; a wait of a whole day and more covers each once."""
+    day, count = fixed.DAY_MINUTES, fixed.DAY_MINUTES // bucket
+    first = F.floor((F.col("arr1") + F.col("min_buf")) / bucket)
+    last = F.least(F.floor((F.col("arr1") + F.lit(min(max_wait, day - 1))) / bucket), first + F.lit(count - 1))
+    buckets = F.transform(F.sequence(first, F.greatest(first, last)), lambda x: F.pmod(x, F.lit(count)).cast("int"))
+    return wanted.where(F.col("min_buf") <= max_wait).withColumn("__bucket", F.explode(buckets))
+
+
+def _met(wanted: DataFrame, second: DataFrame, max_wait: int, bucket: int = BUCKET) -> DataFrame:
+    """Arrivals and the departures of other trains within their wait, with ``wait``; each pair once."""
+    keyed = second.withColumn("__bucket", F.floor(F.col("dep2") / bucket).cast("int"))
+    wait = F.pmod(F.col("dep2") - F.col("arr1"), F.lit(fixed.DAY_MINUTES))
+    return (
+        _spread(wanted, max_wait, bucket).join(keyed, ["hub", "alight", "__bucket"]).drop("__bucket").withColumn("wait", wait.cast("int"))
+        .filter((F.col("t2") != F.col("t1")) & (F.col("wait") >= F.col("min_buf")) & (F.col("wait") <= max_wait))
+    )
+
+
 def one_change(
     requests: DataFrame, o_heads: DataFrame, d_heads: DataFrame, stops: DataFrame, trains: DataFrame,
     stations: DataFrame, p50_of: DataFrame | None = None, hub_min: int = fixed.HUB_MIN_TRAINS,
