@@ -163,24 +163,41 @@ def trigram_matches(queries: DataFrame, names: DataFrame, threshold: float = 0.4
     return sized.withColumn("similarity", similarity).filter(F.col("similarity") > threshold).select("query", "name", "similarity")
 
 
+#: Letters of an indexed piece of a name.
+GRAM = 3
+
+
+def _grams(text: str, size: Column) -> Column:
+    """Distinct pieces of a text of a given length; none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(starts, lambda i: F.substring(text, i, size)), lambda g: F.length(g) == size))
+
+
+def gram_index(names: DataFrame, sizes: DataFrame, low: int = 2) -> DataFrame:
+    """(gram, name, low_name): the pieces of each name, of as many letters as ``sizes`` lists up to GRAM.
+
+    A name of n letters has at most n pieces per size, however long the queries are.
+    """
+    n = names.select("name").distinct().withColumn("low_name", F.lower("name"))
+    sized = n.withColumn("size", F.explode(F.array(*map(F.lit, range(min(low, GRAM), GRAM + 1))))).join(sizes, "size", "left_semi")
+    return sized.select(F.explode(_grams("low_name", F.col("size"))).alias("gram"), "name", "low_name")
+
+
 def substring_matches(queries: DataFrame, names: DataFrame, low: int = 2) -> DataFrame:
     """(query, name, at_start, whole) of distinct texts where the query occurs in the name, any case.
 
-    Every piece of a name, of each length some query has, is joined by equality.
+    Names are indexed by their short pieces. A query looks up the one of its pieces that fewest names have, and the names
+    found there are compared with the whole query.
     """
     q = queries.select("query").distinct().filter(F.length("query") >= low).withColumn("piece", F.lower("query"))
-    lengths = q.select(F.length("piece").alias("size")).distinct()
-    n = names.select("name").distinct().withColumn("low_name", F.lower("name"))
-    by_length = (
-        n.withColumn("size", F.explode(F.sequence(F.lit(low), F.greatest(F.length("low_name"), F.lit(low)))))
-        .filter(F.col("size") <= F.length("low_name"))
-        .join(lengths, "size", "left_semi")
-    )
-    starts = F.sequence(F.lit(1), F.length("low_name") - F.col("size") + 1)
-    pieces = by_length.select(
-        "name", "low_name", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("low_name", i, F.col("size"))))).alias("piece")
-    )
-    return pieces.join(q, "piece").select(
+    q = q.withColumn("size", F.least(F.length("piece"), F.lit(GRAM)))
+    index = gram_index(names, q.select("size").distinct(), low)
+    frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    # a piece that no name has finds nothing, and so does its query
+    asked = q.select("query", "piece", F.explode(_grams("piece", F.col("size"))).alias("gram")).join(frequency, "gram", "left")
+    rarest = asked.groupBy("query", "piece").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("gram"))
+    met = index.join(rarest, "gram").filter(F.contains("low_name", F.col("piece")))
+    return met.select(
         "query", "name",
         F.startswith("low_name", F.col("piece")).alias("at_start"),
         (F.col("low_name") == F.col("piece")).alias("whole"),

@@ -55,6 +55,8 @@ def nearest_railheads(
     far = cut_lineage(_nearest(within_km(spots, big, hub_km), hubs).withColumn("__hub", F.lit(1)).withColumn("tier_km", F.lit(float(ladder_km[0]))))
     found, left = far, spots
     for step, radius in enumerate(ladder_km):
+        if step and left.isEmpty():
+            break
         close = _nearest(within_km(left, served, radius), near).withColumn("__hub", F.lit(0)).withColumn("tier_km", F.lit(float(radius)))
         close = cut_lineage(close)
         found = found.unionByName(close)
