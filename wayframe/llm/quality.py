@@ -280,12 +280,16 @@ def sampled(df: DataFrame, id_column: str, size: int, count: int) -> DataFrame:
 
 
 def fit_quality(features: DataFrame, labels: DataFrame) -> CoTrained:
-    """Fit on at most about LABELLED labelled and UNLABELLED other rows of features (doc_id, features)."""
+    """Fit on at most about LABELLED labelled and UNLABELLED other ids of features (doc_id, features).
+
+    An id brings one row, that of its least features, however often it is repeated.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     sample = sampled(known, "doc_id", LABELLED, known.count())
-    with_label = features.join(sample, "doc_id").groupBy("doc_id").agg(F.first("features").alias("features"), F.max("label").alias("label"))
+    with_label = features.join(sample, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.max("label").alias("label"))
     others = features.join(known, "doc_id", "left_anti")
-    pool = sampled(others, "doc_id", UNLABELLED, others.count()).select("doc_id", "features", F.lit(-1).alias("label"))
+    pool = sampled(others, "doc_id", UNLABELLED, others.select("doc_id").distinct().count())
+    pool = pool.groupBy("doc_id").agg(F.min("features").alias("features"), F.lit(-1).alias("label"))
     rows = sorted(with_label.unionByName(pool).toLocalIterator(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
     both = np.array([r["features"] for r in rows], float).reshape(len(rows), len(TEXT_FEATURES) + 3)
     k = len(TEXT_FEATURES)
@@ -297,7 +301,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
 
     Null text is empty, and null metadata a class of its own; ids without a document and labels other than 0 and 1 are
     not used; a document with both labels counts as good. Repeated rows are scored each. Without labels of both kinds
-    every score is the share of good ones (one half if there are none). Other columns are not read.
+    every score is the share of good ones (one half if there are none). Of several rows of an id one is fitted on. A text
+    of any length is read whole, in one task; rows of null id are scored as others. An empty table gives none. Other columns are not read.
     """
     from .tables import Steps
 

@@ -227,6 +227,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, grades: int = GRADES) -> Or
     # the sample is bounded by LABELLED, whatever the tables' size, so it can go to every task
     sample = F.broadcast(sampled(known, "doc_id", LABELLED, known.count()))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(sample.select("doc_id"), "doc_id", "left_semi")
+    # one row per id, the least text: a repeated id brings no more rows than another
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     counted = texts.mapInArrow(_features, f"doc_id {id_type}, feature binary, value binary").join(sample, "doc_id")
     counted = steps.table(counted.select("doc_id", "toxic", "feature", "value"), "features")
@@ -251,7 +253,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, grades: int = GRADES) -> DataFr
     ``severity`` is the highest grade that the document reaches with probability one half; ``toxic`` tells whether it is
     1 or more. Null text is empty; documents without letters, and all documents if labels have one kind only, get the
     shares of the grades. Ids without a document and labels other than 0 and 1 are not used; a document with both
-    counts as toxic. Repeated rows are scored each. Other columns are not read.
+    counts as toxic, and of several rows of a labelled id the least text is fitted on. Repeated rows and rows of null id
+    are scored each. A text of any length is read whole, in one task. An empty table gives none. Other columns are not read.
     """
     model = fit_toxicity(docs, labels, grades)
     scored = docs.select("doc_id", severity_column(model, F.col("text")).alias("s"))
