@@ -133,6 +133,19 @@ def test_large_records_take_several_members():
     assert len(block) > 40 << 20 and head["WARC-Type"] == "response"
 
 
+def test_a_record_of_100_mb_is_read_back_in_one_pass():
+    import time
+
+    payload = bytes(range(33, 120)) * (100 * 1024 * 1024 // 87)
+    data = b"".join(warc.members(warc.record(1, "u", payload, None, False, 0) + warc.record(2, "v", b"small", None, False, 0)))
+    start = time.process_time()
+    (first, block), (second, _) = warc.read_records(data)
+    assert time.process_time() - start < 10
+    assert block.endswith(payload) and len(block) == int(first["Content-Length"]) and second["X-Page"] == "2"
+    with pytest.raises(ValueError):
+        list(warc.read_records(data[: len(data) // 2]))
+
+
 def test_broken_archives_are_refused(spark):
     data = b"".join(warc.members(warc.record(1, "u", b"payload", None, False, 0).replace(b"payload", b"pAyload")))
     with pytest.raises(ValueError):

@@ -77,34 +77,45 @@ def members(data: bytes) -> list[bytes]:
 
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive; broken digests and lengths raise."""
-    view, at, plain = memoryview(data), 0, b""
+    """Headers and block of each record of an archive; broken digests and lengths raise.
+
+    Every byte is looked at once, however long a record is.
+    """
+    view, at, plain, begin = memoryview(data), 0, bytearray(), 0
     unzip = zlib.decompressobj(31)
-    while at < len(view) or plain:
-        while at < len(view) and (b"\r\n\r\n" not in plain or len(plain) < _needed(plain)):
-            piece = view[at : at + PIECE]
-            plain += unzip.decompress(piece)
-            at += len(piece) - len(unzip.unused_data)
-            if unzip.eof:
-                unzip = zlib.decompressobj(31)
-        size = _needed(plain)
-        if len(plain) < size:
-            raise ValueError("the archive ends within a record")
-        end = plain.index(b"\r\n\r\n")
-        head = dict(line.split(": ", 1) for line in plain[:end].decode().split("\r\n")[1:])
-        block = plain[end + 4 : size - 4]
+
+    def more() -> bool:
+        nonlocal at, unzip
+        if at >= len(view):
+            return False
+        piece = view[at : at + PIECE]
+        plain.extend(unzip.decompress(piece))
+        at += len(piece) - len(unzip.unused_data)
+        if unzip.eof:
+            unzip = zlib.decompressobj(31)
+        return True
+
+    while True:
+        looked = begin
+        while (end := plain.find(b"\r\n\r\n", looked)) < 0:
+            looked = max(begin, len(plain) - 3)
+            if not more():
+                if len(plain) > begin:
+                    raise ValueError("the archive ends within a record")
+                return
+        head = dict(line.split(": ", 1) for line in plain[begin:end].decode().split("\r\n")[1:])
+        size = end + 4 + int(head["Content-Length"]) + 4
+        while len(plain) < size:
+            if not more():
+                raise ValueError("the archive ends within a record")
+        block = bytes(plain[end + 4 : size - 4])
         if head["WARC-Block-Digest"] != f"sha1:{base32_sha1(block)}":
             raise ValueError(f"the digest of {head['WARC-Record-ID']} does not fit")
         yield head, block
-        plain = plain[size:]
-
-
-def _needed(plain: bytes) -> int:
-    end = plain.find(b"\r\n\r\n")
-    if end < 0:
-        return 1 << 62
-    at = plain.rindex(b"\r\nContent-Length: ", 0, end + 2)
-    return end + 4 + int(plain[at + 18 : plain.index(b"\r\n", at + 2)]) + 4
+        begin = size
+        if begin > PIECE:
+            del plain[:begin]
+            begin = 0
 
 
 def _rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
