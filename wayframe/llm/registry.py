@@ -91,6 +91,16 @@ QUERIES = {f.__name__: f for f in (
     op11_source_mixing, op12_prefix_trie, op13_fill_in_middle,
 )}
 
+#: Queries without SQL, and what is checked instead (tests).
+WITHOUT_SQL = {
+    "op2_packing": "tokenizer and dynamic program: round trip of every id, cost near the least",
+    "op4_unigram": "Viterbi: brute force and the library's own unigram model",
+    "op6_pseudo_likelihood": "trained network: brute-force probabilities, better than word shares",
+    "op8_toxicity": "trained regression: held-out labels",
+    "op9_quality": "trained classifiers: held-out labels",
+    "pipeline": "trained classifier and tokenizer: brute force stage by stage",
+}
+
 SQL = {
     "op1_substring_dedup": """
         WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
