@@ -14,6 +14,7 @@ from ..functions.geo import haversine_km
 from ..functions.text import slug
 from ..operators import journeys, ranking, stations as places
 from ..operators.fares import class_fares
+from ..operators.boosting import QuantileBoost, predict_boosted
 from ..operators.model import QuantileForest, predict_quantiles
 from ..operators.userlog import validate_requests
 from ..session import cut_lineage, cut_lineages
@@ -117,18 +118,31 @@ def direct_rides(trips: DataFrame, o: DataFrame, d: DataFrame, t: Tables, s: Set
     return journeys.best_per_train(ends.drop("months", "month"), F.col("b_km") + F.col("a_km"))
 
 
-def change_rides(trips: DataFrame, o: DataFrame, d: DataFrame, t: Tables, s: Settings, model: QuantileForest | None = None) -> DataFrame:
+Model = QuantileForest | QuantileBoost
+
+
+def predicted(model: Model, rows: DataFrame) -> DataFrame:
+    """Rows with the curve of either model, where a row may be predicted."""
+    return predict_boosted(model, rows) if isinstance(model, QuantileBoost) else predict_quantiles(model, rows)
+
+
+def leg_predictor(trips: DataFrame, t: Tables, model: Model):
+    """Adds to first legs the ``p50`` of their arrival at the change, on the day of the trip."""
+
+    def predict(legs: DataFrame) -> DataFrame:
+        rows = legs.join(trips.select("request_id", "dow", "month"), "request_id")
+        return predicted(model, delay_features(rows, t, "t1", "hub", "arr1", "arr1_day")).select(*legs.columns, "p50")
+
+    return predict
+
+
+def change_rides(trips: DataFrame, o: DataFrame, d: DataFrame, t: Tables, s: Settings, model: Model | None = None) -> DataFrame:
     """One-change journeys of the given requests."""
     wanted = trips.select("request_id")
     o_some = o.join(wanted, "request_id", "left_semi")
     d_some = d.join(wanted, "request_id", "left_semi")
     typical = t.delays.select("train_no", "p50")
-    predict = None
-    if model is not None:
-        def predict(legs: DataFrame) -> DataFrame:
-            rows = legs.join(trips.select("request_id", "dow", "month"), "request_id")
-            ctx = delay_features(rows, t, "t1", "hub", "arr1", "arr1_day")
-            return predict_quantiles(model, ctx).select(*legs.columns, "p50")
+    predict = None if model is None else leg_predictor(trips, t, model)
     found = journeys.one_change(
         trips, o_some, d_some, t.stops, t.trains, t.stations, typical, s.hub_min, s.top_hubs, s.max_wait, s.journeys,
         s.guard_km, predict,
@@ -194,7 +208,7 @@ def rail_legs(directs: DataFrame, changes: DataFrame | None) -> tuple[DataFrame,
     return routes, legs
 
 
-def scored_legs(legs: DataFrame, trips: DataFrame, t: Tables, model: QuantileForest | None = None) -> DataFrame:
+def scored_legs(legs: DataFrame, trips: DataFrame, t: Tables, model: Model | None = None) -> DataFrame:
     """Train legs with length, tier, delay profile, classes and fares."""
     info = t.trains.select(F.col("number").alias("train"), F.col("name").alias("train_name"), "classes", "days", "months")
     delays = t.delays.select(F.col("train_no").alias("train"), "avg_delay", "on_time_pct", "p90", "n_obs")
@@ -207,7 +221,7 @@ def scored_legs(legs: DataFrame, trips: DataFrame, t: Tables, model: QuantileFor
         keep = work.columns
         renamed = work.withColumnRenamed("avg_delay", "__avg").withColumnRenamed("p90", "__p90")
         ctx = delay_features(renamed, t, "train", "end", "arr", "arr_day")
-        scored = predict_quantiles(model, ctx).drop("avg_delay", "p50", "p90")
+        scored = predicted(model, ctx).drop("avg_delay", "p50", "p90")
         work = scored.withColumnRenamed("__avg", "avg_delay").withColumnRenamed("__p90", "p90").select(*keep, "curve")
         curve = F.col("curve")
     offset = F.when(F.col("dow").isNotNull(), F.col("arr_day") - 1)
@@ -357,7 +371,7 @@ def explained(routes: DataFrame, stations: DataFrame) -> DataFrame:
     )
 
 
-def rebuilt_routes(route_ids: DataFrame, t: Tables, model: QuantileForest | None = None, guard_km: float = fixed.DETOUR_GUARD_KM) -> DataFrame:
+def rebuilt_routes(route_ids: DataFrame, t: Tables, model: Model | None = None, guard_km: float = fixed.DETOUR_GUARD_KM) -> DataFrame:
     """The whole scored and explained route of each ``train-board-alight`` id, from station to station and without a date."""
     rides = cut_lineage(journeys.rebuild_direct(route_ids, t.stops, guard_km))
     place = t.stations.select("code", "name", "lat", "lng", "num_trains")
@@ -391,7 +405,7 @@ class TripSearch:
 
     def __init__(
         self, requests: DataFrame, tables: Tables, as_of: Column, settings: Settings | None = None,
-        model: QuantileForest | None = None,
+        model: Model | None = None,
     ):
         self.tables, self.settings, self.model = tables, settings or Settings(), model
         self.valid, self.rejected = validate_requests(requests)
