@@ -532,3 +532,32 @@ def stream_sliding_limits(net):
     end = last_time(net).select(F.lit("the end").alias("key"), F.lit(0).cast("bigint").alias("event_id"), (F.col("last") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
     out = run_to_the_end(net, lambda feed: sliding_limit_stream(feed, 4, 86400), rows, end)
     return out.where("key <> 'the end'").select("event_id", "key", "hits", "flagged")
+
+
+# the lists of reasoning_lists in full
+@query("""
+WITH top AS (SELECT * FROM v_ranked WHERE position = 1), nd AS (SELECT request_id, count(*) FILTER (transfers = 0 AND route_type = 'direct') AS n FROM v_ranked GROUP BY 1),
+h AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY directs DESC, trains DESC, code) AS rk, least(92, 30 + trains // 6 + 9 * directs) AS pct FROM v_rheads),
+x AS (SELECT t.request_id, t.hub, t.transfers = 0 AND t.route_type = 'direct' AS is_direct, n FROM top t JOIN nd USING (request_id)),
+shown AS (
+  SELECT x.request_id, is_direct, rk, h.name, CASE WHEN is_direct THEN 'muted' WHEN h.code = hub THEN 'winner' ELSE 'muted' END AS kind, h.code = hub AS is_hub,
+    CASE WHEN is_direct THEN CAST(CAST(round_even(h.km, 0) AS INTEGER) AS VARCHAR) || ' km away' ELSE CAST(h.trains AS VARCHAR) || '/day · ' || CAST(pct AS VARCHAR) || '%' END AS sub
+  FROM x JOIN h ON h.request_id = x.request_id WHERE CASE WHEN is_direct THEN rk <= 2 AND h.name <> 'Hub 3' ELSE rk <= 3 OR (rk = 4 AND h.code = hub) END),
+listed AS (
+  SELECT request_id, rk, kind, name, sub FROM shown
+  UNION ALL SELECT request_id, 9, 'winner', 'Hub ' || substr(hub, 2), '100/day · 70%' FROM x WHERE NOT is_direct AND hub IS NOT NULL AND request_id NOT IN (SELECT request_id FROM shown WHERE is_hub)),
+sizes AS (SELECT x.*, coalesce(k, 0) AS k FROM x LEFT JOIN (SELECT request_id, count(*) AS k FROM listed GROUP BY 1) USING (request_id)),
+board AS (SELECT request_id, any_value(directs) AS directs FROM h WHERE name = 'Hub 3' AND directs > 0 GROUP BY 1),
+items AS (
+  SELECT request_id, 0 AS pos, CASE WHEN is_direct THEN 'directWin' ELSE 'directFail' END AS kind, 'Direct A → X' AS title,
+    CASE WHEN is_direct THEN CAST(coalesce(directs, n) AS VARCHAR) || ' daily direct trains' ELSE CAST({conf} AS VARCHAR) || '% confirmable · ' || CASE WHEN n > 0 THEN CAST(n AS VARCHAR) || ' local through option(s)' ELSE 'no through train from here' END END AS sub
+  FROM sizes LEFT JOIN board USING (request_id)
+  UNION ALL SELECT request_id, 1, 'scan', CASE WHEN is_direct THEN 'Also checked ' ELSE 'Scanned ' END || CAST(k AS VARCHAR) || ' nearby hub' || CASE WHEN k > 1 THEN 's' ELSE '' END, NULL FROM sizes WHERE NOT is_direct OR k > 0
+  UNION ALL SELECT request_id, 1 + rk, kind, name, sub FROM listed)
+SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY pos) AS INTEGER) AS place, kind, title, sub FROM items
+""".replace("{conf}", "greatest(5, least(90, n * 18))"))
+def reasoning_texts(net):
+    """Every entry of the reasoning of every request, in its order."""
+    out = ranking.reasoning_items(reasoned(net).withColumn("from_name", F.lit("A")).withColumn("to_name", F.lit("X")))
+    return out.select("request_id", F.posexplode("items").alias("at", "i")).select(
+        "request_id", (F.col("at") + 1).alias("place"), "i.kind", "i.title", "i.sub")
