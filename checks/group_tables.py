@@ -10,6 +10,7 @@ from wayframe.sources.keyed import KeyedTable
 from .catalog import query
 from .group_delays import LATEST, log
 from .group_places import bad_network, flagged
+from .group_timetable import DETOUR, some_unplaced
 
 KEYS, ORDER = ["user_id", "event_type"], ["ts", "event_id"]
 
@@ -203,3 +204,15 @@ def fare_table_files(net):
     at = lambda i: F.transform("points", lambda p: F.get(p, F.lit(i)))
     rising = (F.size("points") > 1) & (at(0) == F.array_sort(at(0))) & (at(1) == F.array_sort(at(1)))
     return rows.select("class_code", "fit.rate", "fit.base", rising.alias("rising"))
+
+
+# --- bucketed timetable --------------------------------------------------------------------------
+
+@query(f"SELECT d.train_number, d.seq, s.day, round(d.detour_km, 3) + 0.0 AS detour_km FROM ({DETOUR}) d JOIN v_stops s USING (train_number, seq)")
+def bucketed_timetable(net):
+    """Journey days and detours of the timetable's stops, read from a table in buckets by train and segment."""
+    path = f"{scratch_folder(net.spark, 'wayframe-buckets')}/stops"
+    stops = sinks.bucketed_by_segment(net.stops().drop("day"), path, ["train_number"], "seq", 16)
+    days = timetable.infer_day(stops).select("train_number", "seq", "day")
+    detours = timetable.stop_detour(stops, some_unplaced(net)).select("train_number", "seq", "detour_km")
+    return days.join(detours, ["train_number", "seq"]).select("train_number", "seq", "day", (F.round("detour_km", 3) + 0.0).alias("detour_km"))

@@ -9,14 +9,14 @@ from .. import fixed
 from ..functions.geo import cell, cells_within, haversine_km, step_for
 from ..functions.text import alnum_key, same_name
 from ..session import cut_lineage
-from .segments import nth_values, segmented
+from .segments import SEGMENT, nth_values, segmented
 from .timetable import with_train_counts
 
 
 def neighbour_midpoints(stops: DataFrame, stations: DataFrame) -> DataFrame:
     """(code, lat, lng) half way between the located stops before and after each located stop."""
     place = stations.filter(F.col("lat").isNotNull()).select(F.col("code").alias("station_code"), "lat", "lng")
-    located = stops.select("train_number", "seq", "station_code").join(place, "station_code")
+    located = stops.select("train_number", "seq", "station_code", *[c for c in (SEGMENT,) if c in stops.columns]).join(place, "station_code")
     spot = F.struct("lat", "lng")
     around = segmented(located, ["train_number"], "seq", lasts={"p": spot}, nexts={"n": spot})
     return around.filter(F.col("p").isNotNull() & F.col("n").isNotNull()).select(

@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 SEGMENT = "__segment"
 
 
+def with_segments(df: DataFrame, pos: str, width: int = 1024) -> DataFrame:
+    """Rows with the number of their segment; those that have one keep it."""
+    return df if SEGMENT in df.columns else df.withColumn(SEGMENT, F.floor(F.col(pos) / width).cast("bigint"))
+
+
 def segmented(
     df: DataFrame,
     keys: list[str],
@@ -26,10 +31,11 @@ def segmented(
 ) -> DataFrame:
     """Add inclusive running sums, the last value before a row and the first value after it.
 
-    ``lasts`` and ``nexts`` skip NULL values. ``pos`` orders the rows of a key and is unique in it.
+    ``lasts`` and ``nexts`` skip NULL values. ``pos`` orders the rows of a key and is unique in it. Rows of a table that
+    is bucketed by keys and segment (sinks.bucketed_by_segment) stay where they are.
     """
     sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
-    work = df.withColumn(SEGMENT, F.floor(F.col(pos) / width).cast("bigint"))
+    work = with_segments(df, pos, width)
     for name, value in {**sums, **lasts, **nexts}.items():
         work = work.withColumn(f"__v_{name}", value)
 

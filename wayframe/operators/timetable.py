@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.geo import haversine_km
 from ..functions.text import minutes_clock, norm_train_no
-from .segments import SEGMENT, dense_positions, segmented
+from .segments import dense_positions, SEGMENT, segmented, with_segments
 
 
 def assign_seq(stops: DataFrame, pos: str = "pos", min_stops: int = 2) -> DataFrame:
@@ -30,7 +30,7 @@ def infer_day(stops: DataFrame, pos: str = "seq", width: int = 1024) -> DataFram
     before = F.last(known, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1))
     own = F.when(F.col("dep_min") < F.col("arr_min"), 1).otherwise(0)
     local = (
-        stops.withColumn(SEGMENT, F.floor(F.col(pos) / width).cast("bigint")).withColumn("__before", before)
+        with_segments(stops, pos, width).withColumn("__before", before)
         .withColumn("__wraps", F.when(first < F.col("__before"), 1).otherwise(0) + own)
         .withColumn("__run", F.sum("__wraps").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
     )

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.segments import SEGMENT, with_segments
+
 
 def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = None, write: bool = True) -> DataFrame:
     """Replace a Parquet table."""
@@ -14,6 +18,20 @@ def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = N
     return df
 
 
+def bucketed_by_segment(df: DataFrame, path: str, keys: list[str], pos: str, buckets: int = 64, width: int = 1024) -> DataFrame:
+    """Write rows bucketed by keys and segment of positions, sorted, and read them from there as a table.
+
+    Windows and groups by (keys, segment), as `operators/segments.py` makes them, then need no shuffle of the rows, and a key
+    that holds a third of them is spread over the buckets of its segments. The table is named in the session's catalog.
+    """
+    work = with_segments(df, pos, width)
+    by = [*keys, SEGMENT]
+    name = f"bucketed_{uuid.uuid4().hex}"
+    # a task per bucket, so that each is one file
+    work.repartition(buckets, *by).write.mode("overwrite").option("path", path).bucketBy(buckets, *by).sortBy(*by, pos).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def append_table(df: DataFrame, path: str, write: bool = True) -> DataFrame:
     if write:
         df.write.mode("append").parquet(path)
