@@ -317,7 +317,11 @@ def _encode(pieces: Pieces):
 
 
 def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """doc_id, ids, score: the best segmentation of each whole text. Null and empty texts have no ids and score 0."""
+    """doc_id, ids, score: the best segmentation of each whole text. Null and empty texts have no ids and score 0.
+
+    Of segmentations of equal score the one of the longest last piece is taken, and so on from the end. A text of any
+    length is worked on whole, in one task, word by word between spaces.
+    """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_encode(pieces), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, score double")
 
@@ -357,8 +361,8 @@ def round_trips(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """doc_id, n_pieces, n_byte_pieces, score, ids_crc32 (little-endian 32-bit ids), round_trip: one row per document.
 
     Each whole text is encoded and decoded again; ``round_trip`` tells whether the text came back, which holds for every
-    text without the marker U+2581 itself. Null and empty texts have no pieces. Repeated rows and null ids are rows
-    of their own. Other columns are not read. An empty table gives none. No shuffle.
+    text without the marker U+2581 itself. Null and empty texts have no pieces. Ties and very long texts: see encoded.
+    Repeated rows and null ids are rows of their own. Other columns are not read. An empty table gives none. No shuffle.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
