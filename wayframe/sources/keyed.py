@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.userlog import latest_per_key
+from ..session import cut_lineage
 
 #: Marks rows that a deletion left behind: they keep older rows of their key out.
 GONE = "__gone"
@@ -93,7 +94,7 @@ class KeyedTable:
         older = [v for v in self.versions() if batch is None or v < batch]
         batch = (older[-1] + 1 if older else 0) if batch is None else batch
         base = older[-1] if older else None
-        marked = rows.withColumn("bucket", self._bucket())
+        marked = cut_lineage(rows.withColumn("bucket", self._bucket()))  # read twice, computed once
         touched = sorted(r["bucket"] for r in marked.select("bucket").distinct().collect())  # one number per bucket
         held = self.manifest(base) if older else {}
         if touched:
@@ -135,7 +136,7 @@ class KeyedTable:
         found = self.versions()
         batch = found[-1] + 1 if batch is None else batch
         base = [v for v in found if v < batch][-1]
-        marked = rows.withColumn("bucket", self._bucket())
+        marked = cut_lineage(rows.withColumn("bucket", self._bucket()))  # read twice, computed once
         touched = sorted(r["bucket"] for r in marked.select("bucket").distinct().collect())
         held = self.manifest(base)
         if touched:
