@@ -95,3 +95,32 @@ def test_plan_b_leaves_later(spark):
                                    "request_id int, route_id string, dep_min int, fare int, minutes int, road_only boolean, position int")
     got = {r["route_id"]: r["plan_b_route"] for r in ranking.plan_b(routes).collect()}
     assert got == {"a": "b", "b": None, "c": None, "r": None}
+
+
+def test_a_remap_meets_few_stations_that_share_first_letters(spark, monkeypatch):
+    """Stations meet by whole name and widening radii; the plain search over all pairs gives the same remaps."""
+    from wayframe.functions import geo
+    from wayframe.functions.text import same_name
+
+    rng = random.Random(8)
+    names = ["Town A", "Town AB", "Town", "TOWN-A", "Twn", "T w n", "", None] + [f"City {i}" for i in range(12)]
+    rows = [(f"S{i}", rng.choice(names), 10 + rng.randrange(40) / 4, 70 + rng.randrange(40) / 4) for i in range(400)]
+    stations = spark.createDataFrame([*rows, ("N", "Town A", None, None), (None, "Town A", 15.0, 75.0)], "code string, name string, lat double, lng double")
+    bad = stations.filter("lat is not null and code is not null").select(
+        "code", "name", (F.col("lat") + 1).alias("exp_lat"), (F.col("lng") + 1).alias("exp_lng"), F.lit(7).alias("off_km"), F.lit(3).cast("bigint").alias("trains"))
+    g = stations.select(F.col("code").alias("good_code"), F.col("name").alias("good_name"), "lat", "lng")
+    km = geo.haversine_km(F.col("exp_lat"), F.col("exp_lng"), F.col("lat"), F.col("lng"))
+    plain = bad.crossJoin(g).filter((F.col("code") != F.col("good_code")) & same_name(F.col("name"), F.col("good_name"))).withColumn("km", km).filter("km <= 300")
+    plain = plain.groupBy("code").agg(F.min(F.struct("km", "good_code")).alias("r"))
+    met = []
+
+    def counted(df, *keys):
+        met.append(df)
+        return cut(df)
+
+    cut = repair.cut_lineage
+    monkeypatch.setattr(repair, "cut_lineage", counted)
+    out = repair.propose_remap(bad, stations, max_km=300.0).collect()
+    assert {(r["bad_code"], r["good_code"], r["match_km"]) for r in out} == {
+        (r["code"], r["r"]["good_code"], r["m"]) for r in plain.withColumn("m", F.bround("r.km", 1)).collect()}
+    assert len(out) > 300 and len(met) >= 5  # the stations, the names, the points and two radii at least
