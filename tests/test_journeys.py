@@ -145,3 +145,20 @@ def test_seasonal_trains_hide_without_a_date(spark):
 def test_route_ids(one):
     got = one(a=journeys.parse_direct_id(F.lit("101-NDLS-BPL")), b=journeys.parse_direct_id(F.lit("101-NDLS-102")), c=journeys.parse_direct_id(F.lit("road-a-b")))
     assert tuple(got["a"]) == ("101", "NDLS", "BPL") and got["b"] is None and got["c"] is None
+
+
+def test_hubs_of_a_board_are_cut_before_their_rides(spark):
+    """Of each board and day only the busiest hubs stay, before any ride to them is kept."""
+    rng = random.Random(11)
+    rides = [(f"B{rng.randrange(6)}", f"H{rng.randrange(30)}", rng.randrange(1, 256)) for _ in range(400)]
+    hubs = [(f"H{h}", 100 + h % 7) for h in range(28)]
+    limit = spark.createDataFrame([(4, 1)], "__limit int, __one int")
+    out = journeys._reached_hubs(
+        spark.createDataFrame(rides, "board string, alight string, on int"), spark.createDataFrame(hubs, "hub string, hub_trains int"), limit).collect()
+    trains, want = dict(hubs), {}
+    for day in range(8):
+        for board in {b for b, _, _ in rides}:
+            reached = {h for b, h, on in rides if b == board and on >> day & 1 and h in trains}
+            for h in sorted(reached, key=lambda h: (-trains[h], h))[:4]:
+                want[board, h] = want.get((board, h), 0) | 1 << day
+    assert {(r["board"], r["hub"]): r["kept"] for r in out} == want
