@@ -124,3 +124,17 @@ def test_a_remap_meets_few_stations_that_share_first_letters(spark, monkeypatch)
     assert {(r["bad_code"], r["good_code"], r["match_km"]) for r in out} == {
         (r["code"], r["r"]["good_code"], r["m"]) for r in plain.withColumn("m", F.bround("r.km", 1)).collect()}
     assert len(out) > 300 and len(met) >= 5  # the stations, the names, the points and two radii at least
+
+
+def test_features_read_the_timetable_once(spark, tmp_path):
+    """Positions and the whole length come from one grouping of the stops of trains with an average."""
+    rows = [("1", 1, 0.0, None, 1), ("1", 2, 90.0, 300, 1), ("1", 2, 80.0, 400, 2), ("2", 1, 5.0, 60, 1), ("3", 1, 7.0, 60, 1)]
+    spark.createDataFrame(rows, "train_no string, station_no int, cum_km double, arr_min int, day int").write.parquet(f"{tmp_path}/stops")
+    stops = spark.read.parquet(f"{tmp_path}/stops")
+    obs = spark.createDataFrame([("1", "2025-01-04", 2, 12), ("1", "2025-01-05", 1, 3), ("3", "2025-01-05", 1, 3)], "train_no string, obs_date string, station_no int, delay_min int")
+    stats = spark.createDataFrame([("1", 9.5), ("2", 4.0)], "train_no string, avg_delay double")
+    tiers = spark.createDataFrame([("1", "premium")], "train_no string, tier string")
+    out = model.build_features(obs, stops, stats, tiers)
+    assert not any(f"{tmp_path}" in f for f in out.inputFiles())
+    got = {(r["station_no"]): (r["baseline"], r["dist_km"], r["frac_route"], r["sched_hour"], r["day_offset"]) for r in out.collect()}
+    assert got == {2: (9.5, 80.0, 80 / 90, 6.0, 1.0), 1: (9.5, 0.0, 0.0, -1.0, 0.0)}

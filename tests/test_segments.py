@@ -85,3 +85,20 @@ def test_days_over_many_segments(spark):
     for width in (1, 4, 1024):
         got = {(r["train_number"], r["seq"]): r["day"] for r in infer_day(df, width=width).collect()}
         assert got == want
+
+
+def test_lines_of_a_network_are_numbered_once(spark, tmp_path):
+    """Windows and carried sums of the stops read the numbered lines, not the table again; NULLs and equal rows keep their place."""
+    import datetime
+
+    from wayframe.sources.adapters import Network
+
+    day = datetime.date(2024, 1, 1)
+    rows = [(1, 2, 5, 7, 1.0, day), (1, 1, 6, 8, 1.0, day), (1, 1, 6, 8, 1.0, day), (1, None, 9, 4, 1.0, day), (2, 1, 3, 3, 2.0, day), (None, 1, 3, 3, 2.0, day)]
+    spark.createDataFrame(
+        rows, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_partkey bigint, l_extendedprice double, l_shipdate date"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    stops = Network(spark, f"{tmp_path}").stops()
+    assert not any("lineitem" in f for f in stops.inputFiles())
+    got = sorted((r["train_number"], r["seq"], r["station_code"], r["cum_km"]) for r in stops.collect())
+    assert got == [("0000001", 1, "S9", 0.0), ("0000001", 2, "S6", 28.0), ("0000001", 3, "S6", 56.0), ("0000001", 4, "S5", 83.0), ("0000002", 1, "S3", 0.0)]

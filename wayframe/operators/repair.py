@@ -18,6 +18,8 @@ def neighbour_midpoints(stops: DataFrame, stations: DataFrame) -> DataFrame:
     """(code, lat, lng) half way between the located stops before and after each located stop."""
     place = stations.filter(F.col("lat").isNotNull()).select(F.col("code").alias("station_code"), "lat", "lng")
     located = stops.select("train_number", "seq", "station_code", *[c for c in (SEGMENT,) if c in stops.columns]).join(place, "station_code")
+    if SEGMENT not in stops.columns:
+        located = cut_lineage(located)  # read for the windows and for what they carry
     spot = F.struct("lat", "lng")
     around = segmented(located, ["train_number"], "seq", lasts={"p": spot}, nexts={"n": spot})
     return around.filter(F.col("p").isNotNull() & F.col("n").isNotNull()).select(
