@@ -63,3 +63,22 @@ def test_reasoning_covers_every_request(found):
     assert set(modes) == {request for request, _ in rows}
     assert {r["mode"] for r in modes.values()} <= {"direct", "cross-origin"}
     assert all(r["conclusion"] for r in modes.values())
+
+
+def test_many_points_of_one_cell_are_spread(spark, monkeypatch):
+    """A radius search cuts its points by their number, those of one cell too, and finds the same pairs."""
+    from wayframe.operators import stations as places
+
+    points = spark.range(600).select("id", (20 + F.col("id") % 7 / 100).alias("lat"), (75 + F.col("id") % 11 / 100).alias("lng"))
+    stations = spark.createDataFrame([(f"S{i}", 20.0 + i / 10, 75.0) for i in range(20)] + [("N", None, None)], "code string, lat double, lng double")
+    pairs = lambda: places.within_km(points, stations, 50.0)
+    want = sorted((r["p_id"], r["code"], round(r["km"], 6)) for r in pairs().collect())
+    monkeypatch.setattr(places, "POINTS_PER_TASK", 20, raising=False)
+    monkeypatch.setattr(places, "POINTS_PER_PIECE", 100, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables of any size
+    try:
+        rows = pairs().withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r["p_id"], r["code"], round(r["km"], 6)) for r in rows) == want and len(want) > 600
+    assert len({r["task"] for r in rows}) > 8
