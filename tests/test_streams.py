@@ -133,3 +133,19 @@ def test_windows_close_with_a_later_row(spark, tmp_path):
     run(spark, folder, schema, feeds.delay_stream)
     got = spark.read.parquet(f"{folder}/out").filter("train_no = '12'").agg(F.sum("n"), F.sum("sum_delay")).first()
     assert tuple(got) == (len(rows), sum(int(r[3]) for r in rows))
+
+
+def test_keys_share_slots_of_state(spark, tmp_path, monkeypatch):
+    """Many keys, one of them NULL, in three slots: each is counted for itself."""
+    import random
+
+    monkeypatch.setattr(feeds, "SLOTS", 3)
+    rng, folder = random.Random(4), str(tmp_path)
+    rows = [(rng.choice([None, *[f"k{i}" for i in range(60)]]), i, START + timedelta(seconds=rng.randrange(300))) for i in range(1500)]
+    put(spark, folder, 0, rows, HITS)
+    feed = spark.readStream.schema(HITS).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    end = spark.createDataFrame([("the end", 0, START + timedelta(hours=2))], HITS)
+    out = feeds.finished(lambda df: feeds.sliding_limit_stream(df, 3, 60, "20 minutes"), feed, end, f"{folder}/run")
+    got = sorted((r.event_id, r.hits, r.flagged) for r in out.where("key IS NULL OR key <> 'the end'").collect())
+    twin = sliding_limit(spark.createDataFrame(rows, HITS), "key", "ts", "event_id", 3, 60)
+    assert got == sorted((r.event_id, r.hits, r.flagged) for r in twin.collect()) and len(got) == 1500

@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .. import fixed
 from ..operators.delays import clean_observations
@@ -104,16 +104,15 @@ def dedupe_snapshots(snapshots: DataFrame, event_time: str = "seen_at", watermar
 
 
 LIMIT_SCHEMA = "key string, event_id bigint, ts timestamp, hits int, flagged boolean"
-#: Pieces that the hits of a window are kept in.
-PIECES = 16
+#: Pieces that the hits of a window are kept in, and slots that the keys fall into.
+PIECES, SLOTS = 16, 256
 
 
 class SlidingHits(StatefulProcessor):
-    """Counts the hits of one key and span of one window length, as the watermark passes its pieces.
+    """Counts the hits of a slot of keys in one span of one window length, as the watermark passes its pieces.
 
-    State: per piece the times and ids of its own hits and the times of the span before, and how many they are. A
-    piece is worked on once, by a timer at its end: whole pieces of its window count by their number, only the first
-    one and its own are read. The last timer of a span removes its state.
+    State: per piece the keys, times and ids of its own hits and the keys and times of the span before. A piece is
+    worked on once, for all keys of the slot, by a timer at its end. The last timer of a span removes its state.
     """
 
     def __init__(self, limit: int, width: int):
@@ -123,12 +122,8 @@ class SlidingHits(StatefulProcessor):
         longs = ArrayType(LongType())
         self.handle = handle
         piece = StructType([StructField("piece", LongType())])
-        self.hits = handle.getMapState("hits", piece, StructType([StructField("times", longs), StructField("ids", longs)]))
-        self.counts = handle.getMapState("counts", piece, StructType([StructField("n", LongType())]))
-
-    def _held(self) -> dict[int, int]:
-        """Number of hits of each piece."""
-        return {int(p[0]): int(n[0]) for p, n in self.counts.iterator()}
+        hits = StructType([StructField("keys", ArrayType(StringType())), StructField("times", longs), StructField("ids", longs)])
+        self.hits = handle.getMapState("hits", piece, hits)
 
     def _due(self, piece: int) -> int:
         """Milliseconds by which no more hits of a piece can come."""
@@ -136,17 +131,16 @@ class SlidingHits(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         span = int(key[1])
-        known, held = set(self.handle.listTimers()), self._held()
+        known = set(self.handle.listTimers())
         for batch in rows:
+            keys = batch["key"].to_numpy(object)
             times = batch["us"].to_numpy(np.int64)
             ids = np.where(batch["own"].to_numpy(bool), batch["event_id"].to_numpy(np.int64), -1)
             piece = times // self.piece
             for p in np.unique(piece).tolist():
                 at = piece == p
-                old = self.hits.getValue((p,)) if p in held else ([], [])
-                self.hits.updateValue((p,), ([*old[0], *times[at].tolist()], [*old[1], *ids[at].tolist()]))
-                held[p] = len(old[0]) + int(at.sum())
-                self.counts.updateValue((p,), (held[p],))
+                old = self.hits.getValue((p,)) if self.hits.containsKey((p,)) else ([], [], [])
+                self.hits.updateValue((p,), ([*old[0], *keys[at].tolist()], [*old[1], *times[at].tolist()], [*old[2], *ids[at].tolist()]))
                 # due when the piece ends, if it has hits of this span
                 if (ids[at] >= 0).any() and self._due(p) not in known:
                     known.add(self._due(p))
@@ -161,25 +155,25 @@ class SlidingHits(StatefulProcessor):
         piece = due * 1000 // self.piece - 1
         while self._due(piece) > due:
             piece -= 1
-        held = self._held()
+        first = (piece * self.piece - self.width) // self.piece
+        held = {int(p[0]): hits for p, hits in self.hits.iterator() if first <= p[0] <= piece}
         if piece in held:
-            times, ids = (np.array(x, np.int64) for x in self.hits.getValue((piece,)))
-            order = np.lexsort((ids, times))
-            times, ids = times[order], ids[order]
-            # whole pieces between the window's first one and this one; the window of a piece's hits begins in two pieces at most
-            first = (int(times[0]) - self.width) // self.piece
-            before = [p for p in held if first <= p < piece]
-            early = np.sort(np.concatenate([np.array(self.hits.getValue((p,))[0], np.int64) for p in before if p <= first + 1] or [times[:0]]))
-            whole = sum(held[p] for p in before if p > first + 1)
-            both = np.concatenate([early, times])
-            counts = len(early) + np.arange(1, len(times) + 1) - np.searchsorted(both, times - self.width, "right") + whole
-            own = ids >= 0
+            keys = np.array([k for p in held for k in held[p][0]], object)
+            times, ids = (np.concatenate([np.array(held[p][i], np.int64) for p in held]) for i in (1, 2))
+            fresh = np.repeat([p == piece for p in held], [len(held[p][1]) for p in held])
+            codes = pd.factorize(keys, use_na_sentinel=False)[0].astype(np.int64)
+            order = np.lexsort((ids, times, codes))
+            keys, times, ids, fresh, codes = (x[order] for x in (keys, times, ids, fresh, codes))
+            # keys one after the other on one line, more than a window apart
+            line = times - times.min() + self.width + 1
+            line += codes * (line.max() + 1)
+            counts = np.arange(1, len(line) + 1) - np.searchsorted(line, line - self.width, "right")
+            own = fresh & (ids >= 0)
             if own.any():
                 yield pd.DataFrame({
-                    "key": key[0], "event_id": ids[own], "ts": times[own].astype("datetime64[us]"), "hits": counts[own].astype(np.int32), "flagged": counts[own] > self.limit})
+                    "key": keys[own], "event_id": ids[own], "ts": times[own].astype("datetime64[us]"), "hits": counts[own].astype(np.int32), "flagged": counts[own] > self.limit})
         if piece >= ((span + 1) * self.width - 1) // self.piece:
             self.hits.clear()
-            self.counts.clear()
 
     def close(self) -> None:
         pass
@@ -191,8 +185,9 @@ def sliding_limit_stream(
     """Hit counter per key over a trailing window, equal to the batch counter for rows in any order.
 
     ``hits`` has key, event_id (not negative) and ts. A hit comes out once the watermark has passed its piece, a
-    sixteenth of the window, as no earlier hit can then follow; rows later than the watermark are dropped. A key is
-    spread over its spans of one window length, each with a copy of the span before as history. A finished feed is
+    sixteenth of the window, as no earlier hit can then follow; rows later than the watermark are dropped. Keys share
+    slots, so that state and timers do not grow with their number; a slot is spread over its spans of one window
+    length, each with a copy of the span before as history. A finished feed is
     closed by a row a window and a watermark after its last one: see finished. The state store is RocksDB, which this
     sets for the session.
     """
@@ -204,7 +199,8 @@ def sliding_limit_stream(
     timed = hits.withWatermark("ts", watermark).withColumn("us", F.unix_micros("ts"))
     own = F.floor(F.col("us") / width).cast("bigint")
     both = timed.withColumn("span", F.explode(F.array(own, own + 1))).withColumn("own", F.col("span") == own)
-    return both.groupBy("key", "span").transformWithStateInPandas(
+    both = both.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int"))
+    return both.groupBy("slot", "span").transformWithStateInPandas(
         statefulProcessor=SlidingHits(limit, width), outputStructType=LIMIT_SCHEMA, outputMode="append", timeMode="eventTime")
 
 
