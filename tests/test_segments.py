@@ -102,3 +102,39 @@ def test_lines_of_a_network_are_numbered_once(spark, tmp_path):
     assert not any("lineitem" in f for f in stops.inputFiles())
     got = sorted((r["train_number"], r["seq"], r["station_code"], r["cum_km"]) for r in stops.collect())
     assert got == [("0000001", 1, "S9", 0.0), ("0000001", 2, "S6", 28.0), ("0000001", 3, "S6", 56.0), ("0000001", 4, "S5", 83.0), ("0000002", 1, "S3", 0.0)]
+
+
+def test_keys_of_one_segment_carry_nothing(spark):
+    """Keys within the first segment are not joined to carried rows; longer ones beside them are, with the same results."""
+    from wayframe.operators.segments import segmented
+
+    rows = [("a", 1, 5), ("a", 2, None), ("a", 3, 7), ("b", 1, 2), ("c", 9, 1), ("c", 2, 4), ("c", 12, 6), (None, 1, 3)]
+    df = spark.createDataFrame(rows, "k string, pos int, v int")
+    how = dict(sums={"total": F.coalesce("v", F.lit(0))}, lasts={"before": F.col("v")}, nexts={"after": F.col("v")})
+    for width in (4, 8, 64):
+        got = segmented(df, ["k"], "pos", **how, width=width, lengths=df)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, segmented(df, ["k"], "pos", **how, width=width).select(got.columns).collect()), key=str)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stops_are_written_once(spark, tmp_path, monkeypatch):
+    """Stops are read as they were written, without a shuffle; orders too large for a task give the same rows in segments."""
+    import datetime
+
+    from wayframe.sources import adapters
+
+    day = datetime.date(2024, 1, 1)
+    rows = [(o, n % 3, n % 5, 3 + n, 1.0, day) for o in range(6) for n in range(40 if o == 3 else 4)] + [(None, 1, 3, 3, 2.0, day), (2, None, None, None, None, None)]
+    spark.createDataFrame(
+        rows, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_partkey bigint, l_extendedprice double, l_shipdate date"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    net = adapters.Network(spark, f"{tmp_path}")
+    stops = net.stops()
+    plan = net.stops()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and net.stops().inputFiles() == stops.inputFiles()
+    light = adapters.by_weight
+    monkeypatch.setattr(adapters, "by_weight", lambda df, keys: light(df, keys, limit=10))
+    both = adapters.Network(spark, f"{tmp_path}").stops()
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, stops.collect()), key=str)
+    short, long = light(spark.createDataFrame([(r[0],) for r in rows], "k bigint"), ["k"], limit=10)
+    assert long.count() >= 40 and short.count() + long.count() == len(rows)
