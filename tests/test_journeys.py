@@ -162,3 +162,14 @@ def test_hubs_of_a_board_are_cut_before_their_rides(spark):
             for h in sorted(reached, key=lambda h: (-trains[h], h))[:4]:
                 want[board, h] = want.get((board, h), 0) | 1 << day
     assert {(r["board"], r["hub"]): r["kept"] for r in out} == want
+
+
+def test_requests_meet_rides_on_one_number(spark, frames):
+    """Pairs of railheads carry one number and no codes; equal railheads of a request count as often as they are given."""
+    r, o, d, s, t, _ = frames
+    rides = journeys.direct(r, o, d, s, t)
+    assert "__both" in rides._jdf.queryExecution().optimizedPlan().toString()
+    twice = journeys.direct(r, o.unionByName(o), d, s, t)
+    assert twice.count() == 2 * rides.count() > 0
+    numbers = [x["no"] for x in journeys._numbers(o.select("code")).collect()]
+    assert sorted(numbers) == list(range(1, len(numbers) + 1))
