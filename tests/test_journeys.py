@@ -173,3 +173,13 @@ def test_requests_meet_rides_on_one_number(spark, frames):
     assert twice.count() == 2 * rides.count() > 0
     numbers = [x["no"] for x in journeys._numbers(o.select("code")).collect()]
     assert sorted(numbers) == list(range(1, len(numbers) + 1))
+
+
+def test_ids_are_read_once_for_both_ends(spark, frames):
+    """The parsed ids are written, not parsed again for each end; repeated and foreign ids change nothing."""
+    s = frames[3]
+    first = s.filter("seq = 1").join(s.filter("seq = 2").select("train_number", F.col("station_code").alias("to")), "train_number")
+    ids = first.select(F.concat_ws("-", "train_number", "station_code", "to").alias("route_id"))
+    got = journeys.rebuild_direct(ids.unionByName(ids).unionByName(spark.createDataFrame([("x-y-z",), (None,)], "route_id string")), s, 1e9)
+    assert "split" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(x["route_id"] for x in got.collect()) == sorted({x["route_id"] for x in ids.collect()})
