@@ -135,6 +135,27 @@ def test_road_refinement_keeps_the_wait(spark):
     assert row["minutes"] == 618 and row["legs"][1]["note"].startswith("~12 km road to") and row == again
 
 
+def test_routes_are_sent_once_per_cab_leg(spark):
+    """Routes without a cab leg, or without a second one, are not shuffled to a road that they do not have."""
+    spot = lambda x: build.spot(F.lit(x), F.lit(20.0))
+    first = build.cab_leg(F.lit("Home"), F.lit("B"), F.lit(20.0), spot(70.0), spot(70.2))
+    last = build.cab_leg(F.lit("A"), F.lit("End"), F.lit(20.0), spot(71.0), spot(71.2))
+    ride = build.train_leg(F.lit("1"), F.lit("X"), F.lit("B"), F.lit("A"), F.lit(60), F.lit(660), F.lit(600), F.lit(300))
+    legs = F.when(F.col("id") == 0, F.array(ride)).when(F.col("id") == 1, F.array(first, ride)).when(F.col("id") == 2, F.array(first, ride, last))
+    routes = spark.range(4).select(
+        F.col("id").alias("route_id"), legs.alias("legs"), F.lit(0).alias("wait"), F.lit(1).alias("minutes"), F.lit(1).alias("fare"),
+        F.lit("").alias("why"), F.lit(False).alias("road_only"),
+    )
+    roads = spark.createDataFrame(
+        [(20.0, 70.0, 20.0, 70.2, 12.0, 18.0), (20.0, 71.0, 20.0, 71.2, 9.0, 11.0)],
+        "from_lat double, from_lng double, to_lat double, to_lng double, km double, mins double",
+    )
+    out = build.upgrade_road_legs(routes, roads)
+    got = {r["route_id"]: ([leg["minutes"] for leg in r["legs"] or []], r["minutes"]) for r in out.collect()}
+    assert got == {0: ([600], 1), 1: ([18, 600], 618), 2: ([18, 600, 11], 629), 3: ([], 1)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("__cabs") >= 3
+
+
 def test_isotonic_over_many_chunks(spark):
     """Distances beyond any width and far more blocks than a task pools, rising, falling and ragged."""
     import numpy as np
