@@ -82,3 +82,36 @@ def test_many_points_of_one_cell_are_spread(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted((r["p_id"], r["code"], round(r["km"], 6)) for r in rows) == want and len(want) > 600
     assert len({r["task"] for r in rows}) > 8
+
+
+def test_tables_of_requests_and_trains_are_not_broadcast(found):
+    """Their files are small for their rows: what is joined with them is sorted and merged."""
+    search, _ = found
+    tables = [search.trips, *search.heads, search.directs, search.changes, search.rail, search.shown]
+    tables += [search.tables.trains, search.tables.delays, search.tables.distances, search.tables.stops]
+    for t in tables:
+        key = t.columns[0]
+        few = t.sparkSession.range(9).select(F.col("id").cast(t.schema[key].dataType).alias(key))
+        for joined in (few.join(t.groupBy(key).count(), key), few.join(t, key, "left"), t.join(few, key)):
+            assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_steps_release_their_shuffle_files(spark):
+    import time
+
+    from wayframe.session import cut_lineage, release
+
+    held = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+    def settled(most):
+        until = time.time() + 20
+        while held() > most and time.time() < until:
+            time.sleep(0.2)
+        return held()
+
+    release(spark)
+    time.sleep(2)
+    before = held()
+    for _ in range(3):
+        assert cut_lineage(spark.range(100).groupBy(F.col("id") % 7).count()).count() == 7
+    assert settled(before + 1) <= before + 1  # of the last count alone

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 from collections.abc import Callable, Iterable
 from types import ModuleType
@@ -10,7 +9,7 @@ from types import ModuleType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayframe.session import scratch_folder
+from wayframe.session import release, scratch_folder
 
 
 class Steps:
@@ -32,12 +31,6 @@ class Steps:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished steps now, not at its next half-hourly turn."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
