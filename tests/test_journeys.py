@@ -183,3 +183,38 @@ def test_ids_are_read_once_for_both_ends(spark, frames):
     got = journeys.rebuild_direct(ids.unionByName(ids).unionByName(spark.createDataFrame([("x-y-z",), (None,)], "route_id string")), s, 1e9)
     assert "split" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(x["route_id"] for x in got.collect()) == sorted({x["route_id"] for x in ids.collect()})
+
+
+def test_distances_of_a_train_go_to_its_legs_as_one_row(spark):
+    """Both ends of a leg are found by one join, with the rows that a join per end gives: none, one, or one for each repeat."""
+    known = [("1", "A", 1.0), ("1", "B", 4.5), ("1", "C", None), ("2", "A", 2.0), ("2", "A", 3.0), ("2", "B", 9.0), (None, "A", 1.0), ("3", None, 1.0)]
+    legs = [(t, s, e, i) for i, (t, s, e) in enumerate((t, s, e) for t in ("1", "2", "3", "4", None) for s in ("A", "C", "X", None) for e in ("A", "B"))]
+    cum = spark.createDataFrame(known, "train_number string, station_code string, cum_km double")
+    rows = spark.createDataFrame(legs, "train string, start string, end string, i int")
+    one = journeys._with_cum_km(rows, cum, "train", "start", "end")
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    two = journeys._with_cum_km(rows, cum, "train", "start", "end", limit=1)
+    assert two._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    got, want = (sorted(map(tuple, df.select("i", "train", "start", "end", "__c1", "__c2").collect()), key=str) for df in (one, two))
+    assert got == want and len(got) > len(legs)
+
+
+def test_ids_are_not_sent_with_both_ends(spark, frames):
+    """Boardings carry the id to its alightings: one join, and no route id in it."""
+    ids = spark.createDataFrame([("00001-S1-S2",), ("00002-S3-S4",)], "route_id string")
+    plan = journeys.rebuild_direct(ids, frames[3], 1e9)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("route_id") == 1
+
+
+def test_journeys_of_a_request_are_sought_in_place(frames):
+    """Rides to hubs and met departures are sent by request once, not again by request and hub."""
+    import re
+
+    r, o, d, s, t, stations = frames
+    hubs = stations.filter("num_trains > 1").select("code", "num_trains")
+    legs = journeys.best_first_legs(r, o, d, s, t, hubs, 4)
+    changes = journeys.one_change(r, o, d, s, t, stations, hub_min=1, top_hubs=4, k=3)
+    for df in (legs, changes):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(request_id" in plan
+        assert not re.search(r"hashpartitioning\(request_id#\d+L?, (hub|board)", plan)
