@@ -1,4 +1,4 @@
-"""Written steps, released shuffle files, split points and column names for the operators of this package."""
+"""Written steps, split points and column names for the operators of this package."""
 
 from __future__ import annotations
 
